@@ -73,11 +73,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of each word; words never cross from one text to the next."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of each word; words never cross from one text to the next. parts: the bytes that part words."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    word = ~IS_SPACE[data]
+    word = ~parts[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     start = word.copy()

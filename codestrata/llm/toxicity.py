@@ -10,7 +10,7 @@ best mean over 3 words, best word; a logistic curve, fitted on labelled rows kep
 it a score from 0 to 1. So a few abusive words in a long document are seen, and a rare word weighs little.
 
 Training uses at most `most_labelled` labelled documents of each class (by the hash of their id, fold 0 of
-crc32 mod 5 left out), whole; beginnings seen in fewer than two of them are left to the shared distribution.
+crc32 mod 5 left out), whole; beginnings seen in fewer than `least` of them are left to the shared distribution.
 labels, lang, source and doc_id are no inputs of a score. Every document is scored whole.
 
 Null and empty texts: evidence 0 in all parts. Without labels of both classes every score is 0. Documents with
@@ -20,7 +20,6 @@ conflicting labels don't train. Repeated rows: each its own result. Empty table:
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -28,48 +27,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import LOWER, pieces, table, text_bytes, word_hashes, word_spans
 
-WORD = re.compile(r"\w+")
+#: Words are runs of ASCII letters and digits and of all other characters outside ASCII.
+PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LONGEST = 16
-KEEP = 300_000
+KEEP = 500_000
 DISCOUNT = 0.75
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+def words_in(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Different lower-cased words of the texts, their hashes, which of them each word is, and where each text's words start (one more at the end)."""
+    data, at = text_bytes(column)
+    data = LOWER[data]
+    starts, ends, text = word_spans(data, at, PARTS)
+    hashes, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    return words, hashes, which, np.searchsorted(text, np.arange(len(at)))
 
 
 def beginnings(labelled: DataFrame) -> DataFrame:
     """(beginning, toxic, ordinary): documents of each class with a word that begins so; a word's end counts as a letter. labelled(text, toxic)."""
 
     def run(batches):
-        held: list[Counter] = [Counter(), Counter()]
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                held[toxic].update(set(words_of(text)))
-                if len(held[0]) + len(held[1]) > 500_000:
-                    yield flush(held)
+        held: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
+        for batch in pieces(batches):
+            words, _, which, at = words_in(batch.column("text"))
+            for i, toxic in enumerate(batch.column("toxic").to_pylist()):
+                for w in np.unique(which[at[i] : at[i + 1]]).tolist():
+                    held[words[w]][toxic] += 1
+            if len(held) > 500_000:
+                yield flush(held)
         yield flush(held)
 
     def flush(held):
-        sums: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for k, counts in enumerate(held):
-            for word, n in counts.items():
-                word = word[: LONGEST - 1] + " "
-                for i in range(1, len(word) + 1):
-                    sums[word[:i]][k] += n
-            counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v[1] for v in sums.values()], pa.int64()), pa.array([v[0] for v in sums.values()], pa.int64())], ["beginning", "toxic", "ordinary"])
-
-    counted = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "beginning string, toxic long, ordinary long")
+        sums: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
+        for word, n in held.items():
+            word = word[: LONGEST - 1] + b" "
+            for i in range(1, len(word) + 1):
+                own = sums[word[:i]]
+                own[0] += n[0]
+                own[1] += n[1]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array([v[1] for v in sums.values()], pa.int64()), pa.array([v[0] for v in sums.values()], pa.int64())], ["beginning", "toxic", "ordinary"])
+
+    counted = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "beginning binary, toxic long, ordinary long")
     return counted.groupBy("beginning").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 class Shared:
     """Kneser-Ney over the last letters, from how many different beginnings each sequence of letters ends."""
 
-    def __init__(self, known: list[str], order: int = 3):
+    def __init__(self, known: list[bytes], order: int = 3):
         self.order = order
         self.counts = [Counter() for _ in range(order + 1)]
         self.total = [Counter() for _ in range(order + 1)]
@@ -83,7 +93,7 @@ class Shared:
                 self.kinds[k][gram[:-1]] += 1
         self.letters = max(1, len(self.counts[0])) + 1
 
-    def of(self, before: str, letter: str) -> float:
+    def of(self, before: bytes, letter: bytes) -> float:
         p = 1 / self.letters
         for k in range(min(self.order, len(before)) + 1):
             h = before[len(before) - k :]
@@ -93,9 +103,9 @@ class Shared:
         return p
 
 
-def weights(rows: list[tuple[str, int, int]], totals: tuple[int, int]) -> dict[str, tuple[float, float]]:
+def weights(rows: list[tuple[bytes, int, int]], totals: tuple[int, int]) -> dict[bytes, tuple[float, float]]:
     """For each known beginning, the log-likelihood ratio of its last letter, and that of any letter that neither class has after it."""
-    rows = [("", *totals), *rows]
+    rows = [(b"", *totals), *rows]
     shared = Shared([r[0] for r in rows if r[0]])
     sums, kinds = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
     for b, *n in rows:
@@ -109,16 +119,16 @@ def weights(rows: list[tuple[str, int, int]], totals: tuple[int, int]) -> dict[s
         edge = 0.0
         if b:
             h = b[:-1]
-            back = shared.of(h, b[-1])
+            back = shared.of(h, b[-1:])
             p = [(max(n[k] - DISCOUNT, 0) / sums[h][k] if sums[h][k] else 0.0) + gap[h][k] * back for k in (0, 1)]
             edge = math.log(p[0] / p[1])
         out[b] = (edge, math.log(gap[b][0] / gap[b][1]) if b in gap else 0.0)
     return out
 
 
-def word_weight(word: str, table: dict[str, tuple[float, float]]) -> float:
-    word = word[: LONGEST - 1] + " "
-    sum_, last = 0.0, table.get("", (0.0, 0.0))
+def word_weight(word: bytes, table: dict[bytes, tuple[float, float]]) -> float:
+    word = word[: LONGEST - 1] + b" "
+    sum_, last = 0.0, table.get(b"", (0.0, 0.0))
     for i in range(1, len(word) + 1):
         found = table.get(word[:i])
         if found is None:
@@ -130,20 +140,20 @@ def word_weight(word: str, table: dict[str, tuple[float, float]]) -> float:
 EVIDENCE = ("whole", "eight", "three", "one")
 
 
-def evidence(texts: list[str | None], table: dict, cache: dict[str, float]) -> np.ndarray:
+def evidence(texts: pa.Array, table: dict, cache: dict[int, float]) -> np.ndarray:
+    words, hashes, which, at = words_in(texts)
+    each = np.empty(len(words))
+    for j, h in enumerate(hashes.tolist()):
+        x = cache.get(h)
+        if x is None:
+            if len(cache) > KEEP:
+                cache.clear()
+            x = cache[h] = word_weight(words[j], table)
+        each[j] = x
+    weight = each[which]
     out = np.zeros((len(texts), len(EVIDENCE)))
-    for i, text in enumerate(texts):
-        ws = words_of(text)
-        if not ws:
-            continue
-        if len(cache) > KEEP:
-            cache.clear()
-        v = np.empty(len(ws))
-        for j, w in enumerate(ws):
-            x = cache.get(w)
-            if x is None:
-                x = cache[w] = word_weight(w, table)
-            v[j] = x
+    for i in np.flatnonzero(np.diff(at)):
+        v = weight[at[i] : at[i + 1]]
         sums = np.concatenate(([0.0], np.cumsum(v)))
         out[i] = sums[-1] / len(v), *((sums[k:] - sums[:-k]).max() / k if len(v) >= k else sums[-1] / len(v) for k in (8, 3)), v.max()
     return out
@@ -169,7 +179,7 @@ class Model:
     def __init__(self, table: dict, curve: np.ndarray | None):
         self.table, self.curve, self.cache = table, curve, {}
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: pa.Array) -> np.ndarray:
         if self.curve is None:
             return np.zeros(len(texts))
         x = evidence(texts, self.table, self.cache)
@@ -180,7 +190,7 @@ def fold(id_column, n: int = 5):
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, least: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 8_000, least: int = 3) -> Model:
     """A model from labels(doc_id, toxic) of documents outside fold 0; at most most_labelled of each class."""
     clear = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("t2")).where("toxic = t2 and toxic in (0, 1)")
     pick = lambda k: clear.where(F.col("toxic") == k).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
@@ -196,9 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, least:
     spread = docs.sparkSession.sparkContext.broadcast(known)  # bounded by the sample
 
     def run(batches):
-        cache: dict[str, float] = {}
-        for batch in pieces(batches):
-            x = evidence(batch.column("text").to_pylist(), spread.value, cache)
+        cache: dict[int, float] = {}
+        for batch in pieces(batches, most=4 << 20):
+            x = evidence(batch.column("text"), spread.value, cache)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array(x[:, k]) for k in range(x.shape[1]))], ["doc_id", "toxic", *EVIDENCE])
 
     schema = ", ".join(["doc_id long", "toxic int", *(f"{c} double" for c in EVIDENCE)])
@@ -218,8 +228,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = Model(*spread.value)
-        for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.score(batch.column("text").to_pylist()), pa.float64())], [*names, "score"])
+        for batch in pieces(batches, most=4 << 20):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.score(batch.column("text")), pa.float64())], [*names, "score"])
 
     return docs.mapInArrow(run, schema)
 
