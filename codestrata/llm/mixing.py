@@ -19,6 +19,7 @@ slot) are replaced.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from fractions import Fraction
 
@@ -88,18 +89,24 @@ def mix_sources(docs: DataFrame, weights=None, period: int = 4096, block_rows: i
     parts = whole_parts(weights, max(period, len(weights)))
     period = sum(parts.values())
     blocks = {s: -(-counts[s] // block_rows) for s in parts}
-    turns = max(-(-blocks[s] // a) for s, a in parts.items())  # periods until the slowest source is through
-    plan = [(s, j, slot, parts[s], blocks[s], -(-turns * parts[s] // blocks[s]) if repeat else 1) for slot, (s, j) in enumerate(schedule(parts))]
+    plan = schedule(parts)
+    own: dict = {s: [] for s in parts}
+    for slot, (s, _) in enumerate(plan):
+        own[s].append(slot)
+    # The slot in which the last source is through.
+    end = 1 + max((blocks[s] - 1) // a * period + own[s][(blocks[s] - 1) % a] for s, a in parts.items())
+    dealt = {s: end // period * a + bisect.bisect_left(own[s], end % period) for s, a in parts.items()}
+    plan = [(s, j, slot, parts[s], blocks[s], -(-dealt[s] // blocks[s]) if repeat else 1) for slot, (s, j) in enumerate(plan)]
     slots = spark.createDataFrame(plan, f"_s {docs.schema['source'].dataType.simpleString()}, _j long, _slot long, _a long, _blocks long, _epochs int")
     rows = in_blocks(docs, block_rows, buckets, len(counts) * buckets <= 100_000)
     per_source = slots.groupBy("_s").agg(F.max("_a").alias("_a"), F.max("_blocks").alias("_blocks"), F.max("_epochs").alias("_epochs"))
     rows = rows.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)))
-    rows = rows.withColumn("_at", F.col("block") + F.col("epoch") * F.col("_blocks")).where(F.col("_at") < F.lit(turns) * F.col("_a"))
+    rows = rows.withColumn("_at", F.col("block") + F.col("epoch") * F.col("_blocks"))
     rows = rows.withColumns({"_mod": F.expr("_at % _a"), "_turn": F.expr("_at div _a")}).drop("_a", "_blocks", "_epochs", "_at")
     place = slots.select(F.col("_s"), F.col("_j"), F.col("_slot"))  # `period` rows
     rows = rows.join(F.broadcast(place), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_mod") == F.col("_j")))
-    return rows.withColumn("slot", F.col("_turn") * period + F.col("_slot")).drop("_s", "_j", "_slot", "_mod", "_turn", "nth")
+    return rows.withColumn("slot", F.col("_turn") * period + F.col("_slot")).where(F.col("slot") < end).drop("_s", "_j", "_slot", "_mod", "_turn", "nth")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
