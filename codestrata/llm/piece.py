@@ -268,6 +268,22 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     return decode(encode(docs, path), path).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def codec(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, round_trip) for each row of docs(doc_id, text); round_trip: decoding gives the text back."""
+
+    def run(batches):
+        model = PieceModel.of(path)
+        for batch in pieces(batches):
+            texts = batch.column("text").to_pylist()
+            ids = [model.encode(t or "") for t in texts]
+            same = [model.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(np.diff(offsets), pa.int64()), pa.array(same)], ["doc_id", "ids", "n_tokens", "round_trip"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -189,13 +189,15 @@ def as_expression(rules) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def fit(measured: DataFrame, labels: DataFrame, most_labelled: int = 20_000, precision: float = 0.9):
-    """Rules learned from a bounded sample of labelled documents (labels.quality 0: bad)."""
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, precision: float = 0.9):
+    """Rules learned from a bounded sample of labelled documents (labels.quality 0: bad). docs: measured, or with the texts."""
     clear = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2")
     sample = clear.select("doc_id", "q").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    rows = docs.join(F.broadcast(sample), "doc_id")  # at most most_labelled ids
+    if "n_words" not in docs.columns:
+        rows = measure(rows.select("doc_id", "q", "text"))
     names = [*COUNTS, *SHARES]
-    rows = measured.where(~base_failed()).withColumns(shares()).select("doc_id", F.struct(*names).alias("x"))
-    rows = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("q").alias("q"))
+    rows = rows.where(~base_failed()).withColumns(shares()).groupBy("doc_id").agg(F.min(F.struct(*names)).alias("x"), F.min("q").alias("q"))
     found = rows.select("doc_id", "q", "x.*").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).toPandas()
     return learn(found[names].to_numpy(float), found["q"].to_numpy() == 0, names, precision)
 

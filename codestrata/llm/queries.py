@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, piece, quality, sharding, tokencounts, toxicity
+from . import chat, crosspolytope, mixing, ngramjoin, piece, ppm, quality, sharding, tokencounts, toxicity
 
 QUERIES = {
+    "op1_cross_polytope": crosspolytope.query,
     "op2_mix_sources": mixing.query,
     "op3_shard_bytes": sharding.query,
     "op4_token_counts": tokencounts.query,
     "op5_chat_format": chat.query,
     "op6_piece_codec": piece.query,
+    "op7_ngram_join": ngramjoin.query,
+    "op8_ppm_score": ppm.query,
     "op9_quality_rules": quality.query,
     "op10_toxicity": toxicity.query,
 }
