@@ -58,10 +58,14 @@ def preceding_comments(wants: DataFrame, lines: DataFrame, key: str = "path", mo
     return grouped.select(key, "line_no", F.when(F.size(text) > 0, F.array_join(text, "\n")).alias("comment"))
 
 
+#: Word boundaries by ASCII letters, whatever the JVM takes for a letter.
+START, END = "(^|[^A-Za-z0-9_])", "($|[^A-Za-z0-9_])"
+
+
 def skipped_line(text: Column, name: Column) -> Column:
     """Lines that define a name or annotate a parameter with it, and so don't call it."""
     like = lambda before, after: F.regexp_like(text, F.concat(F.lit(before), name, F.lit(after)))
-    return like(r"\b(def|function)\s+", r"\b") | like(r"\bclass\s+", r"\b") | like(r"(?i)\b", r"\s*:\s*(Callable|str|int|float|bool|list|dict|tuple|set|Any|Optional|Union)\b")
+    return like(START + r"(def|function)\s+", END) | like(START + r"class\s+", END) | like("(?i)" + START, r"\s*:\s*(Callable|str|int|float|bool|list|dict|tuple|set|Any|Optional|Union)\b")
 
 
 def callsites(wants: DataFrame, lines: DataFrame, key: str = "path", tag: tuple[str, ...] = ()) -> DataFrame:
@@ -70,7 +74,7 @@ def callsites(wants: DataFrame, lines: DataFrame, key: str = "path", tag: tuple[
     # A cheap test first: most lines don't hold the name at all.
     quoted = F.regexp_replace("name", r"([^A-Za-z0-9_])", r"\\$1")
     near = near.where(F.col("text").contains(F.col("name"))).withColumn("_q", quoted)
-    near = near.where(F.regexp_like("text", F.concat(F.lit(r"\b"), F.col("_q"), F.lit(r"\b"))) & ~skipped_line(F.col("text"), F.col("_q")))
+    near = near.where(F.regexp_like("text", F.concat(F.lit(START), F.col("_q"), F.lit(END))) & ~skipped_line(F.col("text"), F.col("_q")))
     return near.groupBy(key, *tag, "name").agg(F.min("line_no").alias("line_no"), F.min_by("text", "line_no").alias("text"))
 
 

@@ -113,4 +113,4 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, of: DataFrame, depth: int)
         seen = cut(seen.unionAll(new))
     inner = seen.where(F.col("distance") < depth).select("id")
     touched = edges.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").unionAll(edges.join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    return nodes.join(seen, "id"), subgraph_edges(touched.dropDuplicates(["edge_seq"]))
+    return nodes.join(seen, "id"), subgraph_edges(touched)
