@@ -26,7 +26,9 @@ def watch_and_rebuild(changes: DataFrame, rebuild: Callable[[], None], checkpoin
     A streaming query over changes(path, ts) that calls rebuild() once for each micro-batch in which a burst has ended. Batches don't overlap, so
     neither do rebuilds. When rebuild raises, `failed` is told and the model before stays.
     """
-    bursts = sessions(changes.where(~ignored(F.col("path"))).withWatermark("ts", delay), gap)
+    # Session windows on streams need a key: all changes are one project's.
+    taken = changes.where(~ignored(F.col("path"))).withWatermark("ts", delay).withColumn("project", F.lit(0))
+    bursts = sessions(taken, gap, ("project",))
 
     def on_batch(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
