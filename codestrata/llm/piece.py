@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import pieces, table
 
 BLANK = "▁"
-KEEP = 300_000
+KEEP = 150_000
 
 
 class PieceModel:
@@ -228,44 +228,70 @@ class PieceModel:
 STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) for each row of docs(doc_id, text)."""
+ENCODED, DECODED = "doc_id long, ids array<int>", "doc_id long, ids array<int>, text string"
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+CODEC = "doc_id long, ids array<int>, n_tokens long, round_trip boolean"
+
+
+def lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
+def rows_of(column: pa.Array) -> list[list[int]]:
+    values, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+    return [values[a:b].tolist() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
 
+# Each of these turns batches into batches, so that a chain of them runs in one Python worker with one model.
+
+
+def encoding(path: str):
     def run(batches):
         model = PieceModel.of(path)
         for batch in pieces(batches):
             ids = [model.encode(t or "") for t in batch.column("text").to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids)], ["doc_id", "ids"])
 
+    return run
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, text) for each row of encoded(doc_id, ids)."""
 
+def decoding(path: str):
     def run(batches):
         model = PieceModel.of(path)
-        for batch in batches:
-            for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
-                texts = [model.decode(x.values.to_numpy().tolist()) for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+        for whole in batches:
+            for batch in (whole.slice(a, 256) for a in range(0, whole.num_rows, 256)):
+                texts = [model.decode(x) for x in rows_of(batch.column("ids"))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return run
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
+def digesting(path: str):
     def run(batches):
-        model = PieceModel.of(path)
-        decimal = [str(i).encode() for i in range(len(model.bytes_of))]
+        decimal = [str(i).encode() for i in range(len(PieceModel.of(path).bytes_of))]
         for batch in batches:
-            rows = [(x.values.to_numpy().tolist()) for x in batch.column("ids")]
+            rows = rows_of(batch.column("ids"))
             ids = [hashlib.sha256(b",".join(map(decimal.__getitem__, x))).hexdigest() for x in rows]
             texts = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in rows], pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decode(encode(docs, path), path).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return run
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids) for each row of docs(doc_id, text)."""
+    return docs.select("doc_id", "text").mapInArrow(encoding(path), ENCODED)
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, text) for each row of encoded(doc_id, ids)."""
+    return encoded.select("doc_id", "ids").mapInArrow(decoding(path), DECODED)
+
+
+def digest(docs: DataFrame, path: str) -> DataFrame:
+    """Encodes, decodes what was encoded, and gives digests of both."""
+    return docs.select("doc_id", "text").mapInArrow(lambda b: digesting(path)(decoding(path)(encoding(path)(b))), DIGEST)
 
 
 def codec(docs: DataFrame, path: str) -> DataFrame:
@@ -277,11 +303,9 @@ def codec(docs: DataFrame, path: str) -> DataFrame:
             texts = batch.column("text").to_pylist()
             ids = [model.encode(t or "") for t in texts]
             same = [model.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(np.diff(offsets), pa.int64()), pa.array(same)], ["doc_id", "ids", "n_tokens", "round_trip"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids), pa.array([len(x) for x in ids], pa.int64()), pa.array(same)], ["doc_id", "ids", "n_tokens", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, CODEC)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
