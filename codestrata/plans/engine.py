@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..extract import facts
 from ..lineage import cut
-from ..model import LIMITS, TOKEN_BUDGET
+from ..model import LIMITS, SNIPPET, TOKEN_BUDGET
 from ..operators import budget, evidence, graph, indexes, merge, resolve, search, traverse
 from ..sources import scan
 from . import plan as plans
@@ -111,11 +111,12 @@ class Engine:
         base = sum((F.length(F.coalesce(F.col(c), F.lit(""))) for c in ("id", "name", "kind", "path", "signature", "comment")), F.lit(0))
         shown = cut(shown.withColumn("coverage", graph.coverage_state(F.col("kind"), F.col("test_covered"))))
         levels = budget.allocate(shown.select(F.col("rank").alias("seq"), "id", "kind", "role", base.alias("base"), chars.alias("source_chars")), plan.token_budget or TOKEN_BUDGET).select("id", "level")
-        shown = shown.join(levels, "id", "left")
+        shown = cut(shown.join(levels, "id", "left"))
         rows = [r.asDict() for r in shown.orderBy("rank").collect()]
+        spans = self.spans(shown, files) if plan.source else {}
         for r in rows:
-            full = r.pop("source") if plan.source else None
-            r["text"], r["text_at"] = (full[:800] if r["level"] == "SNIPPET" else full) if full and r["level"] in ("FULL", "SNIPPET") else None, (r["sl"], r["el"])
+            r.pop("source")
+            r["text"], r["text_at"] = spans.get(r["id"], (None, None))
             r["unresolved"] = serialize.unresolved(r.pop("refs") or []) if "refs" in r else ""
         if plan.callsites:
             ends = nodes.select(F.col("id").alias("src"), "path", F.col("sl").alias("from_line"), F.col("el").alias("to_line"))
@@ -126,6 +127,15 @@ class Engine:
                 r["callsites"] = {d: n for (s, d), n in sites.items() if s == r["id"]}
         return rows
 
+    def spans(self, shown: DataFrame, files: DataFrame) -> dict[str, tuple[str, tuple[int, int]]]:
+        """For each node that shows its source, the text and lines of the merged span that it lies in; a span without a whole source is cut to a snippet."""
+        wide = shown.where(F.col("level").isin("FULL", "SNIPPET")).select("id", "path", "level", F.col("sl").alias("start_line"), F.col("el").alias("end_line"))
+        merged = budget.merge_spans(wide, ("path",))
+        texts = evidence.slices(merged.select("path", "span", F.col("start_line").alias("sl"), F.col("end_line").alias("el")), files).select("path", "span", "source")
+        held = budget.spans_of(wide, merged, ("path",)).join(texts, ["path", "span"]).collect()
+        whole = {(r["path"], r["span"]) for r in held if r["level"] == "FULL"}
+        return {r["id"]: (r["source"] if (r["path"], r["span"]) in whole else (r["source"] or "")[:SNIPPET], (r["span_start"], r["span_end"])) for r in held}
+
     def head(self, plan: plans.Plan, anchors: dict, ids: list[str]) -> list[list[str]]:
         """What comes before the body: doubts, notes on picked anchors, flow, blast radius."""
         g = self.graph

@@ -10,14 +10,14 @@ NODES = "node_seq long, id string, kind string, name string, qname string, path
 def shop(spark):
     rows = [
         (0, "project", "project", "shop", "shop", "", 0, 0),
-        (1, "src/pay.ts::src/pay.ts", "file", "src/pay.ts", "src/pay.ts", "src/pay.ts", 0, 20),
-        (2, "src/pay.ts::PaymentService", "class", "PaymentService", "PaymentService", "src/pay.ts", 1, 12),
-        (3, "src/pay.ts::PaymentService::charge", "method", "charge", "PaymentService.charge", "src/pay.ts", 2, 5),
-        (4, "src/pay.ts::PaymentService::refund", "method", "refund", "PaymentService.refund", "src/pay.ts", 6, 9),
-        (5, "src/out.ts::CheckoutController", "class", "CheckoutController", "CheckoutController", "src/out.ts", 0, 9),
-        (6, "src/out.ts::CheckoutController::runCheckout", "method", "runCheckout", "CheckoutController.runCheckout", "src/out.ts", 2, 6),
+        (1, "src/bill.ts::src/bill.ts", "file", "src/bill.ts", "src/bill.ts", "src/bill.ts", 0, 20),
+        (2, "src/bill.ts::BillingService", "class", "BillingService", "BillingService", "src/bill.ts", 1, 12),
+        (3, "src/bill.ts::BillingService::settle", "method", "settle", "BillingService.settle", "src/bill.ts", 2, 5),
+        (4, "src/bill.ts::BillingService::revert", "method", "revert", "BillingService.revert", "src/bill.ts", 6, 9),
+        (5, "src/out.ts::OrderController", "class", "OrderController", "OrderController", "src/out.ts", 0, 9),
+        (6, "src/out.ts::OrderController::placeOrder", "method", "placeOrder", "OrderController.placeOrder", "src/out.ts", 2, 6),
     ]
-    nodes = spark.createDataFrame([(*r, True, r[3] == "PaymentService", None, None, False) for r in rows], NODES)
+    nodes = spark.createDataFrame([(*r, True, r[3] == "BillingService", None, None, False) for r in rows], NODES)
     ids = [r[1] for r in rows]
     links = [("owns", 0, 1, None), ("owns", 1, 2, None), ("has_member", 2, 3, None), ("has_member", 2, 4, None), ("has_member", 5, 6, None), ("import", 5, 2, "import"), ("call", 6, 3, "scope"), ("call", 6, 3, "global_fallback")]
     edges = spark.createDataFrame([(n, ids[a], ids[b], k, m) for n, (k, a, b, m) in enumerate(links)] + [(99, ids[6], "external::x", "call", "scope")], "edge_seq long, src string, dst string, kind string, method string")
@@ -52,18 +52,18 @@ def test_inheritance(spark):
 
 def test_search(spark):
     nodes, _, ids = shop(spark)
-    top = search.discover(nodes, "PaymentService").orderBy("rank").collect()
+    top = search.discover(nodes, "BillingService").orderBy("rank").collect()
     assert top[0].id == ids[2]
     assert search.resolve_anchor(nodes, ids[3])[0] == "resolved"
-    status, found = search.resolve_anchor(nodes, "charge")
+    status, found = search.resolve_anchor(nodes, "settle")
     assert status == "resolved" and found.first().id == ids[3]
-    assert search.resolve_anchor(nodes, "payment")[0] == "ambiguous"
+    assert search.resolve_anchor(nodes, "billing")[0] == "ambiguous"
     assert search.resolve_anchor(nodes, "zzz")[0] == "not_found"
-    picked = search.resolve_all(nodes, [{"query": "payment"}, {"query": "zzz"}], True, True)
-    assert picked["status"] == "resolved" and picked["missing"] == ["payment", "zzz"] or picked["ids"]
-    row = {"CandidateDiscovery": ("class", "retrieval.CandidateDiscovery", "src/discovery.ts"), "getDiscovery": ("method", "X.getDiscovery", "src/x.ts")}
+    picked = search.resolve_all(nodes, [{"query": "billing"}, {"query": "zzz"}], True, True)
+    assert picked["status"] == "resolved" and picked["missing"] == ["billing", "zzz"] or picked["ids"]
+    row = {"WidgetDiscovery": ("class", "retrieval.WidgetDiscovery", "src/discovery.ts"), "getDiscovery": ("method", "X.getDiscovery", "src/x.ts")}
     two = spark.createDataFrame([(n, k, kind, k, q.split(".")[1] if kind == "class" else q, p) for n, (k, (kind, q, p)) in enumerate(row.items())], "node_seq long, id string, kind string, name string, qname string, path string")
-    assert {r.id: round(r.score, 6) for r in search.discover(two, "discovery").collect()} == {"CandidateDiscovery": 16.8, "getDiscovery": 11.8}
+    assert {r.id: round(r.score, 6) for r in search.discover(two, "discovery").collect()} == {"WidgetDiscovery": 16.8, "getDiscovery": 11.8}
 
 
 def test_strategy(spark):
