@@ -9,14 +9,16 @@ in bands (4**(j-1), 4**j]; a band's scheme hashes the universe into segments, ab
 largest sets. A differing shingle spoils one segment, so of the segments that aren't empty in both sets, all but
 that many are equal. Each set therefore has a budget of one more than the most it may differ by from any
 allowed partner, and spends it on the segments that cost least (those whose rarest shingle is in fewest documents, by counts
-over the whole corpus; ties by hash: the same order for everyone, so the choices of two alike sets meet). A set that
+over the whole corpus; ties by hash: the same order for everyone, so the choices of two alike sets meet). Every
+segment that a set spends beyond that budget is one more that two alike sets must share, so it spends an eighth
+more and pairs that share fewer are no candidates. A set that
 has too few filled segments indexes all of them and their one-deletion neighbourhoods, worth two each (segments
 of one shingle: one), and if that too is short, single shingles. A set near the top of its band is also indexed
 under the next scheme. Nothing is left out whatever the frequency: cost changes the order only.
 
-Links. In each index entry everyone is compared with its leader (smallest fingerprint); components of these links
-are found; then, in entries that still hold several components, all pairs across components are compared. Comparing
-is exact, on whole sets. Pairs within a component aren't expanded: they can't change a component.
+Links. First each set is compared with one other only: of the leaders (smallest fingerprints) of its entries the one
+it shares most entries with. Components of these links are found; then, in entries that still hold several
+components, all pairs across components that share enough are compared. Comparing is exact, on whole sets. Pairs within a component aren't expanded: they can't change a component.
 
 Null, empty and wordless texts: no shingles, own component. Repeated rows and copies: one result a row. Ids may
 repeat; a null id is never the smallest. Empty table: no rows. Other columns are ignored.
@@ -108,9 +110,9 @@ def schemes(n: int, t100: int) -> list[tuple[int, int]]:
     return out
 
 
-def entries(s: np.ndarray, cost: np.ndarray | None, t100: int = T100, per_segment: float = 2.0) -> np.ndarray:
-    """Index entries of a set; cost: in how many documents each shingle is (where it's common, else 0)."""
-    out = []
+def entries(s: np.ndarray, cost: np.ndarray | None, t100: int = T100, per_segment: float = 2.0) -> tuple[np.ndarray, int]:
+    """Index entries of a set, and how many of them it shares at least with any that is alike (if that one asks for no fewer); cost: in how many documents each shingle is (where it's common, else 0)."""
+    out, least = [], 1 << 30
     mixed = mix(s)
     for band, most in schemes(len(s), t100):
         m = max(8, int(4**band / per_segment))
@@ -126,19 +128,22 @@ def entries(s: np.ndarray, cost: np.ndarray | None, t100: int = T100, per_segmen
                 rank = np.argsort(exact, kind="stable")
             else:
                 rank = np.lexsort((exact, np.minimum.reduceat(cost[order], begin)))
-            out.append(exact[rank[: most + 1]])
+            shared = min(1 + most // 8, len(exact) - most)
+            least = min(least, shared)
+            out.append(exact[rank[: most + shared]])
             continue
+        least = 1
         out.append(exact)
         more = np.repeat(size > 1, size)
         out.append(mix((np.repeat(sums, size)[more] - mixed[order][more]) ^ salt))  # one-deletion neighbourhoods
         if 2 * len(size) - (size == 1).sum() <= most:
             single = mix(mixed ^ ~salt)
             out.append(single[np.argsort(single) if cost is None else np.lexsort((single, cost))][: most + 1])
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), least
 
 
 def index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], t100: int) -> DataFrame:
-    """(entry, set, n); copies in one task give theirs once."""
+    """(entry, set, n, least); copies in one task give theirs once."""
     spread = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
@@ -157,19 +162,19 @@ def index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], t100: int) ->
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     hit = known[at] == s
                     cost = np.where(hit, counts[at], 0) if hit.any() else None
-                e = entries(s, cost, t100)
+                e, least = entries(s, cost, t100)
                 found.append(e)
                 owner.append(own)
-                sizes.append((len(e), len(s)))
+                sizes.append((len(e), len(s), least))
             if found:
                 each = np.array(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(owner, np.int64), each[:, 0])), pa.array(np.repeat(each[:, 1], each[:, 0]).astype(np.int32))], ["entry", "set", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(owner, np.int64), each[:, 0])), *(pa.array(np.repeat(each[:, k], each[:, 0]).astype(np.int32)) for k in (1, 2))], ["entry", "set", "n", "least"])
 
-    return docs.select("text").mapInArrow(run, "entry long, set long, n int")
+    return docs.select("text").mapInArrow(run, "entry long, set long, n int, least int")
 
 
-def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t100: int, part: int = 256) -> DataFrame:
-    """The pairs(a, b) of class fingerprints that are alike. classes(set, doc_id): a document of each."""
+def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t100: int, unique: bool, part: int = 256) -> DataFrame:
+    """The pairs(a, b) of class fingerprints that are alike. classes(set, doc_id): a document of each. unique: no id stands for two texts."""
     pairs = stored(pairs.select("a", "b"))
     # a leader's members in salted parts of about `part`, each with the leader's set at its head
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
@@ -185,8 +190,8 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t100: int, part
             found = [s for s in shingles(batch.column("text")) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["set", "shingles"])
 
-    # One row a class: ids may repeat over different texts.
-    held = text.mapInArrow(sets, "set long, shingles binary").dropDuplicates(["set"])
+    held = text.mapInArrow(sets, "set long, shingles binary")
+    held = held if unique else held.dropDuplicates(["set"])
     dealt = wanted.join(held, "set").repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.desc("leads"))
 
     def compare(batches):
@@ -233,20 +238,24 @@ def join(docs: DataFrame, t100: int = T100, common_least: int = 64, most_common:
 
     same = Window.partitionBy("entry")
     shared = index(docs, common, t100).withColumns({"leader": F.min("set").over(same), "last": F.max("set").over(same)}).where(F.col("leader") != F.col("last"))
-    shared = stored(shared.select("entry", "set", "n", "leader").distinct())
-    heads = shared.where(F.col("set") == F.col("leader")).select("entry", F.col("n").alias("m"))
-    first = stored(shared.where(F.col("set") != F.col("leader")).join(heads, "entry").where(fits(F.col("n"), F.col("m"), t100)).select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct())
-    found = stored(links(docs, classes, first, t100))
+    shared = stored(shared.select("entry", "set", "n", "least", "leader").distinct())
+    unique = documents.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
+    heads = shared.where(F.col("set") == F.col("leader")).select("entry", F.col("n").alias("m"), F.col("least").alias("least_m"))
+    met = shared.where(F.col("set") != F.col("leader")).join(heads, "entry").where(fits(F.col("n"), F.col("m"), t100))
+    met = met.groupBy(F.col("leader").alias("a"), F.col("set").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("least", "least_m")).alias("least")).where("k >= least")
+    first = stored(met.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"))
+    found = stored(links(docs, classes, first, t100, unique))
     labels = components(found)
 
-    labelled = shared.join(labels.withColumnRenamed("node", "set"), "set", "left").select("entry", "set", "n", F.coalesce("label", "set").alias("label"))
+    labelled = shared.join(labels.withColumnRenamed("node", "set"), "set", "left").select("entry", "set", "n", "least", F.coalesce("label", "set").alias("label"))
     labelled = labelled.withColumns({"low": F.min("label").over(same), "high": F.max("label").over(same)}).where(F.col("low") != F.col("high")).drop("low", "high")
     left = stored(labelled)
-    other = left.select("entry", F.col("set").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
+    other = left.select("entry", F.col("set").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("least").alias("least_b"))
     rest = left.withColumnRenamed("set", "a").join(other, "entry").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & fits(F.col("n"), F.col("m"), t100))
-    rest = stored(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    rest = rest.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("least", "least_b")).alias("least")).where("k >= least").select("a", "b")
+    rest = stored(rest.join(first, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        found = stored(found.unionAll(links(docs, classes, rest, t100)))
+        found = stored(found.unionAll(links(docs, classes, rest, t100, unique)))
         labels = components(found)
 
     named = classes.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "doc_id", F.coalesce("label", "set").alias("label"))
