@@ -112,5 +112,5 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, of: DataFrame, depth: int)
         new = near.join(both, "at").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("distance", F.lit(d))
         seen = cut(seen.unionAll(new))
     inner = seen.where(F.col("distance") < depth).select("id")
-    touched = edges.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").unionAll(edges.join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    touched = edges.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"))
     return nodes.join(seen, "id"), subgraph_edges(touched)
