@@ -98,7 +98,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """MUL and its inverse to the powers 0 to n - 1, modulo 2**64."""
     if len(_powers.get("up", ())) < n:
-        size = max(1 << 21, n)
+        size = max((1 << 20) + (1 << 17), n)
         for name, base in (("up", MUL), ("down", MUL_INV)):
             p = np.full(size, base, np.uint64)
             p[0] = 1

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import pieces, table
 
 BLANK = "▁"
-KEEP = 150_000
+KEEP = 100_000
 
 
 class PieceModel:

@@ -27,24 +27,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, pieces, table, text_bytes, word_hashes, word_spans
+from .common import LOWER, MUL, mix, pieces, table, text_bytes, word_hashes, word_spans
 
 #: Words are runs of ASCII letters and digits and of all other characters outside ASCII.
 PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LONGEST = 16
-KEEP = 500_000
 DISCOUNT = 0.75
 
 
-def words_in(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Different lower-cased words of the texts, their hashes, which of them each word is, and where each text's words start (one more at the end)."""
+def words_in(column: pa.Array):
+    """Different lower-cased words of the texts (bytes, starts, ends), which of them each word is, and where each text's words start (one more at the end)."""
     data, at = text_bytes(column)
     data = LOWER[data]
     starts, ends, text = word_spans(data, at, PARTS)
-    hashes, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    return words, hashes, which, np.searchsorted(text, np.arange(len(at)))
+    _, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    return (data, starts[first], ends[first]), which, np.searchsorted(text, np.arange(len(at)))
+
+
+def begun(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word's beginnings of 1, 2, ... letters (its end counts as a blank; words are cut at LONGEST), and how many there are."""
+    length = np.minimum(ends - starts, LONGEST - 1)
+    place = np.arange(LONGEST)
+    letters = data[np.minimum(starts[:, None] + place, max(0, len(data) - 1))] if len(data) else np.zeros((len(starts), LONGEST), np.uint8)
+    letters = np.where(place < length[:, None], letters, 32).astype(np.uint64)
+    out, h = np.empty((len(starts), LONGEST), np.uint64), np.zeros(len(starts), np.uint64)
+    for i in range(LONGEST):
+        h = (h + letters[:, i] + np.uint64(1)) * MUL
+        out[:, i] = mix(h + np.uint64(i))
+    return out, length + 1
 
 
 def beginnings(labelled: DataFrame) -> DataFrame:
@@ -53,7 +63,9 @@ def beginnings(labelled: DataFrame) -> DataFrame:
     def run(batches):
         held: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
         for batch in pieces(batches):
-            words, _, which, at = words_in(batch.column("text"))
+            (data, starts, ends), which, at = words_in(batch.column("text"))
+            raw = data.tobytes()
+            words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             for i, toxic in enumerate(batch.column("toxic").to_pylist()):
                 for w in np.unique(which[at[i] : at[i + 1]]).tolist():
                     held[words[w]][toxic] += 1
@@ -126,31 +138,50 @@ def weights(rows: list[tuple[bytes, int, int]], totals: tuple[int, int]) -> dict
     return out
 
 
-def word_weight(word: bytes, table: dict[bytes, tuple[float, float]]) -> float:
-    word = word[: LONGEST - 1] + b" "
-    sum_, last = 0.0, table.get(b"", (0.0, 0.0))
-    for i in range(1, len(word) + 1):
-        found = table.get(word[:i])
-        if found is None:
-            return sum_ + last[1]
-        sum_, last = sum_ + found[0], found
-    return sum_
+class Weights:
+    """Weights of known beginnings, by hash: 24 bytes each."""
+
+    def __init__(self, known: dict[bytes, tuple[float, float]]):
+        self.root = known.get(b"", (0.0, 0.0))[1]
+        by_length: list[list[bytes]] = [[] for _ in range(LONGEST + 1)]
+        for b in known:
+            by_length[len(b)].append(b)
+        keys, values = [np.zeros(0, np.uint64)], [np.zeros((0, 2))]
+        for n, same in enumerate(by_length):
+            if n and same:
+                data = np.frombuffer(b"".join(same), np.uint8)
+                at = np.arange(len(same)) * n
+                full = np.array([b[-1:] == b" " for b in same])
+                # a beginning of n letters hashes as any word that starts with it; one that has its end, as itself
+                hashes, _ = begun(data, at, at + np.where(full, n - 1, n))
+                keys.append(hashes[:, n - 1])
+                values.append(np.array([known[b] for b in same]))
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(keys)
+        self.keys, self.edge, self.other = keys[order], values[order, 0], values[order, 1]
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Each word's weight: along its beginnings, up to the first that isn't known."""
+        hashes, n = begun(data, starts, ends)
+        total, other = np.zeros(len(starts)), np.full(len(starts), self.root)
+        live = np.arange(len(starts))
+        for i in range(LONGEST if len(self.keys) else 0):
+            live = live[n[live] > i]
+            at = np.minimum(np.searchsorted(self.keys, hashes[live, i]), len(self.keys) - 1)
+            hit = self.keys[at] == hashes[live, i]
+            total[live[~hit]] += other[live[~hit]]
+            live, at = live[hit], at[hit]
+            total[live] += self.edge[at]
+            other[live] = self.other[at]
+        return total
 
 
 EVIDENCE = ("whole", "eight", "three", "one")
 
 
-def evidence(texts: pa.Array, table: dict, cache: dict[int, float]) -> np.ndarray:
-    words, hashes, which, at = words_in(texts)
-    each = np.empty(len(words))
-    for j, h in enumerate(hashes.tolist()):
-        x = cache.get(h)
-        if x is None:
-            if len(cache) > KEEP:
-                cache.clear()
-            x = cache[h] = word_weight(words[j], table)
-        each[j] = x
-    weight = each[which]
+def evidence(texts: pa.Array, table: Weights) -> np.ndarray:
+    spans, which, at = words_in(texts)
+    weight = table.of(*spans)[which]
     out = np.zeros((len(texts), len(EVIDENCE)))
     for i in np.flatnonzero(np.diff(at)):
         v = weight[at[i] : at[i + 1]]
@@ -176,13 +207,13 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0)
 
 
 class Model:
-    def __init__(self, table: dict, curve: np.ndarray | None):
-        self.table, self.curve, self.cache = table, curve, {}
+    def __init__(self, table: Weights, curve: np.ndarray | None):
+        self.table, self.curve = table, curve
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.curve is None:
             return np.zeros(len(texts))
-        x = evidence(texts, self.table, self.cache)
+        x = evidence(texts, self.table)
         return 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
@@ -201,21 +232,20 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 8_000, least: i
     rows = [(b, t, o) for b, t, o in zip(*(c.to_pylist() for c in counted.toArrow().columns), strict=True)]
     first = [r for r in rows if len(r[0]) == 1]
     if not sum(r[1] for r in first) or not sum(r[2] for r in first):
-        return Model({}, None)
-    known = weights(rows, (sum(r[1] for r in first), sum(r[2] for r in first)))
+        return Model(Weights({}), None)
+    known = Weights(weights(rows, (sum(r[1] for r in first), sum(r[2] for r in first))))
     spread = docs.sparkSession.sparkContext.broadcast(known)  # bounded by the sample
 
     def run(batches):
-        cache: dict[int, float] = {}
-        for batch in pieces(batches, most=4 << 20):
-            x = evidence(batch.column("text"), spread.value, cache)
+        for batch in pieces(batches):
+            x = evidence(batch.column("text"), spread.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array(x[:, k]) for k in range(x.shape[1]))], ["doc_id", "toxic", *EVIDENCE])
 
     schema = ", ".join(["doc_id long", "toxic int", *(f"{c} double" for c in EVIDENCE)])
     seen = labelled.where(apart).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, schema)
     x = seen.groupBy("doc_id", "toxic").agg(*(F.max(c).alias(c) for c in EVIDENCE)).orderBy("doc_id").toPandas()  # a row for each sampled id
     if x["toxic"].nunique() < 2:
-        return Model({}, None)
+        return Model(Weights({}), None)
     return Model(known, fit_curve(x[list(EVIDENCE)].to_numpy(float), x["toxic"].to_numpy()))
 
 
@@ -228,7 +258,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = Model(*spread.value)
-        for batch in pieces(batches, most=4 << 20):
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.score(batch.column("text")), pa.float64())], [*names, "score"])
 
     return docs.mapInArrow(run, schema)
