@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 pytest.importorskip("codestrata.llm")
-from codestrata.llm import chat, common, crosspolytope, mixing, ngramjoin, piece, ppm, quality, sharding, tokencounts, toxicity  # noqa: E402
+from codestrata.llm import chat, common, crosspolytope, graph, mixing, ngramjoin, piece, ppm, quality, sharding, tokencounts, toxicity  # noqa: E402
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -190,6 +190,17 @@ def test_ngram_join_edges(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in got) == [(False, 2, 2), (False, 7, 7), (False, 7, 7), (False, 8, 8), (True, 0, 2)]
 
 
+def test_components_of_long_chains(spark):
+    """A chain of links is one component however long it is; rounds don't grow with its length."""
+    rng = random.Random(11)
+    names = rng.sample(range(10_000), 700)
+    chain, other = names[:600], names[600:]
+    links = [*itertools.pairwise(chain), *itertools.pairwise(other)]
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{n: min(chain) for n in chain}, **{n: min(other) for n in other}}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_ppm(spark):
     texts = [t for t in TEXTS if t is None or len(t) < 50_000]
     ids = [*range(len(texts) - 1), 3]
