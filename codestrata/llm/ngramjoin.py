@@ -69,7 +69,7 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def scan(docs: DataFrame, least: int = 4) -> DataFrame:
-    """(doc_id, n, set, shingle, docs): a row for each document, and rows with shingles that several documents of a block share."""
+    """(row, doc_id, n, set, shingle, docs): a row for each document, and rows with shingles that several documents of a block share. row: null if docs has none."""
 
     def run(batches):
         held, size = [], 0
@@ -77,7 +77,7 @@ def scan(docs: DataFrame, least: int = 4) -> DataFrame:
             sets = shingles(batch.column("text"))
             n = np.array([len(s) for s in sets])
             ids = batch.column("doc_id").cast(pa.int64())
-            yield rows(ids, pa.array(n), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), None, None)
+            yield rows(batch.column("row"), ids, pa.array(n), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), None, None)
             held += sets
             size += int(n.sum())
             if size >= BLOCK:
@@ -89,13 +89,14 @@ def scan(docs: DataFrame, least: int = 4) -> DataFrame:
     def common(held):
         found, counts = np.unique(np.concatenate(held), return_counts=True)
         keep = counts >= least
-        return rows(None, None, None, pa.array(found[keep].view(np.int64)), pa.array(counts[keep]))
+        return rows(None, None, None, None, pa.array(found[keep].view(np.int64)), pa.array(counts[keep]))
 
     def rows(*columns):
         n = next(len(c) for c in columns if c is not None)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else c.cast(pa.int64()) for c in columns], ["doc_id", "n", "set", "shingle", "docs"])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else c.cast(pa.int64()) for c in columns], ["row", "doc_id", "n", "set", "shingle", "docs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set long, shingle long, docs long")
+    row = F.col("row") if "row" in docs.columns else F.lit(None).cast("long").alias("row")
+    return docs.select(row, "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, set long, shingle long, docs long")
 
 
 def schemes(n: int, t100: int) -> list[tuple[int, int]]:
@@ -184,6 +185,8 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t100: int, uniq
     ids = stored(wanted.select("set").distinct().join(classes, "set").select("doc_id").distinct())
     few = ids.count() <= BROADCAST_IDS
     text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    if ids.where("doc_id is null").limit(1).count():  # a class with null ids only: its text is among those without an id
+        text = text.unionAll(docs.select("doc_id", "text").where("doc_id is null"))
 
     def sets(batches):
         for batch in pieces(batches):
@@ -224,11 +227,10 @@ def fits(x, y, t100: int):
     return 100 * F.least(x, y) >= t100 * F.greatest(x, y)
 
 
-def join(docs: DataFrame, t100: int = T100, common_least: int = 64, most_common: int = 200_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+def classed(docs: DataFrame, t100: int, common_least: int, most_common: int) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, n, set) for every row of docs(doc_id, text[, row]), and (set, doc_id, label) for every set; label: the smallest set of its component."""
     seen = stored(scan(docs))
-    documents = seen.where(F.col("n").isNotNull()).select("doc_id", "n", "set")
+    documents = seen.where(F.col("n").isNotNull()).select("row", "doc_id", "n", "set")
     # Only the order in which segments are chosen depends on these; so their number may be bounded for broadcast.
     frequent = seen.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= common_least).orderBy(F.desc("docs"), "shingle").limit(most_common).toArrow()
     known = frequent.column("shingle").to_numpy().view(np.uint64)
@@ -259,6 +261,18 @@ def join(docs: DataFrame, t100: int = T100, common_least: int = 64, most_common:
         labels = components(found)
 
     named = classes.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "doc_id", F.coalesce("label", "set").alias("label"))
+    return documents, named
+
+
+def groups(docs: DataFrame, t100: int = T100, common_least: int = 64, most_common: int = 200_000) -> DataFrame:
+    """(row, doc_id, label) for every row of docs(row, doc_id, text) with words."""
+    documents, named = classed(docs, t100, common_least, most_common)
+    return documents.where(F.col("set").isNotNull()).join(named.select("set", "label"), "set").select("row", "doc_id", "label")
+
+
+def join(docs: DataFrame, t100: int = T100, common_least: int = 64, most_common: int = 200_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
+    documents, named = classed(docs.select("doc_id", "text"), t100, common_least, most_common)
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "label").select("set", "component_id")
     joined = documents.where(F.col("set").isNotNull()).join(named, "set").select("doc_id", "n", "component_id")

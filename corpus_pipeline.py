@@ -25,14 +25,13 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (that with the smallest id) of each group of near duplicates."""
-    grouped = stored(ngramjoin.join(docs).select("doc_id", "component_id"))
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    out = grouped.where(~first).select("doc_id").distinct()
+    """One row (that with the smallest id; of equal or no ids, the first) of each group of near duplicates. Rows are told apart by number, since ids may be null or repeat."""
+    docs = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    grouped = stored(ngramjoin.groups(docs))
+    first = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
+    out = stored(grouped.join(first, "row", "left_anti").select("row"))
     few = out.count() <= ngramjoin.BROADCAST_IDS
-    kept = docs.join(F.broadcast(out) if few else out, "doc_id", "left_anti").select(COLUMNS)
-    again = grouped.where(first).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+    return docs.join(F.broadcast(out) if few else out, "row", "left_anti").select(COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

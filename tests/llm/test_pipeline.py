@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import random
 
 import pyarrow as pa
 import pytest
@@ -73,3 +74,17 @@ def test_stages(spark):
     assert collections.Counter(r.doc_id for r in five) == got
     for r in five[::5]:
         assert r.ids == lib.encode(rows[r.doc_id].text) and r.round_trip and r.n_tokens == len(r.ids)
+
+
+def test_unlike_with_null_and_repeated_ids(spark):
+    """Each group of near copies keeps one row, and nothing else is lost, whatever the ids."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(100))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    near = lambda t: t + " more words"
+    rows = [(None, a), (None, b), (None, near(b)), (7, c), (7, d), (1, near(d)), (7, c), (None, near(c)), (2, e), (2, f), (3, ""), (3, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in pipeline.unlike(spark, docs, DATA).collect())
+    of_b = {(None, b), (None, near(b))} & set(got)
+    assert len(of_b) == 1
+    assert got == collections.Counter([(None, a), *of_b, (7, c), (1, near(d)), (2, e), (2, f), (3, ""), (3, None), (None, None), (None, "")])

@@ -190,6 +190,14 @@ def test_ngram_join_edges(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in got) == [(False, 2, 2), (False, 7, 7), (False, 7, 7), (False, 8, 8), (True, 0, 2)]
 
 
+def test_ngram_join_null_ids(spark):
+    """Near copies meet although the only ids of one of them are null."""
+    near = " ".join([*BASE.split()[:295], "x", "y"])
+    texts, ids = [BASE, near, words(80), words(80)], [5, None, None, None]
+    got = ngramjoin.join(documents(spark, texts, ids)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles) for r in got) == sorted([(5, 5, len(shingle_set(BASE))), (0, 5, len(shingle_set(near))), *((0, 0, len(shingle_set(t))) for t in texts[2:])])
+
+
 def test_components_of_long_chains(spark):
     """A chain of links is one component however long it is; rounds don't grow with its length."""
     rng = random.Random(11)
