@@ -11,7 +11,9 @@ it a score from 0 to 1. So a few abusive words in a long document are seen, and
 
 Training uses at most `most_labelled` labelled documents of each class (by the hash of their id, fold 0 of
 crc32 mod 5 left out), whole; beginnings seen in fewer than `least` of them are left to the shared distribution.
-labels, lang, source and doc_id are no inputs of a score. Every document is scored whole.
+labels, lang, source and doc_id are no inputs of a score. Every document is scored whole: words are parted at marks
+outside ASCII too, and a run of more than 15 bytes, or of characters of three bytes and more (scripts that may have
+no spaces), gives a word from each of its characters on, cut at 15 bytes, so whatever is in it is looked at from its own start.
 
 Null and empty texts: evidence 0 in all parts. Without labels of both classes every score is 0. Documents with
 conflicting labels don't train. Repeated rows: each its own result. Empty table: no rows.
@@ -29,23 +31,52 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, MUL, mix, pieces, table, text_bytes, word_hashes, word_spans
 
-#: Words are runs of ASCII letters and digits and of all other characters outside ASCII.
+#: Words are runs of ASCII letters and digits and of all other characters outside ASCII but marks.
 PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LONGEST = 16
 DISCOUNT = 0.75
 
 
+def marks(data: np.ndarray) -> np.ndarray:
+    """data with blanks for marks and spaces outside ASCII: Latin-1's, U+2000 to U+206F, U+3000 to U+303F (but three that act as letters), full-width ASCII marks, U+FEFF."""
+    out = data.copy()
+    second, third = np.append(data[1:], 0)[: len(data)], np.append(data[2:], (0, 0))[: len(data)]
+    two = (data == 0xC2) & ~np.isin(second, (0xAA, 0xB5, 0xBA))
+    general = (data == 0xE2) & ((second == 0x80) | (second == 0x81) & (third < 0xB0))
+    cjk = (data == 0xE3) & (second == 0x80) & ~np.isin(third, (0x85, 0x86, 0x87))
+    wide = (data == 0xEF) & ((second == 0xBC) & ((third <= 0x8F) | (third >= 0x9A) & (third <= 0xA0) | (third >= 0xBB)) | (second == 0xBD) & ((third == 0x80) | (third >= 0x9B) & (third <= 0xA5)) | (second == 0xBB) & (third == 0xBF))
+    three = general | cjk | wide
+    for k, hit in ((0, two | three), (1, two | three), (2, three)):
+        out[np.flatnonzero(hit) + k] = 32
+    return out
+
+
+def spread_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans with long runs and runs of wide characters replaced by spans of at most LONGEST - 1 bytes from each of their characters on."""
+    if not len(starts):
+        return starts, ends, text
+    long = ends - starts > LONGEST - 1
+    wide = np.concatenate(([0], np.cumsum(data >= 0xE0)))
+    long |= wide[ends] > wide[starts]
+    size = np.where(long, ends - starts, 1)
+    run = np.repeat(np.arange(len(starts)), size)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) + starts[run]
+    keep = (at == starts[run]) | ((data[at] & 0xC0) != 0x80)  # not inside a character
+    at, run = at[keep], run[keep]
+    return at, np.where(long[run], np.minimum(at + LONGEST - 1, ends[run]), ends[run]), text[run]
+
+
 def words_in(column: pa.Array):
     """Different lower-cased words of the texts (bytes, starts, ends), which of them each word is, and where each text's words start (one more at the end)."""
     data, at = text_bytes(column)
-    data = LOWER[data]
-    starts, ends, text = word_spans(data, at, PARTS)
+    data = marks(LOWER[data])
+    starts, ends, text = spread_runs(data, *word_spans(data, at, PARTS))
     _, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
     return (data, starts[first], ends[first]), which, np.searchsorted(text, np.arange(len(at)))
 
 
 def begun(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each word's beginnings of 1, 2, ... letters (its end counts as a blank; words are cut at LONGEST), and how many there are."""
+    """Hashes of each word's beginnings of 1, 2, ... letters (its end counts as a blank; no word is longer than LONGEST - 1), and how many there are."""
     length = np.minimum(ends - starts, LONGEST - 1)
     place = np.arange(LONGEST)
     letters = data[np.minimum(starts[:, None] + place, max(0, len(data) - 1))] if len(data) else np.zeros((len(starts), LONGEST), np.uint8)
@@ -76,7 +107,7 @@ def beginnings(labelled: DataFrame) -> DataFrame:
     def flush(held):
         sums: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
         for word, n in held.items():
-            word = word[: LONGEST - 1] + b" "
+            word = word + b" "
             for i in range(1, len(word) + 1):
                 own = sums[word[:i]]
                 own[0] += n[0]

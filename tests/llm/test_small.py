@@ -286,6 +286,35 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_without_spaces(spark):
+    """What is far inside a run without spaces, or behind a mark outside ASCII, counts."""
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + i) for i in range(200)]
+    run = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    joined = lambda n: rng.choice("、。—…\u00a0\u200b").join(f"w{rng.randrange(400)}" for _ in range(n))
+    bad = "\u9f00\u9f01\u9f02"
+    texts = []
+    for i in range(400):
+        one = i % 4 == 0
+        if i % 8 < 4:
+            texts.append(run(rng.randint(10, 40)) + (bad if one else "") + run(rng.randint(5, 20)))
+        else:
+            texts.append(joined(20) + "—" + ("vileword" if one else "w7") + "。" + joined(5))
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert all((got[i] >= 0.5) == (i % 4 == 0) for i in range(300, 400))
+
+
+def test_toxicity_words():
+    raw = lambda t: [bytes(d[0][a:b]).decode(errors="replace") for d, which, _ in [toxicity.words_in(pa.array([t]))] for a, b in zip(d[1][which], d[2][which], strict=True)]
+    assert raw("It's Ünfair\u00a0or—not…") == ["it", "s", "Ünfair", "or", "not"]
+    assert raw("abcdefghijklmnopqr") == [*("abcdefghijklmnopqr"[i : i + 15] for i in range(18))]
+    assert raw("人、口") == ["人", "口"] and raw("人口山") == ["人口山", "口山", "山"] and raw("") == []
+    long = [toxicity.words_in(pa.array([t])) for t in ("x" * 40 + "é" * 40, "é" * 9)]
+    assert [len(which) for _, which, _ in long] == [80, 9]
+
+
 def test_search(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(5, 16))
