@@ -4,7 +4,8 @@ A vector's direction goes through three rounds of random signs and a fast Hadama
 the nearest signed axis. Each of `tables` tables has its own signs. When a bucket would hold more than
 `bucket_rows` rows on average, a second, shorter cross-polytope (over 2, 4, 8, ... rotated coordinates)
 refines it, so buckets keep their size as the table grows. A query looks into its `probes` nearest buckets in
-each table, ordered by how much nearer the nearest axis is. All candidates found are reranked by their exact
+each table (as many more for each doubling of the second polytope, so that recall doesn't fall as the table grows), ordered by
+how much nearer the nearest axis is. All candidates found are reranked by their exact
 distance on the original vectors, in double precision.
 
 Rows are dealt by (table, bucket, salt): a bucket of more than `salt_rows` rows is cut into so many salted
@@ -14,8 +15,8 @@ merged by query. Copies of a vector are one point: only the k + 1 smallest ids o
 be among anyone's nearest k (ties go to the smaller id), so the others aren't indexed, which loses nothing.
 
 Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of different length
-never meet. A vec_id that comes more than once is one row (its smallest vector). Fewer than k candidates found:
-fewer rows. Empty table: no rows. Queries are all rows with an id divisible by `every`; other columns are
+never meet. A vec_id that comes more than once is one row (its smallest vector). A query with fewer than k candidates
+is compared with all rows of its length, in blocks; fewer rows only where there are fewer others. Empty table: no rows. Queries are all rows with an id divisible by `every`; other columns are
 ignored.
 """
 
@@ -82,6 +83,11 @@ def buckets(x: np.ndarray, seed: int, fine: int, probes: int) -> np.ndarray:
     return np.take_along_axis(pair, np.argsort(cost, axis=1, kind="stable")[:, :probes], 1)
 
 
+def looked_at(probes: int, fine: int) -> int:
+    """Buckets that a query looks into in one table: `probes`, and as many again for each doubling of the second polytope."""
+    return probes * max(1, fine.bit_length())
+
+
 def usable(vector: str = "vector"):
     v = F.col(vector)
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -112,7 +118,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = 16,
                 for d in np.unique(size):
                     part = batch.filter(pa.array(size == d))
                     x, asks = matrix(part.column("vector")), part.column("query").to_numpy(zero_copy_only=False)
-                    for q, wanted in ((False, 1), (True, probes)):
+                    for q, wanted in ((False, 1), (True, looked_at(probes, fine_of[int(d)]))):
                         at = np.flatnonzero(asks == q)
                         if not len(at):
                             continue
@@ -132,7 +138,6 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = 16,
     dealt = indexed.join(hot, "bucket", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     own = F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int")
     dealt = dealt.withColumn("salt", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(own)))).drop("salts")
-    dealt = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", F.desc("query"))
 
     def compare(batches):
         key, queries, vectors_, best = None, [], None, None
@@ -174,8 +179,28 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = 16,
                 held.sort()
                 del held[k:]
 
-    found = dealt.mapInArrow(compare, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    def nearest(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("bucket", "query", "vec_id", "vector", "salt").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", F.desc("query"))
+        return dealt.mapInArrow(compare, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+    def exact(short: DataFrame, counts: list) -> DataFrame:
+        """Each short query against all points of its length: points and queries are cut into parts, and each two parts meet once."""
+        n_of = dict(lengths)
+        sizes = F.broadcast(vectors.sparkSession.createDataFrame([(d, -(-n_of[d] // salt_rows), -(-n // salt_rows)) for d, n in counts], "d int, p int, q int"))  # one row for each vector length
+        part = lambda k: F.pmod(F.xxhash64("vec_id"), F.col(k)).cast("int")
+        every_ = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+        given = points.withColumn("d", F.size("vector")).join(sizes, "d").withColumn("own", part("p")).withColumn("other", every_("q")).withColumn("salt", F.col("own") * F.col("q") + F.col("other")).withColumn("query", F.lit(False))
+        asked = short.join(sizes, "d").withColumn("own", part("q")).withColumn("other", every_("p")).withColumn("salt", F.col("other") * F.col("q") + F.col("own")).withColumn("query", F.lit(True))
+        return nearest(given.unionByName(asked).withColumn("bucket", F.col("d").cast("long")))
+
+    found = stored(nearest(dealt))
+    others = F.broadcast(vectors.sparkSession.createDataFrame([(d, min(k, n - 1)) for d, n in lengths], "d int, most int"))  # one row for each vector length
+    got = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("found"))
+    asking = rows.where(F.col("vec_id") % every == 0).withColumn("d", F.size("vector")).join(others, "d").join(got, "vec_id", "left")
+    short = stored(asking.where(F.coalesce("found", F.lit(0)) < F.col("most")).select("vec_id", "vector", "d"))
+    counts = [tuple(r) for r in short.groupBy("d").count().collect()]
+    if counts:
+        found = found.unionByName(exact(short, counts)).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -371,3 +371,34 @@ def test_search(spark):
             assert [v for _, v in got] == [v for _, v in want]
     assert hit / total >= 0.9
     assert crosspolytope.search(df.limit(0)).count() == 0
+
+
+def brute_search(x, queries, k=10):
+    for q in queries:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        yield q, np.argsort(d, kind="stable")[:k].tolist()
+
+
+def test_search_with_second_polytope(spark):
+    """Recall stays where buckets are refined: random vectors without clusters, bucket_rows so small that the second polytope is as large as it gets."""
+    x = np.random.default_rng(8).normal(size=(6000, 32)).astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, vector array<double>")
+    found = collections.defaultdict(set)
+    for r in crosspolytope.search(df, every=60, bucket_rows=2).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = [len(found[q] & set(want)) for q, want in brute_search(x, range(0, 6000, 60))]
+    assert sum(hits) >= 0.9 * 10 * len(hits)
+
+
+def test_search_in_small_tables(spark):
+    """Every query has k rows where there are as many others, the nearest ones, however few the rows are."""
+    x = np.random.default_rng(2).normal(size=(14, 64))
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(50 + i, [1.0, float(i), 2.0]) for i in range(4)] + [(99, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    found = collections.defaultdict(list)
+    for r in crosspolytope.search(df, every=1, salt_rows=5).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    assert {q: found[q] for q in range(14)} == dict(brute_search(x, range(14)))
+    assert all(sorted(found[50 + i]) == [50 + j for j in range(4) if j != i] for i in range(4)) and 99 not in found
