@@ -37,9 +37,14 @@ def preceding_comments(wants: DataFrame, lines: DataFrame, key: str = "path", mo
     (key, line_no, comment): the comment right above a line, at most `most` lines of it. Blank lines between the comment and the line are passed
     over; a line of another kind ends the search. `//` and `#` lines and blocks from slash-star to star-slash count.
     """
-    # Of the lines above only a bounded stretch can matter: the comment's lines and the blank ones before them.
+    # Of the lines above only `most` can matter, from the last that isn't blank on.
     above = lines.select(key, F.col("line_no").alias("at"), F.trim("text").alias("t"))
-    near = wants.select(key, "line_no").distinct().join(above, key).where((F.col("at") < F.col("line_no")) & (F.col("at") >= F.col("line_no") - 4 * most))
+    asked = wants.select(key, "line_no").distinct()
+    full = above.select(key, "at", F.when(F.col("t") != "", F.col("at")).alias("full"), F.lit(False).alias("asks"))
+    before = Window.partitionBy(key).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    full = full.unionByName(asked.select(key, F.col("line_no").alias("at"), F.lit(None).cast("int").alias("full"), F.lit(True).alias("asks"))).withColumn("last", F.max("full").over(before))
+    asked = full.where("asks").select(key, F.col("at").alias("line_no"), F.coalesce("last", F.col("at") - 1).alias("last"))
+    near = asked.join(above, key).where((F.col("at") <= F.col("last")) & (F.col("at") > F.col("last") - most)).drop("last")
     grouped = near.groupBy(key, "line_no").agg(F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("at", "t")))), lambda x: x["t"]).alias("up"))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("before").alias("state"))
 

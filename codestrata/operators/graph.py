@@ -81,19 +81,22 @@ def unresolved_index(unresolved: DataFrame) -> DataFrame:
     return unresolved.groupBy("from_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ref_seq", "raw_name", "kind"))), lambda x: F.struct(x["raw_name"].alias("raw_name"), x["kind"].alias("kind"))).alias("refs"))
 
 
-def chain(nodes: DataFrame, edges: DataFrame, of: DataFrame, kinds: tuple[str, ...] = ("inherit",), up: bool = True, most: int = 64) -> DataFrame:
+def chain(nodes: DataFrame, edges: DataFrame, of: DataFrame, kinds: tuple[str, ...] = ("inherit",), up: bool = True) -> DataFrame:
     """(of_id, depth, id): follows each node's first edge of some kinds until it ends, meets a missing node or a node it has passed."""
     here, there = ("src", "dst") if up else ("dst", "src")
     step = edges.where(F.col("kind").isin(*kinds)).groupBy(here).agg(F.min_by(there, "edge_seq").alias("next")).withColumnRenamed(here, "at")
     step = step.join(nodes.select(F.col("id").alias("next")), "next", "left_semi")
     level = of.select(F.col("id").alias("of_id"), F.col("id").alias("at"), F.array("id").alias("passed"))
-    found = None
-    for depth in range(1, most + 1):
+    found, depth = None, 0
+    while True:
+        depth += 1
         level = cut(level.join(step, "at").where(~F.array_contains("passed", F.col("next"))).select("of_id", F.col("next").alias("at"), F.concat("passed", F.array("next")).alias("passed")))
         if level.isEmpty():
             break
         row = level.select("of_id", F.lit(depth).alias("depth"), F.col("at").alias("id"))
         found = row if found is None else found.unionAll(row)
+        if depth % 16 == 0:
+            found = cut(found)
     return of.select(F.col("id").alias("of_id"), F.lit(0).alias("depth"), "id").limit(0) if found is None else found
 
 

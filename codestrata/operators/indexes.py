@@ -47,17 +47,22 @@ def innermost(items: DataFrame, scopes: DataFrame, exclude_own: bool, key: str =
     return met.groupBy(key).agg(F.min_by("scope_id", F.struct(size, F.col("scope_seq"))).alias("scope_id"))
 
 
-def scope_ancestors(scopes: DataFrame, most: int = 32) -> DataFrame:
-    """(scope_id, anc_id, depth): each scope's parents, itself at depth 0."""
+def scope_ancestors(scopes: DataFrame) -> DataFrame:
+    """(scope_id, anc_id, depth): each scope's parents up to the last, or to one that it has passed; itself at depth 0."""
     from ..lineage import cut
 
     parent = scopes.select(F.col("id").alias("anc_id"), "parent_scope_id")
-    level = found = cut(scopes.select(F.col("id").alias("scope_id"), F.col("id").alias("anc_id"), F.lit(0).alias("depth")).distinct())
-    for d in range(1, most + 1):
-        level = cut(level.join(parent, "anc_id").where(F.col("parent_scope_id").isNotNull()).select("scope_id", F.col("parent_scope_id").alias("anc_id"), F.lit(d).alias("depth")))
+    level = cut(scopes.select(F.col("id").alias("scope_id"), F.col("id").alias("anc_id"), F.array("id").alias("passed")).distinct())
+    found, d = level.select("scope_id", "anc_id", F.lit(0).alias("depth")), 0
+    while True:
+        d += 1
+        up = level.join(parent, "anc_id").where(F.col("parent_scope_id").isNotNull() & ~F.array_contains("passed", F.col("parent_scope_id")))
+        level = cut(up.select("scope_id", F.col("parent_scope_id").alias("anc_id"), F.concat("passed", F.array("parent_scope_id")).alias("passed")))
         if level.isEmpty():
             break
-        found = found.unionAll(level)
+        found = found.unionAll(level.select("scope_id", "anc_id", F.lit(d).alias("depth")))
+        if d % 16 == 0:
+            found = cut(found)
     return found
 
 

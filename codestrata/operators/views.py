@@ -28,16 +28,19 @@ def flat(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own, refs.unionByName(holds)
 
 
-def closure(edges: DataFrame, roots: DataFrame, most: int = 16) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id): everything that some nodes contain, themselves too. roots(id)."""
     holds = edges.where(contained()).select(F.col("src").alias("id"), F.col("dst").alias("child")).distinct()
     level = cut(roots.select(F.col("id").alias("root"), "id").distinct())
-    found = level
-    for _ in range(most):
+    found, depth = level, 0
+    while True:
+        depth += 1
         level = cut(level.join(holds, "id").select("root", F.col("child").alias("id")).distinct().join(found, ["root", "id"], "left_anti"))
         if level.isEmpty():
             break
         found = found.unionAll(level)
+        if depth % 16 == 0:
+            found = cut(found)
     return found
 
 

@@ -1,6 +1,6 @@
 """Operators on rows built by hand."""
 
-from codestrata.operators import budget, evidence, graph, merge, search, traverse
+from codestrata.operators import budget, evidence, graph, indexes, merge, search, traverse, views
 from codestrata.sources import scan, store
 from codestrata.streaming import watch
 
@@ -132,3 +132,24 @@ def test_watch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert calls
+
+
+def test_deep_walks(spark):
+    """Walks go on until they end, however deep, and end in cycles."""
+    n = 70
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    edges = spark.createDataFrame([(i, i + 1, "owns", i) for i in range(n - 1)] + [(n - 1, 0, "owns", n)], "src long, dst long, kind string, edge_seq long")
+    root = nodes.where("id = 0")
+    assert sorted(r.depth for r in graph.chain(nodes, edges, root, ("owns",)).collect()) == list(range(1, n))
+    assert sorted(r.id for r in views.closure(edges, root).collect()) == list(range(n))
+    scopes = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)] + [(100, 101), (101, 100)], "id long, parent_scope_id long")
+    got = indexes.scope_ancestors(scopes).where("scope_id in (39, 100)").collect()
+    assert sorted((r.scope_id, r.depth, r.anc_id) for r in got) == [(39, d, 39 - d) for d in range(40)] + [(100, 0, 100), (100, 1, 101)]
+
+
+def test_comment_far_above(spark):
+    """Blank lines between a comment and its line don't count, however many."""
+    source = "\n".join(["x = 1", "# far", *[""] * 60, "def f():"])
+    lines = evidence.lines_of(spark.createDataFrame([("p", source), ("q", "\n\ndef g():")], "path string, source string"))
+    wants = spark.createDataFrame([("p", 62), ("q", 2)], "path string, line_no int")
+    assert {r.path: r.comment for r in evidence.preceding_comments(wants, lines).collect()} == {"p": "# far", "q": None}
