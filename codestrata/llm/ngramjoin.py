@@ -1,24 +1,28 @@
 """Op 7, n-gram Jaccard join: documents whose sets of word shingles are alike, exactly, by a universe partition.
 
 Sets. Words of the lower-cased text; every five in a row are a shingle (fewer words: all of them are one), held as
-64-bit hashes. Documents with equal sets are one class (64-bit fingerprint of the set and its size), so copies
-are joined once, however many they are.
+64-bit hashes. Documents with equal sets are one class (a 64-bit hash of the set; where two sets share that, a
+second one tells them apart), so copies are joined once, however many they are.
 
 Candidates. Two sets of sizes x and y that are alike differ in at most (x + y)(1 - t)/(1 + t) shingles. Sizes are
-in bands (4**(j-1), 4**j]; a band's scheme hashes the universe into segments, about two shingles in each of the
-largest sets. A differing shingle spoils one segment, so of the segments that aren't empty in both sets, all but
-that many are equal. Each set therefore has a budget of one more than the most it may differ by from any
-allowed partner, and spends it on the segments that cost least (those whose rarest shingle is in fewest documents, by counts
-over the whole corpus; ties by hash: the same order for everyone, so the choices of two alike sets meet). Every
-segment that a set spends beyond that budget is one more that two alike sets must share, so it spends an eighth
-more and pairs that share fewer are no candidates. A set that
-has too few filled segments indexes all of them and their one-deletion neighbourhoods, worth two each (segments
-of one shingle: one), and if that too is short, single shingles. A set near the top of its band is also indexed
-under the next scheme. Nothing is left out whatever the frequency: cost changes the order only.
-
-Links. First each set is compared with one other only: of the leaders (smallest fingerprints) of its entries the one
-it shares most entries with. Components of these links are found; then, in entries that still hold several
-components, all pairs across components that share enough are compared. Comparing is exact, on whole sets. Pairs within a component aren't expanded: they can't change a component.
+in bands (4**(j-1), 4**j]; a band's scheme hashes the universe into a few more segments than the most that its
+largest sets may differ by, so that those have about three shingles in each. A set has to spend a budget of one more than
+the most it may differ by from any allowed partner (and an eighth: alike sets then share that many entries more, and pairs that
+share fewer are no candidates). It spends along one sequence of steps, the same for every set of the
+band: index the segments whose lists are short, cheapest first; index their one-deletion neighbourhoods too,
+cheapest first; then the segments with long lists, and their one-deletion neighbourhoods. A segment is worth one step, or
+two with its neighbourhood (one, if it holds one shingle), and empty ones nothing. Of two alike sets, the one that stops first has taken no
+step that the other hasn't, and shingles that differ spoil at most as many steps as there are such shingles; so they
+meet. The cost of a segment is how many documents hold frequent shingles that fall in it, over the whole corpus; it orders
+steps only. A set whose segments are used up also indexes single shingles. A set near the top of its
+band is also indexed under the next scheme. Nothing is left out, whatever the frequency.
+
+Links. Each entry's leader is the set whose shingles are most frequent (the centre of a family of near copies rather than
+its rim). Sets are compared with their entries' leaders, and components of these links are found. Entries that
+still hold several components are left: those of at most `few` sets give pairs of sets that share enough entries;
+sets of larger ones are gathered by leader, cut into parts by number and size, and each two parts meet in one task, which counts
+all their intersections as a product of matrices and hands on only the links that join components. Comparing is exact, on whole sets.
+Pairs within a component aren't expanded: they can't change a component.
 
 Null, empty and wordless texts: no shingles, own component. Repeated rows and copies: one result a row. Ids may
 repeat; a null id is never the smallest. Empty table: no rows. Other columns are ignored.
@@ -37,6 +41,8 @@ from .graph import components
 N, T100 = 5, 75
 BLOCK = 2_000_000
 BROADCAST_IDS = 1_000_000
+#: Sets and shingles in a part of a leader's group; two parts meet in one task.
+PART_SETS, PART_SHINGLES = 1024, 300_000
 
 
 def shingles(column: pa.Array, n: int = N) -> list[np.ndarray]:
@@ -63,13 +69,28 @@ def shingles(column: pa.Array, n: int = N) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(s: np.ndarray) -> int:
-    total = mix(s).sum(dtype=np.uint64, keepdims=True)
-    return int(mix(total * MUL + np.uint64(len(s))).view(np.int64)[0])
+def fingerprints(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    mixed = mix(s)
+    total, other = mixed.sum(dtype=np.uint64, keepdims=True), mix(mixed + MUL).sum(dtype=np.uint64, keepdims=True)
+    size = np.uint64(len(s))
+    return int(mix(total * MUL + size).view(np.int64)[0]), int(mix(other * MUL + size).view(np.int64)[0])
+
+
+class Naming:
+    """Names of sets: the first hash, cut to `bits`; the second for names in `clash`, which stand for several sets."""
+
+    def __init__(self, bits: int = 64, clash: frozenset[int] = frozenset()):
+        self.bits, self.clash = bits, clash
+
+    def of(self, s: np.ndarray) -> int:
+        first, second = fingerprints(s)
+        first = first & (1 << self.bits) - 1 if self.bits < 64 else first
+        return second if first in self.clash else first
 
 
-def scan(docs: DataFrame, least: int = 4) -> DataFrame:
-    """(row, doc_id, n, set, shingle, docs): a row for each document, and rows with shingles that several documents of a block share. row: null if docs has none."""
+def scan(docs: DataFrame, naming: Naming, least: int = 4) -> DataFrame:
+    """(row, doc_id, n, set, check, shingle, docs): a row for each document, and rows with shingles that several documents of a block share. row: null if docs has none."""
 
     def run(batches):
         held, size = [], 0
@@ -77,7 +98,8 @@ def scan(docs: DataFrame, least: int = 4) -> DataFrame:
             sets = shingles(batch.column("text"))
             n = np.array([len(s) for s in sets])
             ids = batch.column("doc_id").cast(pa.int64())
-            yield rows(batch.column("row"), ids, pa.array(n), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), None, None)
+            names = [(naming.of(s), fingerprints(s)[1]) if len(s) else (None, None) for s in sets]
+            yield rows(batch.column("row"), ids, pa.array(n), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)), None, None)
             held += sets
             size += int(n.sum())
             if size >= BLOCK:
@@ -89,14 +111,14 @@ def scan(docs: DataFrame, least: int = 4) -> DataFrame:
     def common(held):
         found, counts = np.unique(np.concatenate(held), return_counts=True)
         keep = counts >= least
-        return rows(None, None, None, None, pa.array(found[keep].view(np.int64)), pa.array(counts[keep]))
+        return rows(None, None, None, None, None, pa.array(found[keep].view(np.int64)), pa.array(counts[keep]))
 
     def rows(*columns):
         n = next(len(c) for c in columns if c is not None)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else c.cast(pa.int64()) for c in columns], ["row", "doc_id", "n", "set", "shingle", "docs"])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else c.cast(pa.int64()) for c in columns], ["row", "doc_id", "n", "set", "check", "shingle", "docs"])
 
     row = F.col("row") if "row" in docs.columns else F.lit(None).cast("long").alias("row")
-    return docs.select(row, "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, set long, shingle long, docs long")
+    return docs.select(row, "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, set long, check long, shingle long, docs long")
 
 
 def schemes(n: int, t100: int) -> list[tuple[int, int]]:
@@ -111,77 +133,110 @@ def schemes(n: int, t100: int) -> list[tuple[int, int]]:
     return out
 
 
-def entries(s: np.ndarray, cost: np.ndarray | None, t100: int = T100, per_segment: float = 2.0) -> tuple[np.ndarray, int]:
-    """Index entries of a set, and how many of them it shares at least with any that is alike (if that one asks for no fewer); cost: in how many documents each shingle is (where it's common, else 0)."""
-    out, least = [], 1 << 30
+def segments(band: int, t100: int) -> int:
+    """How many segments a band's scheme has: a seventh more than the budget of its largest sets."""
+    return max(4, (2 * 4**band * (100 - t100) // (100 + t100) + 1) * 8 // 7)
+
+
+def segment_of(s: np.ndarray, band: int, t100: int) -> tuple[np.ndarray, np.uint64]:
+    salt = np.uint64((band + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
+    return ((mix(s ^ salt) >> np.uint64(33)) % np.uint64(segments(band, t100))).astype(np.int64), salt
+
+
+class Costs:
+    """The order of a band's segments by cost, and which of them have long lists; from shingles that are frequent in the corpus and their numbers of documents."""
+
+    def __init__(self, shingles_: np.ndarray, docs: np.ndarray, t100: int):
+        self.shingles, self.docs, self.t100, self.bands = shingles_, docs, t100, {}
+
+    def of(self, band: int) -> tuple[np.ndarray, np.ndarray]:
+        if band not in self.bands:
+            m = segments(band, self.t100)
+            cost = np.bincount(segment_of(self.shingles, band, self.t100)[0], weights=self.docs, minlength=m) if len(self.shingles) else np.zeros(m)
+            rank = np.empty(m, np.int64)
+            rank[np.argsort(cost, kind="stable")] = np.arange(m)
+            self.bands[band] = rank, cost > 2 * np.median(cost) + 64
+        return self.bands[band]
+
+    def frequency(self, s: np.ndarray) -> float:
+        """In how many documents a shingle of the set is on average, as far as known."""
+        if not len(self.shingles):
+            return 0.0
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        return float(np.where(self.shingles[at] == s, self.docs[at], 0).mean())
+
+
+def entries(s: np.ndarray, costs: Costs, t100: int = T100) -> tuple[np.ndarray, int, int]:
+    """Index entries of a set, how many of them it shares at least with any that is alike (if that one asks for no fewer), and how many one-deletion neighbourhoods it indexes."""
+    out, least, neighbourhoods = [], 1 << 20, 0
     mixed = mix(s)
     for band, most in schemes(len(s), t100):
-        m = max(8, int(4**band / per_segment))
-        salt = np.uint64((band + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
-        segment = ((mix(s ^ salt) >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
-        begin = np.flatnonzero(np.diff(segment[order], prepend=-1))
+        segment, salt = segment_of(s, band, t100)
+        rank, long = costs.of(band)
+        # short lists first, by cost
+        place = rank[segment] + np.where(long[segment], len(rank), 0)
+        order = np.argsort(place, kind="stable")
+        begin = np.flatnonzero(np.diff(place[order], prepend=-1))
         size = np.diff(np.append(begin, len(s)))
+        name = mix(segment[order][begin].astype(np.uint64) ^ salt)
         sums = np.add.reduceat(mixed[order], begin)
-        exact = mix(sums ^ salt)
-        if len(exact) > most:
-            if cost is None:
-                rank = np.argsort(exact, kind="stable")
-            else:
-                rank = np.lexsort((exact, np.minimum.reduceat(cost[order], begin)))
-            shared = min(1 + most // 8, len(exact) - most)
-            least = min(least, shared)
-            out.append(exact[rank[: most + shared]])
-            continue
-        least = 1
-        out.append(exact)
-        more = np.repeat(size > 1, size)
-        out.append(mix((np.repeat(sums, size)[more] - mixed[order][more]) ^ salt))  # one-deletion neighbourhoods
-        if 2 * len(size) - (size == 1).sum() <= most:
-            single = mix(mixed ^ ~salt)
-            out.append(single[np.argsort(single) if cost is None else np.lexsort((single, cost))][: most + 1])
-    return np.unique(np.concatenate(out)), least
-
-
-def index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], t100: int) -> DataFrame:
-    """(entry, set, n, least); copies in one task give theirs once."""
+        every, short = np.arange(len(begin)), int((~long[segment[order][begin]]).sum())
+        of = np.concatenate((every[:short], every[:short], every[short:], every[short:]))  # the segment of each step
+        more = np.repeat([False, True, False, True], [short, short, len(every) - short, len(every) - short])  # its neighbourhood
+        worth = np.cumsum(np.where(more, size[of] > 1, True))
+        wanted = most + 1 + most // 8
+        steps = np.searchsorted(worth, wanted) + 1
+        least = min(least, max(1, min(wanted, worth[-1]) - most))
+        of, more = of[:steps], more[:steps]
+        out.append(mix(sums ^ name)[of[~more]])
+        also = np.zeros(len(begin), bool)
+        also[of[more]] = True
+        also &= size > 1
+        neighbourhoods += int(also.sum())
+        inside = np.repeat(np.arange(len(begin)), size)
+        at = np.flatnonzero(also[inside])
+        out.append(mix((sums[inside[at]] - mixed[order][at]) ^ name[inside[at]]))
+        if worth[-1] <= most:
+            out.append(mix(mixed ^ ~salt))
+    return np.unique(np.concatenate(out)), least, neighbourhoods
+
+
+#: Of a packed number: 20 bits of frequency, 28 of size, 15 of least shared entries.
+FREQUENCY, SIZE, LEAST = 20, 28, 15
+
+
+def packed(frequency: float, n: int, least: int) -> int:
+    return min(int(frequency * 16), (1 << FREQUENCY) - 1) << SIZE + LEAST | n << LEAST | min(least, (1 << LEAST) - 1)
+
+
+def index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], naming: Naming, t100: int) -> DataFrame:
+    """(entry, set, info): info is packed(); copies in one task give theirs once."""
     spread = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        known, counts = spread.value
+        costs = Costs(*spread.value, t100)
         seen: set[int] = set()
         for batch in pieces(batches):
-            found, owner, sizes = [], [], []
+            found, owner, info, size = [], [], [], []
             for s in shingles(batch.column("text")):
-                if not len(s) or (own := fingerprint(s)) in seen:
+                if not len(s) or (own := naming.of(s)) in seen:
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(own)
-                cost = None
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    hit = known[at] == s
-                    cost = np.where(hit, counts[at], 0) if hit.any() else None
-                e, least = entries(s, cost, t100)
+                e, least, _ = entries(s, costs, t100)
                 found.append(e)
                 owner.append(own)
-                sizes.append((len(e), len(s), least))
+                info.append(packed(costs.frequency(s), len(s), least))
+                size.append(len(e))
             if found:
-                each = np.array(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(owner, np.int64), each[:, 0])), *(pa.array(np.repeat(each[:, k], each[:, 0]).astype(np.int32)) for k in (1, 2))], ["entry", "set", "n", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *(pa.array(np.repeat(np.array(x, np.int64), size)) for x in (owner, info))], ["entry", "set", "info"])
 
-    return docs.select("text").mapInArrow(run, "entry long, set long, n int, least int")
+    return docs.select("text").mapInArrow(run, "entry long, set long, info long")
 
 
-def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t100: int, unique: bool, part: int = 256) -> DataFrame:
-    """The pairs(a, b) of class fingerprints that are alike. classes(set, doc_id): a document of each. unique: no id stands for two texts."""
-    pairs = stored(pairs.select("a", "b"))
-    # a leader's members in salted parts of about `part`, each with the leader's set at its head
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    members = pairs.join(many, "a").select(F.col("b").alias("set"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("leads"))
-    leads = many.select(F.col("a").alias("set"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("leads"))
-    wanted = stored(members.unionAll(leads))
+def fetched(docs: DataFrame, classes: DataFrame, wanted: DataFrame, naming: Naming, unique: bool) -> DataFrame:
+    """wanted(set, ...) with the set's `shingles`. classes(set, doc_id): a document of each. unique: no id stands for two texts."""
     ids = stored(wanted.select("set").distinct().join(classes, "set").select("doc_id").distinct())
     few = ids.count() <= BROADCAST_IDS
     text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -191,11 +246,20 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t100: int, uniq
     def sets(batches):
         for batch in pieces(batches):
             found = [s for s in shingles(batch.column("text")) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["set", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([naming.of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.large_binary()).cast(pa.binary())], ["set", "shingles"])
 
     held = text.mapInArrow(sets, "set long, shingles binary")
-    held = held if unique else held.dropDuplicates(["set"])
-    dealt = wanted.join(held, "set").repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.desc("leads"))
+    return wanted.join(held if unique else held.dropDuplicates(["set"]), "set")
+
+
+def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t100: int, naming: Naming, unique: bool, part: int = 256) -> DataFrame:
+    """The pairs(a, b) of sets that are alike: a leader's members come in salted parts of about `part`, each with the leader's set at its head."""
+    pairs = stored(pairs.select("a", "b"))
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    members = pairs.join(many, "a").select(F.col("b").alias("set"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("leads"))
+    leads = many.select(F.col("a").alias("set"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("leads"))
+    wanted = stored(members.unionAll(leads))
+    dealt = fetched(docs, classes, wanted, naming, unique).repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.desc("leads"))
 
     def compare(batches):
         key, own = None, None
@@ -214,6 +278,87 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t100: int, uniq
     return dealt.select("set", "leader", "salt", "leads", "shingles").mapInArrow(compare, "a long, b long")
 
 
+def meetings(docs: DataFrame, classes: DataFrame, members: DataFrame, t100: int, naming: Naming, unique: bool, part_sets: int = PART_SETS, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """(a, b): links that join the components of members(leader, set, n, label) of each leader's group which hold alike sets."""
+    groups_ = members.groupBy("leader").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / part_sets), F.ceil(F.sum("n") / part_shingles)).cast("int").alias("parts"))
+    own, part, j = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"), F.col("part"), F.col("j")
+    dealt = members.join(groups_, "leader").withColumn("part", own).withColumn("j", F.explode(F.when(F.col("parts") <= 2, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))).where(part != j)
+    meeting = F.when(j < 0, F.lit(0).cast("long")).otherwise(F.least(part, j).cast("long") * F.col("parts") + F.greatest(part, j))
+    wanted = stored(dealt.select("leader", meeting.alias("meeting"), "set", "label"))
+    dealt = fetched(docs, classes, wanted, naming, unique).repartition("leader", "meeting").sortWithinPartitions("leader", "meeting")
+
+    def run(batches):
+        key, held = None, []
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                for *own_key, set_, label, raw in zip(*(batch.column(c).to_pylist() for c in ("leader", "meeting", "set", "label", "shingles")), strict=True):
+                    if own_key != key:
+                        yield from joined(held)
+                        key, held = own_key, []
+                    held.append((set_, label, np.frombuffer(raw, np.uint64)))
+        yield from joined(held)
+
+    def joined(held):
+        names, labels, sets = [x[0] for x in held], np.unique([x[1] for x in held], return_inverse=True)[1] if held else [], [x[2] for x in held]
+        if len(set(labels)) > 1 and (found := joins(sets, labels, t100)):
+            yield pa.RecordBatch.from_arrays([pa.array([names[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.select("leader", "meeting", "set", "label", "shingles").mapInArrow(run, "a long, b long")
+
+
+def joins(sets: list[np.ndarray], labels: np.ndarray, t100: int) -> list[tuple[int, int]]:
+    """Pairs of places in sets, as few as join all labels (numbers from 0) that alike sets join."""
+    n = np.array([len(s) for s in sets])
+    shared = intersections(sets)
+    close = (100 * shared >= t100 * (n[:, None] + n[None, :] - shared)) & (labels[:, None] != labels[None, :])
+    rows = np.flatnonzero(close.any(1))
+    if not len(rows):
+        return []
+    close = close[np.ix_(rows, rows)]
+    own, of = labels[rows], np.arange(labels.max() + 1)
+    while True:
+        near = np.where(close, of[own][None, :], len(of)).min(1)
+        new = of.copy()
+        np.minimum.at(new, own, near)
+        np.minimum.at(new, of[own], near)  # the whole tree hooks on
+        new = np.minimum(new, new[new])
+        if (new == of).all():
+            break
+        of = new
+    first = np.full(labels.max() + 1, -1)
+    first[labels[::-1]] = np.arange(len(labels))[::-1]
+    return [(int(first[of[k]]), int(first[k])) for k in np.flatnonzero(of != np.arange(len(of)))]
+
+
+def intersections(sets: list[np.ndarray], dense: int = 32, cells: int = 1 << 22) -> np.ndarray:
+    """Sizes of the intersections of all sets: shingles of many sets by a product of matrices, those of few by their pairs."""
+    k = len(sets)
+    owner = np.repeat(np.arange(k), [len(s) for s in sets])
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(which, kind="stable")
+    owner, count = owner[order], np.repeat(count, count)
+    out = np.zeros((k, k), np.float32)
+    many = owner[count > dense]
+    column = np.cumsum(np.diff(which[order][count > dense], prepend=-1) > 0) - 1
+    width = max(1, cells // k)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (a, a + width))
+        m = np.zeros((k, width), np.float32)
+        m[many[lo:hi], column[lo:hi] - a] = 1
+        out += m @ m.T
+    pairs = np.zeros(k * k, np.int64)
+    for c in range(2, dense + 1):
+        few = owner[count == c].reshape(-1, c)
+        for a in range(0, len(few), max(1, cells // (c * c))):
+            x = few[a : a + max(1, cells // (c * c))]
+            i, j = np.triu_indices(c, 1)
+            pairs += np.bincount((x[:, i] * k + x[:, j]).ravel(), minlength=k * k)
+    pairs = pairs.reshape(k, k)
+    out = out.astype(np.int64) + pairs + pairs.T
+    np.fill_diagonal(out, [len(s) for s in sets])
+    return out
+
+
 def alike(x: np.ndarray, y: np.ndarray, t100: int = T100) -> bool:
     if 100 * min(len(x), len(y)) < t100 * max(len(x), len(y)):
         return False
@@ -227,38 +372,45 @@ def fits(x, y, t100: int):
     return 100 * F.least(x, y) >= t100 * F.greatest(x, y)
 
 
-def classed(docs: DataFrame, t100: int, common_least: int, most_common: int) -> tuple[DataFrame, DataFrame]:
+def classed(docs: DataFrame, t100: int, common_least: int, most_common: int, few: int = 8, bits: int = 64, part_sets: int = PART_SETS) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, n, set) for every row of docs(doc_id, text[, row]), and (set, doc_id, label) for every set; label: the smallest set of its component."""
-    seen = stored(scan(docs))
-    documents = seen.where(F.col("n").isNotNull()).select("row", "doc_id", "n", "set")
-    # Only the order in which segments are chosen depends on these; so their number may be bounded for broadcast.
+    naming = Naming(bits)
+    seen = stored(scan(docs, naming))
+    documents = seen.where(F.col("n").isNotNull()).select("row", "doc_id", "n", "set", "check")
+    twice = documents.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high")
+    if clash := frozenset(r[0] for r in twice.select("set").collect()):  # of 64 bits: none is likely below billions of sets
+        naming = Naming(bits, clash)
+        documents = documents.join(F.broadcast(twice.select("set", F.lit(True).alias("twice"))), "set", "left").withColumn("set", F.when(F.col("twice"), F.col("check")).otherwise(F.col("set")))
+    documents = documents.select("row", "doc_id", "n", "set")
+    # Only the order of steps and the choice of leaders depend on these; so their number may be bounded for broadcast.
     frequent = seen.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= common_least).orderBy(F.desc("docs"), "shingle").limit(most_common).toArrow()
     known = frequent.column("shingle").to_numpy().view(np.uint64)
     by = np.argsort(known)
     common = (known[by], frequent.column("docs").to_numpy()[by])
     classes = stored(documents.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id")))
+    unique = documents.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
 
     same = Window.partitionBy("entry")
-    shared = index(docs, common, t100).withColumns({"leader": F.min("set").over(same), "last": F.max("set").over(same)}).where(F.col("leader") != F.col("last"))
-    shared = stored(shared.select("entry", "set", "n", "least", "leader").distinct())
-    unique = documents.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
-    heads = shared.where(F.col("set") == F.col("leader")).select("entry", F.col("n").alias("m"), F.col("least").alias("least_m"))
-    met = shared.where(F.col("set") != F.col("leader")).join(heads, "entry").where(fits(F.col("n"), F.col("m"), t100))
+    shared = index(docs, common, naming, t100).withColumn("top", F.max(F.struct("info", "set")).over(same)).withColumns({"low": F.min("set").over(same), "size": F.count("*").over(same)}).where((F.col("low") != F.col("top.set")) | (F.col("set") != F.col("top.set")))
+    n, least = (F.shiftright("info", LEAST).bitwiseAND(F.lit((1 << SIZE) - 1))).cast("int"), F.col("info").bitwiseAND(F.lit((1 << LEAST) - 1)).cast("int")
+    top = F.col("top.info")
+    shared = stored(shared.select("entry", "set", n.alias("n"), least.alias("least"), F.col("top.set").alias("leader"), F.shiftright(top, LEAST).bitwiseAND(F.lit((1 << SIZE) - 1)).cast("int").alias("m"), top.bitwiseAND(F.lit((1 << LEAST) - 1)).cast("int").alias("least_m"), "size").distinct())
+    met = shared.where((F.col("set") != F.col("leader")) & fits(F.col("n"), F.col("m"), t100))
     met = met.groupBy(F.col("leader").alias("a"), F.col("set").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("least", "least_m")).alias("least")).where("k >= least")
-    first = stored(met.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"))
-    found = stored(links(docs, classes, first, t100, unique))
+    found = stored(links(docs, classes, met, t100, naming, unique))
     labels = components(found)
 
-    labelled = shared.join(labels.withColumnRenamed("node", "set"), "set", "left").select("entry", "set", "n", "least", F.coalesce("label", "set").alias("label"))
-    labelled = labelled.withColumns({"low": F.min("label").over(same), "high": F.max("label").over(same)}).where(F.col("low") != F.col("high")).drop("low", "high")
-    left = stored(labelled)
-    other = left.select("entry", F.col("set").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("least").alias("least_b"))
-    rest = left.withColumnRenamed("set", "a").join(other, "entry").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & fits(F.col("n"), F.col("m"), t100))
+    labelled = shared.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+    mixed = F.min("label").over(same) != F.max("label").over(same)
+    left = stored(labelled.withColumn("mixed", mixed).where("mixed").select("entry", "set", "n", "least", "label", "leader", "size"))
+    small = left.where(F.col("size") <= few)
+    other = small.select("entry", F.col("set").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("least").alias("least_b"))
+    rest = small.withColumnRenamed("set", "a").join(other, "entry").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & fits(F.col("n"), F.col("m"), t100))
     rest = rest.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("least", "least_b")).alias("least")).where("k >= least").select("a", "b")
-    rest = stored(rest.join(first, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        found = stored(found.unionAll(links(docs, classes, rest, t100, unique)))
-        labels = components(found)
+    members = left.where(F.col("size") > few).groupBy("leader", "set").agg(F.min("n").alias("n"), F.min("label").alias("label"))
+    more = stored(links(docs, classes, rest, t100, naming, unique).unionAll(meetings(docs, classes, stored(members), t100, naming, unique, part_sets)))
+    if more.limit(1).count():
+        labels = components(found.unionAll(more))
 
     named = classes.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "doc_id", F.coalesce("label", "set").alias("label"))
     return documents, named
@@ -270,9 +422,9 @@ def groups(docs: DataFrame, t100: int = T100, common_least: int = 64, most_commo
     return documents.where(F.col("set").isNotNull()).join(named.select("set", "label"), "set").select("row", "doc_id", "label")
 
 
-def join(docs: DataFrame, t100: int = T100, common_least: int = 64, most_common: int = 200_000) -> DataFrame:
+def join(docs: DataFrame, t100: int = T100, common_least: int = 64, most_common: int = 200_000, few: int = 8, bits: int = 64, part_sets: int = PART_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
-    documents, named = classed(docs.select("doc_id", "text"), t100, common_least, most_common)
+    documents, named = classed(docs.select("doc_id", "text"), t100, common_least, most_common, few, bits, part_sets)
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "label").select("set", "component_id")
     joined = documents.where(F.col("set").isNotNull()).join(named, "set").select("doc_id", "n", "component_id")

@@ -154,8 +154,9 @@ def near_texts():
     return out
 
 
-@pytest.mark.parametrize("common_least", [3, 10**6])
-def test_ngram_join(spark, common_least):
+@pytest.mark.parametrize("options", [{"common_least": 3}, {"common_least": 10**6, "few": 2, "part_sets": 5}, {"common_least": 5, "few": 2}, {"bits": 7}])
+def test_ngram_join(spark, options):
+    """Also with parts of few sets, which meet in more than one task, and with names that stand for several sets."""
     texts = near_texts()
     sets = [shingle_set(t) for t in texts]
     label = list(range(len(texts)))
@@ -164,24 +165,53 @@ def test_ngram_join(spark, common_least):
         if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
             a, b = sorted((label[i], label[j]))
             label = [a if x == b else x for x in label]
-    got = {r.doc_id: r for r in ngramjoin.join(documents(spark, texts).repartition(3), common_least=common_least).collect()}
+    got = {r.doc_id: r for r in ngramjoin.join(documents(spark, texts).repartition(3), **options).collect()}
     assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == [(len(s), x) for s, x in zip(sets, label, strict=True)]
 
 
 def test_entries_are_shared():
-    """Any two alike sets share as many entries as both ask for, whatever the costs and however few segments are filled."""
+    """Any two alike sets share as many entries as both ask for, whatever the costs and however few segments are filled; neighbourhoods are used for ordinary sets."""
     rng = np.random.default_rng(3)
-    for per_segment in (2.0, 40.0):
-        for _ in range(400):
-            n = int(rng.integers(1, 120))
-            s = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
-            t = s[: len(s) - int(rng.integers(0, len(s) // 8 + 1))]
-            t = np.unique(np.concatenate((t, rng.integers(0, 1 << 62, int(rng.integers(0, len(s) // 8 + 1))).astype(np.uint64))))
-            if not len(t) or not ngramjoin.alike(s, t):
-                continue
-            cost = lambda x: (x % np.uint64(7)).astype(np.int64)
-            (a, k), (b, m) = ngramjoin.entries(s, cost(s), 75, per_segment), ngramjoin.entries(t, cost(t), 75, per_segment)
-            assert len(np.intersect1d(a, b)) >= min(k, m)
+    fired = 0
+    for universe in (1 << 62, 300):
+        frequent = np.unique(rng.integers(0, universe, 200).astype(np.uint64))
+        for costs in (ngramjoin.Costs(frequent, rng.integers(64, 9000, len(frequent)), 75), ngramjoin.Costs(frequent[:0], frequent[:0], 75)):
+            for _ in range(400):
+                n = int(rng.integers(1, 300))
+                s = np.unique(rng.integers(0, universe, n).astype(np.uint64))
+                t = s[: len(s) - int(rng.integers(0, len(s) // 7 + 1))]
+                t = np.unique(np.concatenate((t, rng.integers(0, universe, int(rng.integers(0, len(s) // 7 + 1))).astype(np.uint64))))
+                if not len(t) or not ngramjoin.alike(s, t):
+                    continue
+                (a, k, used), (b, m, _) = ngramjoin.entries(s, costs, 75), ngramjoin.entries(t, costs, 75)
+                assert len(np.intersect1d(a, b)) >= min(k, m)
+                fired += used > 0
+    assert fired > 100
+
+
+def test_neighbourhoods_join_sets():
+    """A set and one that lacks one shingle of every segment that the budget pays for meet by a neighbourhood alone."""
+    costs = ngramjoin.Costs(np.zeros(0, np.uint64), np.zeros(0, np.int64), 75)
+    rng = np.random.default_rng(8)
+    met = 0
+    for _ in range(300):
+        s = np.unique(rng.integers(0, 1 << 62, 254).astype(np.uint64))
+        band, most = ngramjoin.schemes(len(s), 75)[0]
+        segment, _ = ngramjoin.segment_of(s, band, 75)
+        _, first = np.unique(segment, return_index=True)
+        t = np.delete(s, first[: len(s) // 4])
+        if ngramjoin.alike(s, t):
+            (a, _, used), (b, _, _) = ngramjoin.entries(s, costs), ngramjoin.entries(t, costs)
+            assert len(np.intersect1d(a, b))
+            met += used > 0
+    assert met > 20
+
+
+def test_intersections():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 90, int(rng.integers(1, 80))).astype(np.uint64)) for _ in range(60)]
+    sets += [np.unique(rng.integers(100, 4000, 30).astype(np.uint64)) for _ in range(30)]
+    assert (ngramjoin.intersections(sets, dense=8, cells=500) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
 
 
 def test_ngram_join_edges(spark):
