@@ -19,8 +19,9 @@ band is also indexed under the next scheme. Nothing is left out, whatever the fr
 
 Links. Each entry's leader is the set whose shingles are most frequent (the centre of a family of near copies rather than
 its rim). Sets are compared with their entries' leaders, and components of these links are found. Entries that
-still hold several components are left: those of at most `few` sets give pairs of sets that share enough entries;
-sets of larger ones are gathered by leader, cut into parts by number and size, and each two parts meet in one task, which counts
+still hold several components are left, by class of sizes, without the sets that share too few of them: those of at most
+`few` sets give pairs of sets that share enough entries; sets of larger ones are gathered by leader and class, cut into
+parts by number and size, and each two parts meet in one task, which counts
 all their intersections as a product of matrices and hands on only the links that join components. Comparing is exact, on whole sets.
 Pairs within a component aren't expanded: they can't change a component.
 
@@ -134,8 +135,8 @@ def schemes(n: int, t100: int) -> list[tuple[int, int]]:
 
 
 def segments(band: int, t100: int) -> int:
-    """How many segments a band's scheme has: a seventh more than the budget of its largest sets."""
-    return max(4, (2 * 4**band * (100 - t100) // (100 + t100) + 1) * 8 // 7)
+    """How many segments a band's scheme has: a fifth more than its largest sets may differ by."""
+    return max(4, (2 * 4**band * (100 - t100) // (100 + t100) + 1) * 6 // 5)
 
 
 def segment_of(s: np.ndarray, band: int, t100: int) -> tuple[np.ndarray, np.uint64]:
@@ -198,7 +199,8 @@ def entries(s: np.ndarray, costs: Costs, t100: int = T100) -> tuple[np.ndarray,
         out.append(mix((sums[inside[at]] - mixed[order][at]) ^ name[inside[at]]))
         if worth[-1] <= most:
             out.append(mix(mixed ^ ~salt))
-    return np.unique(np.concatenate(out)), least, neighbourhoods
+    # 48 bits: two entries that fall together only make more candidates, and rows are smaller
+    return np.unique(np.concatenate(out) >> np.uint64(16)), least, neighbourhoods
 
 
 #: Of a packed number: 20 bits of frequency, 28 of size, 15 of least shared entries.
@@ -279,19 +281,20 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t100: int, nami
 
 
 def meetings(docs: DataFrame, classes: DataFrame, members: DataFrame, t100: int, naming: Naming, unique: bool, part_sets: int = PART_SETS, part_shingles: int = PART_SHINGLES) -> DataFrame:
-    """(a, b): links that join the components of members(leader, set, n, label) of each leader's group which hold alike sets."""
-    groups_ = members.groupBy("leader").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / part_sets), F.ceil(F.sum("n") / part_shingles)).cast("int").alias("parts"))
+    """(a, b): links that join the components of members(leader, class, set, n, label) of each group of a leader and class which hold alike sets."""
+    groups_ = members.groupBy("leader", "class").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / part_sets), F.ceil(F.sum("n") / part_shingles)).cast("int").alias("parts"))
     own, part, j = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"), F.col("part"), F.col("j")
-    dealt = members.join(groups_, "leader").withColumn("part", own).withColumn("j", F.explode(F.when(F.col("parts") <= 2, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))).where(part != j)
+    dealt = members.join(groups_, ["leader", "class"]).withColumn("part", own).withColumn("j", F.explode(F.when(F.col("parts") <= 2, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))).where(part != j)
     meeting = F.when(j < 0, F.lit(0).cast("long")).otherwise(F.least(part, j).cast("long") * F.col("parts") + F.greatest(part, j))
-    wanted = stored(dealt.select("leader", meeting.alias("meeting"), "set", "label"))
-    dealt = fetched(docs, classes, wanted, naming, unique).repartition("leader", "meeting").sortWithinPartitions("leader", "meeting")
+    keys = ["leader", "class", "meeting"]
+    wanted = stored(dealt.select("leader", "class", meeting.alias("meeting"), "set", "label"))
+    dealt = fetched(docs, classes, wanted, naming, unique).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches):
         key, held = None, []
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                for *own_key, set_, label, raw in zip(*(batch.column(c).to_pylist() for c in ("leader", "meeting", "set", "label", "shingles")), strict=True):
+                for *own_key, set_, label, raw in zip(*(batch.column(c).to_pylist() for c in (*keys, "set", "label", "shingles")), strict=True):
                     if own_key != key:
                         yield from joined(held)
                         key, held = own_key, []
@@ -303,7 +306,7 @@ def meetings(docs: DataFrame, classes: DataFrame, members: DataFrame, t100: int,
         if len(set(labels)) > 1 and (found := joins(sets, labels, t100)):
             yield pa.RecordBatch.from_arrays([pa.array([names[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.select("leader", "meeting", "set", "label", "shingles").mapInArrow(run, "a long, b long")
+    return dealt.select(*keys, "set", "label", "shingles").mapInArrow(run, "a long, b long")
 
 
 def joins(sets: list[np.ndarray], labels: np.ndarray, t100: int) -> list[tuple[int, int]]:
@@ -391,23 +394,30 @@ def classed(docs: DataFrame, t100: int, common_least: int, most_common: int, few
     unique = documents.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
 
     same = Window.partitionBy("entry")
-    shared = index(docs, common, naming, t100).withColumn("top", F.max(F.struct("info", "set")).over(same)).withColumns({"low": F.min("set").over(same), "size": F.count("*").over(same)}).where((F.col("low") != F.col("top.set")) | (F.col("set") != F.col("top.set")))
+    shared = index(docs, common, naming, t100).withColumn("top", F.max(F.struct("info", "set")).over(same)).withColumn("low", F.min("set").over(same)).where((F.col("low") != F.col("top.set")) | (F.col("set") != F.col("top.set")))
     n, least = (F.shiftright("info", LEAST).bitwiseAND(F.lit((1 << SIZE) - 1))).cast("int"), F.col("info").bitwiseAND(F.lit((1 << LEAST) - 1)).cast("int")
     top = F.col("top.info")
-    shared = stored(shared.select("entry", "set", n.alias("n"), least.alias("least"), F.col("top.set").alias("leader"), F.shiftright(top, LEAST).bitwiseAND(F.lit((1 << SIZE) - 1)).cast("int").alias("m"), top.bitwiseAND(F.lit((1 << LEAST) - 1)).cast("int").alias("least_m"), "size").distinct())
+    shared = stored(shared.select("entry", "set", n.alias("n"), least.alias("least"), F.col("top.set").alias("leader"), F.shiftright(top, LEAST).bitwiseAND(F.lit((1 << SIZE) - 1)).cast("int").alias("m"), top.bitwiseAND(F.lit((1 << LEAST) - 1)).cast("int").alias("least_m")).distinct())
     met = shared.where((F.col("set") != F.col("leader")) & fits(F.col("n"), F.col("m"), t100))
     met = met.groupBy(F.col("leader").alias("a"), F.col("set").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("least", "least_m")).alias("least")).where("k >= least")
     found = stored(links(docs, classes, met, t100, naming, unique))
     labels = components(found)
 
-    labelled = shared.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    mixed = F.min("label").over(same) != F.max("label").over(same)
-    left = stored(labelled.withColumn("mixed", mixed).where("mixed").select("entry", "set", "n", "least", "label", "leader", "size"))
+    # Alike sizes are in one class of sizes or in neighbouring ones; a set is in its own class and in the next, and two sets meet in the larger one's.
+    own = F.floor(F.log("n") / F.log(F.lit(100.01 / t100))).cast("int")
+    labelled = shared.join(labels.withColumnRenamed("node", "set"), "set", "left").select("entry", "set", "n", "least", "leader", F.coalesce("label", "set").alias("label"), own.alias("own"))
+    classed_ = labelled.withColumn("class", F.explode(F.array("own", F.col("own") + 1)))
+    here, of_set = Window.partitionBy("entry", "class"), Window.partitionBy("set", "class")
+    mixed = classed_.withColumns({"mixed": F.min("label").over(here) != F.max("label").over(here), "low": F.least(F.min("least").over(here), "least")}).where("mixed").drop("mixed")
+    # A set that shares fewer entries with sets of other components than any of them asks for is alike to none of those.
+    enough = mixed.withColumns({"k": F.count("*").over(of_set), "asked": F.min("low").over(of_set)}).where("k >= asked").drop("k", "asked", "low")
+    left = stored(enough.withColumn("size", F.count("*").over(here)).where("size > 1"))
     small = left.where(F.col("size") <= few)
-    other = small.select("entry", F.col("set").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("least").alias("least_b"))
-    rest = small.withColumnRenamed("set", "a").join(other, "entry").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & fits(F.col("n"), F.col("m"), t100))
+    other = small.select("entry", "class", F.col("set").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("least").alias("least_b"), F.col("own").alias("own_b"))
+    met_here = (F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & (F.col("class") == F.greatest("own", "own_b")) & fits(F.col("n"), F.col("m"), t100)
+    rest = small.withColumnRenamed("set", "a").join(other, ["entry", "class"]).where(met_here)
     rest = rest.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("least", "least_b")).alias("least")).where("k >= least").select("a", "b")
-    members = left.where(F.col("size") > few).groupBy("leader", "set").agg(F.min("n").alias("n"), F.min("label").alias("label"))
+    members = left.where(F.col("size") > few).groupBy("leader", "class", "set").agg(F.min("n").alias("n"), F.min("label").alias("label"))
     more = stored(links(docs, classes, rest, t100, naming, unique).unionAll(meetings(docs, classes, stored(members), t100, naming, unique, part_sets)))
     if more.limit(1).count():
         labels = components(found.unionAll(more))
