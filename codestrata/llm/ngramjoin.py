@@ -31,6 +31,8 @@ repeat; a null id is never the smallest. Empty table: no rows. Other columns are
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -90,8 +92,8 @@ class Naming:
         return second if first in self.clash else first
 
 
-def scan(docs: DataFrame, naming: Naming, least: int = 4) -> DataFrame:
-    """(row, doc_id, n, set, check, shingle, docs): a row for each document, and rows with shingles that several documents of a block share. row: null if docs has none."""
+def scan(docs: DataFrame, naming: Naming, t100: int, least: int = 4) -> DataFrame:
+    """(row, doc_id, n, set, check, least, shingle, docs): a row for each document, and rows with shingles that several documents of a block share. row: null if docs has none."""
 
     def run(batches):
         held, size = [], 0
@@ -100,7 +102,7 @@ def scan(docs: DataFrame, naming: Naming, least: int = 4) -> DataFrame:
             n = np.array([len(s) for s in sets])
             ids = batch.column("doc_id").cast(pa.int64())
             names = [(naming.of(s), fingerprints(s)[1]) if len(s) else (None, None) for s in sets]
-            yield rows(batch.column("row"), ids, pa.array(n), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)), None, None)
+            yield rows(batch.column("row"), ids, pa.array(n), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)), pa.array([shared_least(len(s), t100) for s in sets], pa.int64()), None, None)
             held += sets
             size += int(n.sum())
             if size >= BLOCK:
@@ -112,14 +114,14 @@ def scan(docs: DataFrame, naming: Naming, least: int = 4) -> DataFrame:
     def common(held):
         found, counts = np.unique(np.concatenate(held), return_counts=True)
         keep = counts >= least
-        return rows(None, None, None, None, None, pa.array(found[keep].view(np.int64)), pa.array(counts[keep]))
+        return rows(None, None, None, None, None, None, pa.array(found[keep].view(np.int64)), pa.array(counts[keep]))
 
     def rows(*columns):
         n = next(len(c) for c in columns if c is not None)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else c.cast(pa.int64()) for c in columns], ["row", "doc_id", "n", "set", "check", "shingle", "docs"])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else c.cast(pa.int64()) for c in columns], ["row", "doc_id", "n", "set", "check", "least", "shingle", "docs"])
 
     row = F.col("row") if "row" in docs.columns else F.lit(None).cast("long").alias("row")
-    return docs.select(row, "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, set long, check long, shingle long, docs long")
+    return docs.select(row, "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, set long, check long, least long, shingle long, docs long")
 
 
 def schemes(n: int, t100: int) -> list[tuple[int, int]]:
@@ -134,6 +136,11 @@ def schemes(n: int, t100: int) -> list[tuple[int, int]]:
     return out
 
 
+def shared_least(n: int, t100: int) -> int:
+    """How many entries a set of n shingles asks two alike sets to share."""
+    return min((1 + most // 8 for _, most in schemes(n, t100)), default=1)
+
+
 def segments(band: int, t100: int) -> int:
     """How many segments a band's scheme has: a fifth more than its largest sets may differ by."""
     return max(4, (2 * 4**band * (100 - t100) // (100 + t100) + 1) * 6 // 5)
@@ -168,8 +175,8 @@ class Costs:
 
 
 def entries(s: np.ndarray, costs: Costs, t100: int = T100) -> tuple[np.ndarray, int, int]:
-    """Index entries of a set, how many of them it shares at least with any that is alike (if that one asks for no fewer), and how many one-deletion neighbourhoods it indexes."""
-    out, least, neighbourhoods = [], 1 << 20, 0
+    """Index entries of a set, how many of them it shares at least with any that is alike (if that one asks for no fewer; shared_least(), or 1 if the set hasn't enough), and how many one-deletion neighbourhoods it indexes."""
+    out, short_of, neighbourhoods = [], False, 0
     mixed = mix(s)
     for band, most in schemes(len(s), t100):
         segment, salt = segment_of(s, band, t100)
@@ -187,7 +194,7 @@ def entries(s: np.ndarray, costs: Costs, t100: int = T100) -> tuple[np.ndarray,
         worth = np.cumsum(np.where(more, size[of] > 1, True))
         wanted = most + 1 + most // 8
         steps = np.searchsorted(worth, wanted) + 1
-        least = min(least, max(1, min(wanted, worth[-1]) - most))
+        short_of |= worth[-1] < wanted
         of, more = of[:steps], more[:steps]
         out.append(mix(sums ^ name)[of[~more]])
         also = np.zeros(len(begin), bool)
@@ -200,26 +207,26 @@ def entries(s: np.ndarray, costs: Costs, t100: int = T100) -> tuple[np.ndarray,
         if worth[-1] <= most:
             out.append(mix(mixed ^ ~salt))
     # 48 bits: two entries that fall together only make more candidates, and rows are smaller
-    return np.unique(np.concatenate(out) >> np.uint64(16)), least, neighbourhoods
+    return np.unique(np.concatenate(out) >> np.uint64(16)), 1 if short_of else shared_least(len(s), t100), neighbourhoods
 
 
-#: Of a packed number: 20 bits of frequency, 28 of size, 15 of least shared entries.
-FREQUENCY, SIZE, LEAST = 20, 28, 15
+#: Low bits of a set's name that stand for it in the index; above them, whether it asks for one shared entry only, and how frequent its shingles are.
+NAME = 51
 
 
-def packed(frequency: float, n: int, least: int) -> int:
-    return min(int(frequency * 16), (1 << FREQUENCY) - 1) << SIZE + LEAST | n << LEAST | min(least, (1 << LEAST) - 1)
+def reference(name: int, alone: bool, frequency: float) -> int:
+    return min(int(math.log2(1 + frequency) * 100), 2047) << NAME + 1 | int(alone) << NAME | name & (1 << NAME) - 1
 
 
 def index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], naming: Naming, t100: int) -> DataFrame:
-    """(entry, set, info): info is packed(); copies in one task give theirs once."""
+    """(entry, ref), ref: reference() of the set; copies in one task give theirs once. Two sets with one reference only make more candidates."""
     spread = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         costs = Costs(*spread.value, t100)
         seen: set[int] = set()
         for batch in pieces(batches):
-            found, owner, info, size = [], [], [], []
+            found, refs = [], []
             for s in shingles(batch.column("text")):
                 if not len(s) or (own := naming.of(s)) in seen:
                     continue
@@ -228,13 +235,11 @@ def index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], naming: Naming
                 seen.add(own)
                 e, least, _ = entries(s, costs, t100)
                 found.append(e)
-                owner.append(own)
-                info.append(packed(costs.frequency(s), len(s), least))
-                size.append(len(e))
+                refs.append(reference(own, least < shared_least(len(s), t100), costs.frequency(s)))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *(pa.array(np.repeat(np.array(x, np.int64), size)) for x in (owner, info))], ["entry", "set", "info"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(refs, np.int64), [len(e) for e in found]))], ["entry", "ref"])
 
-    return docs.select("text").mapInArrow(run, "entry long, set long, info long")
+    return docs.select("text").mapInArrow(run, "entry long, ref long")
 
 
 def fetched(docs: DataFrame, classes: DataFrame, wanted: DataFrame, naming: Naming, unique: bool) -> DataFrame:
@@ -251,7 +256,8 @@ def fetched(docs: DataFrame, classes: DataFrame, wanted: DataFrame, naming: Nami
             yield pa.RecordBatch.from_arrays([pa.array([naming.of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.large_binary()).cast(pa.binary())], ["set", "shingles"])
 
     held = text.mapInArrow(sets, "set long, shingles binary")
-    return wanted.join(held if unique else held.dropDuplicates(["set"]), "set")
+    held = held if unique else held.dropDuplicates(["set"])
+    return held.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "set")
 
 
 def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t100: int, naming: Naming, unique: bool, part: int = 256) -> DataFrame:
@@ -375,29 +381,31 @@ def fits(x, y, t100: int):
     return 100 * F.least(x, y) >= t100 * F.greatest(x, y)
 
 
-def classed(docs: DataFrame, t100: int, common_least: int, most_common: int, few: int = 8, bits: int = 64, part_sets: int = PART_SETS) -> tuple[DataFrame, DataFrame]:
+def classed(docs: DataFrame, t100: int, common_least: int, most_common: int, few: int = 8, name_bits: int = 64, part_sets: int = PART_SETS) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, n, set) for every row of docs(doc_id, text[, row]), and (set, doc_id, label) for every set; label: the smallest set of its component."""
-    naming = Naming(bits)
-    seen = stored(scan(docs, naming))
-    documents = seen.where(F.col("n").isNotNull()).select("row", "doc_id", "n", "set", "check")
+    naming = Naming(name_bits)
+    seen = stored(scan(docs, naming, t100))
+    documents = seen.where(F.col("n").isNotNull()).select("row", "doc_id", "n", "set", "check", "least")
     twice = documents.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high")
     if clash := frozenset(r[0] for r in twice.select("set").collect()):  # of 64 bits: none is likely below billions of sets
-        naming = Naming(bits, clash)
+        naming = Naming(name_bits, clash)
         documents = documents.join(F.broadcast(twice.select("set", F.lit(True).alias("twice"))), "set", "left").withColumn("set", F.when(F.col("twice"), F.col("check")).otherwise(F.col("set")))
-    documents = documents.select("row", "doc_id", "n", "set")
     # Only the order of steps and the choice of leaders depend on these; so their number may be bounded for broadcast.
     frequent = seen.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= common_least).orderBy(F.desc("docs"), "shingle").limit(most_common).toArrow()
     known = frequent.column("shingle").to_numpy().view(np.uint64)
     by = np.argsort(known)
     common = (known[by], frequent.column("docs").to_numpy()[by])
-    classes = stored(documents.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id")))
+    classes = stored(documents.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), F.min("least").cast("int").alias("least")))
     unique = documents.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
 
     same = Window.partitionBy("entry")
-    shared = index(docs, common, naming, t100).withColumn("top", F.max(F.struct("info", "set")).over(same)).withColumn("low", F.min("set").over(same)).where((F.col("low") != F.col("top.set")) | (F.col("set") != F.col("top.set")))
-    n, least = (F.shiftright("info", LEAST).bitwiseAND(F.lit((1 << SIZE) - 1))).cast("int"), F.col("info").bitwiseAND(F.lit((1 << LEAST) - 1)).cast("int")
-    top = F.col("top.info")
-    shared = stored(shared.select("entry", "set", n.alias("n"), least.alias("least"), F.col("top.set").alias("leader"), F.shiftright(top, LEAST).bitwiseAND(F.lit((1 << SIZE) - 1)).cast("int").alias("m"), top.bitwiseAND(F.lit((1 << LEAST) - 1)).cast("int").alias("least_m")).distinct())
+    shared = index(docs, common, naming, t100).withColumns({"top": F.max("ref").over(same), "low": F.min("ref").over(same)}).where("top <> low").drop("low").distinct()
+    bits = lambda c: F.col(c).bitwiseAND(F.lit((1 << NAME) - 1))
+    asks = lambda c, least: F.when(F.getbit(c, F.lit(NAME)) == 1, 1).otherwise(F.col(least))
+    member = classes.select(bits("set").alias("name"), "set", "n", "least")
+    leader = member.select(F.col("name").alias("top_name"), F.col("set").alias("leader"), F.col("n").alias("m"), F.col("least").alias("least_m"))
+    shared = shared.withColumns({"name": bits("ref"), "top_name": bits("top")}).join(member, "name").join(leader, "top_name")
+    shared = stored(shared.select("entry", "set", "n", asks("ref", "least").alias("least"), "leader", "m", asks("top", "least_m").alias("least_m")))
     met = shared.where((F.col("set") != F.col("leader")) & fits(F.col("n"), F.col("m"), t100))
     met = met.groupBy(F.col("leader").alias("a"), F.col("set").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("least", "least_m")).alias("least")).where("k >= least")
     found = stored(links(docs, classes, met, t100, naming, unique))
@@ -406,9 +414,14 @@ def classed(docs: DataFrame, t100: int, common_least: int, most_common: int, few
     # Alike sizes are in one class of sizes or in neighbouring ones; a set is in its own class and in the next, and two sets meet in the larger one's.
     own = F.floor(F.log("n") / F.log(F.lit(100.01 / t100))).cast("int")
     labelled = shared.join(labels.withColumnRenamed("node", "set"), "set", "left").select("entry", "set", "n", "least", "leader", F.coalesce("label", "set").alias("label"), own.alias("own"))
-    classed_ = labelled.withColumn("class", F.explode(F.array("own", F.col("own") + 1)))
+    label = F.col("label")
+    several = labelled.repartition("entry").withColumn("several", F.min("label").over(same) != F.max("label").over(same)).where("several").drop("several")
+    classed_ = several.withColumn("class", F.explode(F.array("own", F.col("own") + 1)))
     here, of_set = Window.partitionBy("entry", "class"), Window.partitionBy("set", "class")
-    mixed = classed_.withColumns({"mixed": F.min("label").over(here) != F.max("label").over(here), "low": F.least(F.min("least").over(here), "least")}).where("mixed").drop("mixed")
+    larger = F.when(F.col("own") == F.col("class"), label)  # of two sets that meet here one is of this class at least
+    classed_ = classed_.withColumns({"a": F.min("label").over(here), "b": F.max("label").over(here), "c": F.min(larger).over(here), "d": F.max(larger).over(here), "low": F.min("least").over(here)})
+    meets = F.when(F.col("own") == F.col("class"), F.col("a") != F.col("b")).otherwise((F.col("c") != label) | (F.col("d") != label))
+    mixed = classed_.where(meets).drop("a", "b", "c", "d")
     # A set that shares fewer entries with sets of other components than any of them asks for is alike to none of those.
     enough = mixed.withColumns({"k": F.count("*").over(of_set), "asked": F.min("low").over(of_set)}).where("k >= asked").drop("k", "asked", "low")
     left = stored(enough.withColumn("size", F.count("*").over(here)).where("size > 1"))
@@ -423,7 +436,7 @@ def classed(docs: DataFrame, t100: int, common_least: int, most_common: int, few
         labels = components(found.unionAll(more))
 
     named = classes.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "doc_id", F.coalesce("label", "set").alias("label"))
-    return documents, named
+    return documents.select("row", "doc_id", "n", "set"), named
 
 
 def groups(docs: DataFrame, t100: int = T100, common_least: int = 64, most_common: int = 200_000) -> DataFrame:
@@ -432,9 +445,9 @@ def groups(docs: DataFrame, t100: int = T100, common_least: int = 64, most_commo
     return documents.where(F.col("set").isNotNull()).join(named.select("set", "label"), "set").select("row", "doc_id", "label")
 
 
-def join(docs: DataFrame, t100: int = T100, common_least: int = 64, most_common: int = 200_000, few: int = 8, bits: int = 64, part_sets: int = PART_SETS) -> DataFrame:
+def join(docs: DataFrame, t100: int = T100, common_least: int = 64, most_common: int = 200_000, few: int = 8, name_bits: int = 64, part_sets: int = PART_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
-    documents, named = classed(docs.select("doc_id", "text"), t100, common_least, most_common, few, bits, part_sets)
+    documents, named = classed(docs.select("doc_id", "text"), t100, common_least, most_common, few, name_bits, part_sets)
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "label").select("set", "component_id")
     joined = documents.where(F.col("set").isNotNull()).join(named, "set").select("doc_id", "n", "component_id")

@@ -154,7 +154,7 @@ def near_texts():
     return out
 
 
-@pytest.mark.parametrize("options", [{"common_least": 3}, {"common_least": 10**6, "few": 2, "part_sets": 5}, {"common_least": 5, "few": 2}, {"bits": 7}])
+@pytest.mark.parametrize("options", [{"common_least": 3}, {"common_least": 10**6, "few": 2, "part_sets": 5}, {"common_least": 5, "few": 2}, {"name_bits": 7}])
 def test_ngram_join(spark, options):
     """Also with parts of few sets, which meet in more than one task, and with names that stand for several sets."""
     texts = near_texts()
