@@ -258,49 +258,6 @@ def test_ppm(spark):
     assert ppm.score(documents(spark, [])).count() == 0
 
 
-def test_trie_sums_to_one():
-    vocabulary = pa.array(WORDS, pa.large_string())
-    before, depth, byte, _ = ppm.grams(vocabulary, 3)
-    keys, n = np.unique(ppm.packed(before, depth, byte), return_counts=True)
-    trie = ppm.Trie(keys, n.astype(float), 3, 5)
-    for context in (b" ", b" w", b" w1", b"w12", b"zz", b"123"):
-        p = 10 ** trie.log10(np.full(256, int.from_bytes(context, "big")), np.full(256, len(context)), np.arange(256))
-        assert abs(p.sum() - 1) < 1e-9
-
-
-def test_ppm_contexts_run_across_words(spark):
-    """Word order learned from the training texts counts: held-out texts in that order score better than shuffled ones."""
-    rng = random.Random(3)
-    follow = {w: WORDS[(17 * i + 5) % len(WORDS)] for i, w in enumerate(WORDS)}
-
-    def chain(n):
-        out = [rng.choice(WORDS)]
-        for _ in range(n - 1):
-            out.append(follow[out[-1]])
-        return out
-
-    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1]
-    texts = [chain(30) for _ in range(400)]
-    mixed = {i: rng.sample(texts[i], 30) for i in held[::2]}
-    got = {r.doc_id: r for r in ppm.score(documents(spark, [" ".join(mixed.get(i, t)) for i, t in enumerate(texts)])).collect()}
-    assert max(got[i].score for i in mixed) < min(got[i].score for i in held[1::2])
-
-
-@pytest.mark.parametrize("order", [1, 2, 3, 5])
-def test_ppm_parts_are_one_trie(spark, order):
-    """Grams dealt by family give what one trie of all gives, at every order."""
-    texts = [t for t in TEXTS if t is None or len(t) < 50_000]
-    data, at = common.text_bytes(pa.array(texts, pa.string()))
-    gram, _, _ = ppm.stream(data, *common.word_spans(data, at), len(texts), order)
-    keys, n = np.unique(gram, return_counts=True)
-    n[::3] = 0
-    trie = ppm.Trie(keys[n > 0], n[n > 0].astype(float), order)
-    want = trie.log10((keys & ((1 << 56) - 1)) >> 8, keys >> 56, keys & 255)
-    rows = spark.createDataFrame(list(zip(keys.tolist(), n.tolist(), strict=True)), "key long, n long")
-    got = {r.key: r.value for r in ppm.code_lengths(rows, order, most=300).collect()}
-    assert len(got) == len(keys) and np.allclose([got[k] for k in keys.tolist()], want)
-
-
 def test_adaptive_contexts():
     tokens = np.array([5, 6, 7, 8, 5, 6, 7, 8, 5, 6, 7, 9], np.uint64)
     tried, right = ppm.adaptive(tokens, tokens.astype(np.int64), np.zeros(12, np.int64))
