@@ -12,9 +12,9 @@ A mix runs until each source has been used whole once: the slots of a source tha
 (column `epoch` counts from 0), so no row is lost and the shares hold to the end. With `repeat=False` such
 slots stay empty instead.
 
-Null source is a source of its own. Sources without rows get no slots. Empty table: no rows. Repeated rows
+Null source is a source of its own. Sources without rows, or with weights given but not for them, get no slots. Empty table: no rows. Repeated rows
 are rows like others. Every column of the input is kept; those named as the operator's own (block, epoch,
-slot) are replaced.
+slot) are replaced. A period has a slot for each source at least; more sources than that are refused.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 
 def whole_parts(weights: dict, period: int) -> dict:
@@ -64,29 +64,36 @@ def schedule(parts: dict) -> list[tuple[object, int]]:
     return out
 
 
-def in_blocks(docs: DataFrame, block_rows: int, buckets: int, small: bool) -> DataFrame:
-    """small: a row for each source and bucket is few enough to broadcast. docs with `nth`, the row's place in its source. A source's rows are ranked in `buckets` hashed parts, so that a hot source isn't one task's."""
-    keyed = docs.withColumn("_key", F.xxhash64(*[c for c, t in docs.dtypes if "map" not in t and "variant" not in t]))
-    keyed = keyed.withColumn("_bucket", F.pmod(F.col("_key"), F.lit(buckets)).cast("int"))
-    sizes = keyed.groupBy("source", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("_key")))
-    joined = ranked.join(F.broadcast(sizes) if small else sizes, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    nth = F.col("_before") + F.col("_r") - 1
-    return joined.withColumns({"nth": nth, "block": F.expr(f"(_before + _r - 1) div {block_rows}")}).drop("_key", "_bucket", "_r", "_s", "_b", "_before")
-
-
-def mix_sources(docs: DataFrame, weights=None, period: int = 4096, block_rows: int = 16, repeat: bool = True, temper: float = 0.7, buckets: int = 64) -> DataFrame:
-    """Rows of docs with block, epoch and slot. weights: by source; without, each source's number of rows to the power `temper`."""
-    spark = docs.sparkSession
-    docs = docs.drop("block", "epoch", "slot", "nth")
-    counts = {r[0]: r[1] for r in docs.groupBy("source").count().collect()}  # one row for each source
+#: Sources times buckets, and rows of a schedule, that are broadcast at most; beyond, joins shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def places(rows: DataFrame, block_rows: int, buckets: int, sources: int) -> DataFrame:
+    """rows(row, source, order) with `nth`, the row's place in its source. A source's rows are ranked in `buckets` hashed parts, so that a hot source isn't one task's."""
+    keyed = rows.withColumn("bucket", F.pmod("order", F.lit(buckets)).cast("int"))
+    sizes = keyed.groupBy("source", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("order", "row")))
+    joined = ranked.join(small(sizes, sources * buckets), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    return joined.select("row", "source", (F.col("before") + F.col("r") - 1).alias("nth"))
+
+
+def slots(rows: DataFrame, weights=None, period: int = 4096, block_rows: int = 16, repeat: bool = True, temper: float = 0.7, buckets: int = 64) -> DataFrame:
+    """(row, block, epoch, slot) for rows(row, source, order): where and how often each row comes in the mix. order: a hash that says in which order a source's rows are used."""
+    spark = rows.sparkSession
+    empty = rows.select("row", F.lit(0).cast("long").alias("block"), F.lit(0).cast("int").alias("epoch"), F.lit(0).cast("long").alias("slot")).limit(0)
+    most = max(period, len(weights or ()))
+    found = rows.groupBy("source").count().orderBy(F.desc("count"), "source").limit(most + 1).collect()  # a period has a slot for each source
+    counts = {r[0]: r[1] for r in found}
     weights = {s: (weights[s] if weights else n**temper) for s, n in counts.items() if not weights or weights.get(s, 0) > 0}
-    empty = docs.select("*", F.lit(0).cast("long").alias("block"), F.lit(0).cast("int").alias("epoch"), F.lit(0).cast("long").alias("slot"))
     if not weights:
-        return empty.limit(0)
-    parts = whole_parts(weights, max(period, len(weights)))
+        return empty
+    parts = whole_parts(weights, most)
     period = sum(parts.values())
     blocks = {s: -(-counts[s] // block_rows) for s in parts}
     plan = schedule(parts)
@@ -96,17 +103,29 @@ def mix_sources(docs: DataFrame, weights=None, period: int = 4096, block_rows: i
     # The slot in which the last source is through.
     end = 1 + max((blocks[s] - 1) // a * period + own[s][(blocks[s] - 1) % a] for s, a in parts.items())
     dealt = {s: end // period * a + bisect.bisect_left(own[s], end % period) for s, a in parts.items()}
-    plan = [(s, j, slot, parts[s], blocks[s], -(-dealt[s] // blocks[s]) if repeat else 1) for slot, (s, j) in enumerate(plan)]
-    slots = spark.createDataFrame(plan, f"_s {docs.schema['source'].dataType.simpleString()}, _j long, _slot long, _a long, _blocks long, _epochs int")
-    rows = in_blocks(docs, block_rows, buckets, len(counts) * buckets <= 100_000)
-    per_source = slots.groupBy("_s").agg(F.max("_a").alias("_a"), F.max("_blocks").alias("_blocks"), F.max("_epochs").alias("_epochs"))
-    rows = rows.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)))
-    rows = rows.withColumn("_at", F.col("block") + F.col("epoch") * F.col("_blocks"))
-    rows = rows.withColumns({"_mod": F.expr("_at % _a"), "_turn": F.expr("_at div _a")}).drop("_a", "_blocks", "_epochs", "_at")
-    place = slots.select(F.col("_s"), F.col("_j"), F.col("_slot"))  # `period` rows
-    rows = rows.join(F.broadcast(place), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_mod") == F.col("_j")))
-    return rows.withColumn("slot", F.col("_turn") * period + F.col("_slot")).where(F.col("slot") < end).drop("_s", "_j", "_slot", "_mod", "_turn", "nth")
+    kind = rows.schema["source"].dataType.simpleString()
+    place = spark.createDataFrame([(s, j, slot) for slot, (s, j) in enumerate(plan)], f"s {kind}, j long, at long")
+    each = spark.createDataFrame([(s, a, blocks[s], -(-dealt[s] // blocks[s]) if repeat else 1) for s, a in parts.items()], f"s {kind}, a long, blocks long, epochs int")
+    same = F.col("source").eqNullSafe(F.col("s"))
+    out = places(rows, block_rows, buckets, len(counts)).withColumn("block", F.expr(f"nth div {block_rows}"))
+    out = out.join(small(each, period), same).drop("s").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
+    out = out.withColumn("turn", F.col("block") + F.col("epoch") * F.col("blocks")).withColumns({"k": F.expr("turn % a"), "turn": F.expr("turn div a")})
+    out = out.join(small(place, period), same & (F.col("k") == F.col("j"))).withColumn("slot", F.col("turn") * period + F.col("at"))
+    return out.where(F.col("slot") < end).select("row", "block", "epoch", "slot")
+
+
+def mix_sources(docs: DataFrame, weights=None, **options) -> DataFrame:
+    """Rows of docs with block, epoch and slot. weights: by source, sources without one are left out; without weights, each source's number of rows to the power `temper`.
+
+    Only numbers are ranked and dealt; the rows themselves are joined to their places at the end. options: those of slots().
+    """
+    names = [c for c in docs.columns if c.lower() not in ("block", "epoch", "slot")]
+    kept = [F.col(f"`{c}`") for c in names]
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    # stored, so that a row has one number
+    held = stored(docs.select(F.struct(*kept).alias("held"), F.monotonically_increasing_id().alias("row"), F.xxhash64(*hashed).alias("order")))
+    found = stored(slots(held.select("row", F.col("held.source").alias("source"), "order"), weights, **options))
+    return held.select("held", "row").join(small(found, found.count() // 10), "row").select("held.*", "block", "epoch", "slot")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
