@@ -66,6 +66,8 @@ def schedule(parts: dict) -> list[tuple[object, int]]:
 
 #: Sources times buckets, and rows of a schedule, that are broadcast at most; beyond, joins shuffle.
 BROADCAST_ROWS = 100_000
+#: Rows' places (of 32 bytes) that are broadcast at most.
+BROADCAST_PLACES = 1_000_000
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -114,10 +116,11 @@ def slots(rows: DataFrame, weights=None, period: int = 4096, block_rows: int = 1
     return out.where(F.col("slot") < end).select("row", "block", "epoch", "slot")
 
 
-def mix_sources(docs: DataFrame, weights=None, **options) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=None, ordered: int = 0, **options) -> DataFrame:
     """Rows of docs with block, epoch and slot. weights: by source, sources without one are left out; without weights, each source's number of rows to the power `temper`.
 
-    Only numbers are ranked and dealt; the rows themselves are joined to their places at the end. options: those of slots().
+    Only numbers are ranked and dealt; the rows themselves are joined to their places at the end. ordered: into so many partitions, by slot,
+    with as many slots in each as in any other (0: in no order). options: those of slots().
     """
     names = [c for c in docs.columns if c.lower() not in ("block", "epoch", "slot")]
     kept = [F.col(f"`{c}`") for c in names]
@@ -125,7 +128,11 @@ def mix_sources(docs: DataFrame, weights=None, **options) -> DataFrame:
     # stored, so that a row has one number
     held = stored(docs.select(F.struct(*kept).alias("held"), F.monotonically_increasing_id().alias("row"), F.xxhash64(*hashed).alias("order")))
     found = stored(slots(held.select("row", F.col("held.source").alias("source"), "order"), weights, **options))
-    return held.select("held", "row").join(small(found, found.count() // 10), "row").select("held.*", "block", "epoch", "slot")
+    rows, last = found.agg(F.count("*"), F.coalesce(F.max("slot"), F.lit(0))).first()
+    mix = held.select("held", "row").join(F.broadcast(found) if rows <= BROADCAST_PLACES else found, "row")
+    if ordered:
+        mix = mix.repartitionById(ordered, F.expr(f"int(slot * {ordered} div {last + 1})")).sortWithinPartitions("slot", "row")
+    return mix.select("held.*", "block", "epoch", "slot")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("codestrata.llm")
 from codestrata.llm import chat, common, crosspolytope, graph, mixing, ngramjoin, piece, ppm, quality, sharding, tokencounts, toxicity  # noqa: E402
@@ -62,9 +63,9 @@ def test_schedule():
 
 
 def test_mixing(spark):
-    docs = documents(spark, ids=[*range(len(TEXTS) - 1), 4]).withColumnRenamed("n_chars", "slot")
+    docs = documents(spark, ids=[*range(len(TEXTS) - 1), 4]).withColumnRenamed("n_chars", "slot").withColumnRenamed("lang", "row")
     got = mixing.mix_sources(docs, block_rows=2, period=64).collect()
-    assert {r.doc_id for r in got} == set(range(len(TEXTS) - 1)) and {r.source for r in got} == {"s0", "s1", "s2", None}
+    assert {r.doc_id for r in got} == set(range(len(TEXTS) - 1)) and {r.source for r in got} == {"s0", "s1", "s2", None} and {r.row for r in got} == {"en"}
     first = [r for r in got if r.epoch == 0]
     assert len(first) == len(TEXTS)
     by_slot = collections.defaultdict(set)
@@ -73,6 +74,37 @@ def test_mixing(spark):
     assert all(len(x) == 1 for x in by_slot.values()) and sorted(by_slot) == list(range(len(by_slot)))
     assert mixing.mix_sources(documents(spark, [])).count() == 0
     assert {r.source for r in mixing.mix_sources(documents(spark), {"s1": 1.0}).collect()} == {"s1"}
+    with pytest.raises(ValueError, match="period"):
+        mixing.mix_sources(documents(spark), period=2).collect()
+
+
+@pytest.mark.parametrize("weights", [{"s0": 5, "s1": 2, "s2": 1, None: 0.3}, {"s0": 1, "s1": 1}, None])
+def test_mixing_keeps_to_the_weights(spark, weights):
+    """In every prefix of the mix each source has less than one block more or fewer than its weight calls for; its blocks come in order, all of them before any again."""
+    rows = [(i, "abcdefg"[i % 7], "en", None if i % 11 == 0 else f"s{0 if i % 3 else 1 + i % 2}", i) for i in range(700)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = mixing.mix_sources(docs, weights, period=128, block_rows=4, buckets=3, ordered=5)
+    parts = got.withColumn("part", F.spark_partition_id()).collect()
+    slots = {}
+    for r in parts:
+        assert slots.setdefault(r.slot, (r.source, r.block, r.epoch)) == (r.source, r.block, r.epoch)
+    assert sorted(slots) == list(range(len(slots)))
+    assert [r.slot for r in sorted(parts, key=lambda r: r.part)] == sorted(r.slot for r in parts)
+    sizes = collections.Counter(r[3] for r in rows)
+    weights = weights or {s: n**0.7 for s, n in sizes.items()}
+    whole = mixing.whole_parts(weights, 128)
+    turns, seen = collections.Counter(), collections.Counter()
+    for slot in range(len(slots)):
+        source, block, epoch = slots[slot]
+        blocks = -(-sizes[source] // 4)
+        assert (epoch, block) == divmod(turns[source], blocks)
+        turns[source] += 1
+        assert all(abs(turns[s] - (slot + 1) * a / 128) < 1 for s, a in whole.items())
+    for r in parts:
+        seen[r.doc_id] += 1
+    for s in weights:
+        own = [seen[i] for i, _, _, source, _ in rows if source == s]
+        assert own and max(own) - min(own) <= 1 and min(own) >= 1
 
 
 @pytest.mark.parametrize("rule", ["first", "last", "most"])
