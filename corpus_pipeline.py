@@ -36,9 +36,7 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, in the order of its slots: sources are interleaved by their weights, small ones again and again until the largest is through."""
-    mix = mixing.mix_sources(docs)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mix.repartitionByRange(parts, "slot").sortWithinPartitions("slot", "doc_id").select(COLUMNS)
+    return mixing.mix_sources(docs, ordered=int(spark.conf.get("spark.sql.shuffle.partitions"))).select(COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
