@@ -1,7 +1,7 @@
 """Readers of TypeScript, JavaScript (with JSX) and Java: a tokenizer, matched brackets and patterns over tokens.
 
-Not read: declarations spread over macros or preprocessors, overload signatures without bodies, object-literal
-methods and types inside type expressions. Unbalanced brackets make one error capture.
+Not read: declarations spread over macros or preprocessors, overload signatures without bodies and object-literal
+methods. A bracket without its partner is reported and passed over: an opening one reaches to where the brackets around it close.
 """
 
 from __future__ import annotations
@@ -9,12 +9,17 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-from .captures import Capture
+from .captures import Capture, Mark
 
 TOKEN = re.compile(
-    r"""(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<name>[#@]?[A-Za-z_$][\w$]*)|(?P<num>\d[\w.]*)|(?P<op>=>|\?\.|&&|\|\||\.\.\.|[^\w\s])""",
+    r"""(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<name>[#@]?[A-Za-z_$][\w$]*)|(?P<num>\d[\w.]*)|(?P<op>=>|\?\.|&&|\|\||\.\.\.|[^\w\s])""",
     re.S,
 )
+#: A part of a template text, from its beginning or a closed hole to its end or the next hole.
+TEMPLATE = re.compile(r"[`}](?:\\.|\$(?!\{)|[^`\\$])*(`|\$\{|$)", re.S)
+REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+#: Words after which a slash begins a regular expression.
+BEFORE_REGEX = set("return typeof case in of do else void delete throw new await yield instanceof".split())
 OPEN, CLOSE = {"(": ")", "{": "}", "[": "]"}, {")", "}", "]"}
 NOT_CALLED = set("if for while switch catch function return typeof new super await yield in of do else throw delete void instanceof case constructor".split())
 MODIFIERS = set("public private protected static readonly abstract final async override declare get set synchronized native default transient volatile export".split())
@@ -24,22 +29,66 @@ class Braces:
     def __init__(self, source: str, lang: str):
         self.source, self.lang, self.java = source, lang, lang == "java"
         self.starts = [0, *(m.end() for m in re.finditer("\n", source))]
-        self.t: list[tuple[str, str, int, int]] = [(m.lastgroup, m[0], m.start(), m.end()) for m in TOKEN.finditer(source) if m.lastgroup != "skip"]
+        self.t: list[tuple[str, str, int, int]] = self.tokens()
         self.match: dict[int, int] = {}
-        self.ok = True
         self.out: list[Capture] = []
-        stack = []
-        for i, (_, x, _, _) in enumerate(self.t):
-            if x in OPEN:
+        self.wrong: list[int] = []
+        stack: list[int] = []
+        for i, (kind, x, _, _) in enumerate(self.t):
+            if kind == "op" and x in OPEN:
                 stack.append(i)
-            elif x in CLOSE:
-                if stack and OPEN[self.t[stack[-1]][1]] == x:
-                    self.match[stack.pop()] = i
-                else:
-                    self.ok = False
-        self.ok &= not stack
+            elif kind == "op" and x in CLOSE:
+                depth = next((d for d in range(len(stack) - 1, -1, -1) if OPEN[self.t[stack[d]][1]] == x), None)
+                if depth is None:
+                    self.wrong.append(i)
+                    continue
+                self.give_up(stack[depth + 1 :], i - 1)
+                self.match[stack[depth]] = i
+                del stack[depth:]
+        self.give_up(stack, len(self.t) - 1)
         self.back = {b: a for a, b in self.match.items()}
 
+    def give_up(self, opened: list[int], last: int) -> None:
+        """Opening brackets that nothing closes reach to the token `last`."""
+        self.wrong += opened
+        for i in opened:
+            self.match[i] = max(i, last)
+
+    def tokens(self) -> list[tuple[str, str, int, int]]:
+        """(kind, text, start, end) of what isn't space or comment; the holes of a template text are read as blocks between its parts."""
+        source, out, at = self.source, [], 0
+        holes: list[int] = []  # how many braces are open in each template hole that we are in
+        while at < len(source):
+            x = source[at]
+            if x == "`" and not self.java or x == "}" and holes and holes[-1] == 0:
+                if x == "}":
+                    holes.pop()
+                    out.append(("op", "}", at, at + 1))
+                m = TEMPLATE.match(source, at)
+                opens = m[1] == "${"
+                out.append(("str", m[0], at, m.end() - 2 * opens))
+                at = m.end()
+                if opens:
+                    holes.append(0)
+                    out.append(("op", "{", at - 2, at))
+                continue
+            if x == "/" and not self.java and self.regex_may_follow(out) and (m := REGEX.match(source, at)):
+                out.append(("str", m[0], at, m.end()))
+                at = m.end()
+                continue
+            m = TOKEN.match(source, at)
+            if holes and x in "{}":
+                holes[-1] += 1 if x == "{" else -1
+            if m.lastgroup != "skip":
+                out.append((m.lastgroup, m[0], at, m.end()))
+            at = m.end()
+        return out
+
+    @staticmethod
+    def regex_may_follow(out: list[tuple[str, str, int, int]]) -> bool:
+        kind, text = out[-1][:2] if out else ("op", "")
+        return text in BEFORE_REGEX if kind == "name" else kind == "op" and text not in (")", "]", "}")
+
     def pos(self, offset: int) -> tuple[int, int]:
         line = bisect_right(self.starts, offset) - 1
         return line, offset - self.starts[line]
@@ -62,7 +111,7 @@ class Braces:
             parts.append(self.x(i))
         return parts, i
 
-    def marks_before(self, i: int) -> tuple[str, set[str], int]:
+    def marks_before(self, i: int) -> tuple[list[Mark], set[str], int]:
         """Decorators and modifiers before token i, and where they begin."""
         words: set[str] = set()
         first = i
@@ -77,8 +126,20 @@ class Braces:
                 first = p
             else:
                 break
-        text = self.source[self.t[first][2] : self.t[i][2]] if first < i else ""
-        return text, words, first
+        return [self.mark(k) for k in range(first, i) if self.x(k).startswith("@")], words, first
+
+    def mark(self, k: int) -> Mark:
+        """The decorator at token k."""
+        chain, last = self.dotted(k)
+        found = Mark(chain[-1].removeprefix("@"), len(chain) > 1)
+        if self.x(last + 1) == "(" and (close := self.match.get(last + 1)):
+            found.raw = self.source[self.t[last + 1][3] : self.t[close][2]]
+            if last + 2 < close and self.t[last + 2][0] == "str":
+                found.first = self.x(last + 2)[1:-1]
+            for j in range(last + 2, close - 1):
+                if self.is_name(j) and self.x(j + 1) in (":", "=") and self.t[j + 2][0] == "str":
+                    found.named.setdefault(self.x(j), []).append(self.x(j + 2)[1:-1])
+        return found
 
     def seen(self, words: set[str], name: str) -> tuple[bool, str]:
         if self.java:
@@ -96,9 +157,9 @@ class Braces:
         return None
 
     def read(self) -> list[Capture]:
-        if not self.ok:
-            line = 0
-            return [Capture("error", "", (line, 0, line, 0), (line, 0, line, 0))]
+        for i in sorted(self.wrong):
+            line, column = self.pos(self.t[i][2])
+            self.out.append(Capture("error", "", (line, column, line, column), (line, column, line, column)))
         self.block(0, len(self.t), None, False)
         return self.out
 
@@ -157,7 +218,7 @@ class Braces:
         out, seen = self.seen(words, name)
         kind = "definition.class" if self.x(i) == "class" else "definition.interface"
         bases = self.source[self.t[i + 1][3] : self.t[b][2]]
-        self.add(kind, i, close, i + 1, node_type="class_declaration" if kind.endswith("class") else "interface_declaration", decorators=marks, bases=bases, exported=out or exported, visibility=seen)
+        self.add(kind, i, close, i + 1, node_type="class_declaration" if kind.endswith("class") else "interface_declaration", marks=marks, bases=bases, exported=out or exported, visibility=seen)
         j, tag = i + 2, None
         while j < b:
             if self.x(j) in ("extends", "implements"):
@@ -180,7 +241,7 @@ class Braces:
         marks, words, _ = self.marks_before(i)
         out, seen = self.seen(words, self.x(n))
         close = self.match[b]
-        self.add(tag, i, close, n, node_type=tag, decorators=marks, exported=out or exported, visibility=seen)
+        self.add(tag, i, close, n, node_type=tag, marks=marks, exported=out or exported, visibility=seen)
         for k in range(n + 1, b):
             self.uses(k)
         self.block(b + 1, close, None, out or exported)
@@ -269,7 +330,7 @@ class Braces:
         elif x == "<" and self.lang in ("tsx", "jsx", "javascript") and self.is_name(i + 1) and (self.x(i - 1) in ("(", "=", "?", ":", "&&", "||", "{", "}", ">", "=>", ",", "") or self.x(i - 1) == "return"):
             chain, last = self.dotted(i + 1)
             self.add("renders", i, last, i + 1, ".".join(chain), name_j=last, node_type="jsx", chain=chain)
-        elif x == ":" and self.lang in ("typescript", "tsx") and self.is_name(i + 1) and self.x(i + 1)[:1].isupper():
+        elif x == ":" and self.lang in ("typescript", "tsx") and self.is_name(i + 1) and self.dotted(i + 1)[0][-1][:1].isupper():
             chain, last = self.dotted(i + 1)
             self.add("type_use", i, last, i + 1, ".".join(chain), name_j=last, node_type="type_annotation", chain=chain)
         elif self.is_name(i) and self.x(i - 1) not in (".", "?.", "new", "function", "class", "interface", "<") and x not in NOT_CALLED:

@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 import ast
+import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 
+@dataclass
+class Mark:
+    """A decorator: its last name, whether it stands on one plain name (`@app.get`), its first argument where that is a text, all arguments as written, and texts given by name."""
+
+    name: str
+    on_name: bool = False
+    first: str | None = None
+    raw: str = ""
+    named: dict[str, list[str]] = field(default_factory=dict)
+
+
 @dataclass
 class Capture:
     """One fact: its tag, its name, the range of its node and of its name (0-based lines and columns)."""
@@ -19,30 +31,69 @@ class Capture:
     chain: list[str] = field(default_factory=list)
     import_path: str | None = None
     imported: str | None = None
-    decorators: str = ""
+    marks: list[Mark] = field(default_factory=list)
     bases: str = ""
-    body: str = ""
+    table: str | None = None
     type_chain: list[str] = field(default_factory=list)
     exported: bool = False
     visibility: str = "public"
     route: tuple[str, str] | None = None
 
 
+def text_of(node) -> str | None:
+    return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
+
+
 def python_visibility(name: str) -> str:
     return "private" if name.startswith("_") and not (name.startswith("__") and name.endswith("__")) else "public"
 
 
+#: Lines of a file that are passed over at most; beyond, the file is given up.
+MOST_ERRORS = 200
+#: What stands in for a wrong line; a header's body stays where it is.
+HEADER = "if 1:"
+NEUTRAL = ("", "pass", HEADER)
+
+
 class PythonReader(ast.NodeVisitor):
     def __init__(self, source: str):
         self.source, self.lines, self.out = source, source.split("\n"), []
 
     def read(self) -> list[Capture]:
+        """Captures of what can be parsed; a line that breaks the syntax is passed over and reported."""
+        wrong = []
+        while True:
+            try:
+                tree = ast.parse("\n".join(self.lines))
+                break
+            except SyntaxError as e:
+                line = min(max(0, (e.lineno or 1) - 1), len(self.lines) - 1)
+                cause = re.search(r"expected an indented block after .* on line (\d+)", str(e.msg))
+                tries = [k for k in range(line, -1, -1) if self.lines[k].strip() == "try:"] if "expected 'except'" in str(e.msg) else []
+                if cause:
+                    line = int(cause[1]) - 1  # nothing stands below a header
+                elif tries:
+                    line = tries[0]
+                elif self.lines[line].strip() in NEUTRAL and "indent" not in str(e.msg):
+                    # what comes before makes it wrong
+                    line = next((k for k in range(line - 1, -1, -1) if self.lines[k].strip() not in ("", "pass")), line)
+                if (text := self.lines[line].strip()) not in NEUTRAL:
+                    wrong.append(line)
+                if not text or len(wrong) > MOST_ERRORS:
+                    tree = ast.Module([], [])
+                    break
+                instead = "" if text == "pass" else "pass" if cause or text == HEADER or not text.endswith(":") else HEADER
+                self.lines[line] = self.lines[line][: len(self.lines[line]) - len(self.lines[line].lstrip())] + instead
+            except (ValueError, RecursionError):
+                wrong.append(0)
+                tree = ast.Module([], [])
+                break
+        self.source = "\n".join(self.lines)
         try:
-            self.visit(ast.parse(self.source))
-        except (SyntaxError, ValueError, RecursionError) as e:
-            line = max(0, (getattr(e, "lineno", None) or 1) - 1)
-            return [Capture("error", "", (line, 0, line, 0), (line, 0, line, 0))]
-        return self.out
+            self.visit(tree)
+        except RecursionError:
+            wrong.append(0)
+        return [*(Capture("error", "", (line, 0, line, 0), (line, 0, line, 0)) for line in sorted(set(wrong))), *self.out]
 
     def at(self, node) -> tuple[int, int, int, int]:
         """Columns in characters: the parser counts bytes."""
@@ -65,8 +116,25 @@ class PythonReader(ast.NodeVisitor):
         name_at = (sl, sc + len(prefix), sl, sc + len(prefix) + len(node.name))
         bases = ", ".join(self.text(b) for b in node.bases) if isinstance(node, ast.ClassDef) else ""
         seen = python_visibility(node.name)
-        marks = "\n".join("@" + self.text(d) for d in node.decorator_list)
-        self.out.append(Capture(tag, node.name, (sl, sc, el, ec), name_at, type(node).__name__, decorators=marks, bases=bases, body=self.text(node) if bases or tag == "definition.class" else "", exported=seen == "public", visibility=seen))
+        self.out.append(Capture(tag, node.name, (sl, sc, el, ec), name_at, type(node).__name__, marks=[self.mark(d) for d in node.decorator_list], bases=bases, table=self.table_of(node), exported=seen == "public", visibility=seen))
+
+    def mark(self, node) -> Mark:
+        called = node.func if isinstance(node, ast.Call) else node
+        found = Mark(called.attr if isinstance(called, ast.Attribute) else getattr(called, "id", ""), isinstance(called, ast.Attribute) and isinstance(called.value, ast.Name))
+        if isinstance(node, ast.Call):
+            found.raw = ", ".join(self.text(a) for a in node.args)
+            found.first = text_of(node.args[0]) if node.args else None
+            for k in node.keywords:
+                values = k.value.elts if isinstance(k.value, ast.List) else [k.value]
+                found.named[k.arg or ""] = [t for v in values if (t := text_of(v)) is not None]
+        return found
+
+    def table_of(self, node) -> str | None:
+        """What a class says that its table is called."""
+        for part in ast.walk(node) if isinstance(node, ast.ClassDef) else ():
+            if isinstance(part, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__tablename__" for t in part.targets):
+                return text_of(part.value)
+        return None
 
     def visit_ClassDef(self, node):
         self.definition(node, "definition.class")

@@ -1,67 +1,74 @@
-"""Tags of web and data frameworks: endpoints, data models, services. Later readers overwrite earlier ones."""
+"""Tags of web and data frameworks: endpoints, data models, services. They are read from decorators, bases and calls as the readers found them."""
 
 from __future__ import annotations
 
-import re
-
-from .captures import Capture
-
-# Fixed patterns.
-FASTAPI = re.compile(r"@(?:[a-zA-Z_]\w*)\.(get|post|put|delete|patch|options|head|api_route)\(\s*(['\"])(.*?)\2")
-FLASK = re.compile(r"@(?:[a-zA-Z_]\w*)\.route\(\s*(['\"])(.*?)\1")
-METHODS = re.compile(r"methods\s*=\s*\[\s*(.*?)\s*\]")
-TABLE_NAME = re.compile(r"__tablename__\s*=\s*(['\"])(.*?)\1")
-NEST_VERB = re.compile(r"@(Get|Post|Put|Delete|Patch|Options|Head)\(\s*(['\"]?)(.*?)\2\s*\)", re.I)
-NEST_CONTROLLER = re.compile(r"@Controller\(\s*(['\"]?)(.*?)\1\s*\)")
-NEST_MODEL = re.compile(r"@(Entity|Table)\(\s*(['\"]?)(.*?)\2\s*\)")
-MODEL_NAME = re.compile(r"name\s*:\s*(['\"])(.*?)\1")
-
-
-def listed_method(text: str, default: str = "GET") -> str:
-    m = METHODS.search(text)
-    first = re.search(r"(['\"])(.*?)\1", m[1]) if m else None
-    return first[2].upper() if first else default
-
-
-def python_tags(c: Capture, path: str) -> dict:
-    tags: dict = {}
-    if c.tag == "definition.function":
-        if m := FASTAPI.search(c.decorators):
-            tags["api"] = (listed_method(c.decorators) if m[1] == "api_route" else m[1].upper(), m[3])
-        if m := FLASK.search(c.decorators):
-            tags["api"] = (listed_method(c.decorators), m[2])
-    elif c.tag == "definition.class":
-        named = TABLE_NAME.search(c.body)
-        if "Base" in c.bases or "Model" in c.bases or named:
-            tags["table"] = named[2] if named else c.name.lower()
-        if c.name.endswith("Service") or "service" in path.lower():
-            tags["service"] = True
-    return tags
-
-
-def script_tags(c: Capture, path: str, owner: Capture | None, routes: list[tuple[str, str]]) -> dict:
-    tags: dict = {}
-    is_class = c.tag == "definition.class"
-    if c.tag in ("definition.method", "definition.function", "definition.variable"):
-        if c.tag == "definition.method" and (m := NEST_VERB.search(c.decorators)):
-            base = NEST_CONTROLLER.search(owner.decorators) if owner else None
-            parts = [p.strip().strip("/") for p in ((base[2] if base else ""), m[3])]
-            tags["api"] = (m[1].upper(), re.sub("/+", "/", "/" + "/".join(p for p in parts if p)))
-        for route, handlers in routes:
-            if any(h == c.name or h.endswith("." + c.name) for h in handlers.split()):
-                verb, at = route.split(" ", 1)
-                tags["api"] = (verb, at)
-                break
-    if is_class:
-        if m := NEST_MODEL.search(c.decorators):
-            named = MODEL_NAME.search(m[3])
-            tags["table"] = named[2] if named else m[3] if m[3] and "{" not in m[3] else c.name.lower()
-        elif "model" in path.lower():
-            tags["table"] = c.name.lower()
-        if "@Injectable" in c.decorators or c.name.endswith("Service") or "service" in path.lower():
-            tags["service"] = True
-    return tags
+from .captures import Capture, Mark
+
+# Names that frameworks give their decorators.
+ROUTE_VERBS = ("get", "post", "put", "delete", "patch", "options", "head")
+CONTROLLER, INJECTABLE = "Controller", "Injectable"
+ENTITY_NAMES = ("Entity", "Table")
+
+
+def of_name(marks: list[Mark], names: tuple[str, ...], any_case: bool = False) -> Mark | None:
+    """The first decorator that has one of the names."""
+    plain = lambda n: n.lower() if any_case else n
+    wanted = {plain(n) for n in names}
+    return next((m for m in marks if plain(m.name) in wanted), None)
+
+
+def listed_method(mark: Mark) -> str:
+    return next(iter(mark.named.get("methods", ())), "GET").upper()
+
+
+def python_endpoint(marks: list[Mark]) -> tuple[str, str] | None:
+    """`@app.route` wins over `@app.get` and its like."""
+    on_objects = [m for m in marks if m.on_name and m.first is not None]
+    if routed := of_name(on_objects, ("route",)):
+        return listed_method(routed), routed.first
+    if verb := of_name(on_objects, (*ROUTE_VERBS, "api_route")):
+        return listed_method(verb) if verb.name == "api_route" else verb.name.upper(), verb.first
+    return None
+
+
+def argument(mark: Mark | None) -> str:
+    """A decorator's argument: the text, or what is written there."""
+    return "" if mark is None else mark.raw.strip() if mark.first is None else mark.first
+
+
+def method_endpoint(method: Capture, owner: Capture | None) -> tuple[str, str] | None:
+    """A controller's method: the controller's path, then its own."""
+    verb = of_name([m for m in method.marks if not m.on_name], ROUTE_VERBS, True)
+    if verb is None:
+        return None
+    whole = "/".join((argument(of_name(owner.marks, (CONTROLLER,)) if owner else None), argument(verb)))
+    return verb.name.upper(), "/" + "/".join(part for part in (p.strip() for p in whole.split("/")) if part)
+
+
+def registered(name: str, routes: list[tuple[str, str]]) -> tuple[str, str] | None:
+    """The first registration of a route whose handler has this name."""
+    for route, handlers in routes:
+        if any(h.split(".")[-1] == name for h in handlers.split()):
+            verb, _, at = route.partition(" ")
+            return verb, at
+    return None
 
 
 def tags(c: Capture, path: str, lang: str, owner: Capture | None, routes: list[tuple[str, str]]) -> dict:
-    return python_tags(c, path) if lang == "python" else script_tags(c, path, owner, routes) if lang != "html" else {}
+    """api (method, path), table and service of a definition, as far as it has them."""
+    found: dict = {}
+    kind, low = c.tag.rpartition(".")[2], path.lower()
+    python, script = lang == "python", lang not in ("python", "html")
+    if python and kind == "function":
+        found["api"] = python_endpoint(c.marks)
+    if script and kind in ("method", "function", "variable"):
+        found["api"] = registered(c.name, routes) or (method_endpoint(c, owner) if kind == "method" else None)
+    if kind == "class" and (python or script):
+        found["service"] = c.name.endswith("Service") or "service" in low or script and of_name(c.marks, (INJECTABLE,)) is not None
+        if python and (c.table is not None or "Base" in c.bases or "Model" in c.bases):
+            found["table"] = c.table or c.name.lower()
+        if script and (entity := of_name(c.marks, ENTITY_NAMES)):
+            found["table"] = next(iter(entity.named.get("name", ())), None) or (argument(entity) if "{" not in argument(entity) else "") or c.name.lower()
+        elif script and "model" in low:
+            found["table"] = c.name.lower()
+    return {k: v for k, v in found.items() if v}

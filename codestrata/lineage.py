@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the checkpoint folder, which survives the loss of executors."""
+    """df computed once (checkpoint() computes its last stage twice) and kept as a table in the checkpoint folder, which survives the loss of executors."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        held = context._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            folder = held.get()
+        elif context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="strata-")
+            context.setCheckpointDir(folder)
+        else:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strata-"))
-    return df.checkpoint()
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -34,33 +34,31 @@ def slices(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
 def preceding_comments(wants: DataFrame, lines: DataFrame, key: str = "path", most: int = COMMENT_LINES) -> DataFrame:
     """
-    (key, line_no, comment): the comment right above a line, at most `most` lines of it. Blank lines between the comment and the line are passed
-    over; a line of another kind ends the search. `//` and `#` lines and blocks from slash-star to star-slash count.
+    (key, line_no, comment) for each of wants(key, line_no): the comment above a line, at most `most` lines of it; null where there is none. Blank
+    lines between the comment and the line are passed over, one within ends it, as does a line of another kind. `//` and `#` lines count, and lines from
+    one that ends in star-slash up to one that begins with slash-star; a line that does both begins such a block like any that ends in star-slash.
     """
     # Of the lines above only `most` can matter, from the last that isn't blank on.
-    above = lines.select(key, F.col("line_no").alias("at"), F.trim("text").alias("t"))
+    above = lines.select(key, F.col("line_no").alias("at"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("t"))
     asked = wants.select(key, "line_no").distinct()
     full = above.select(key, "at", F.when(F.col("t") != "", F.col("at")).alias("full"), F.lit(False).alias("asks"))
     before = Window.partitionBy(key).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     full = full.unionByName(asked.select(key, F.col("line_no").alias("at"), F.lit(None).cast("int").alias("full"), F.lit(True).alias("asks"))).withColumn("last", F.max("full").over(before))
-    asked = full.where("asks").select(key, F.col("at").alias("line_no"), F.coalesce("last", F.col("at") - 1).alias("last"))
-    near = asked.join(above, key).where((F.col("at") <= F.col("last")) & (F.col("at") > F.col("last") - most)).drop("last")
-    grouped = near.groupBy(key, "line_no").agg(F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("at", "t")))), lambda x: x["t"]).alias("up"))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("before").alias("state"))
+    asked = full.where("asks").select(key, F.col("at").alias("line_no"), "last")
+    near = asked.where("last is not null").withColumn("at", F.explode(F.sequence(F.greatest(F.col("last") - (most - 1), F.lit(0)), F.col("last")))).drop("last")
+    grouped = near.join(above, [key, "at"]).groupBy(key, "line_no").agg(F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("at", "t")))), lambda x: x["t"]).alias("up"))  # at most `most` lines
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("plain").alias("state"))
 
     def step(acc, t):
         state = acc["state"]
-        plain = t.startswith("//") | t.startswith("#")
-        closes, opens = t.endswith("*/"), t.startswith("/*")
-        full = F.size(acc["out"]) >= most
-        in_block = state == "block"
-        blank = (t == "") & (state == "before")
-        takes = ~full & (state != "done") & (in_block | plain | closes)
-        following = F.when(full | (state == "done"), "done").when(blank, "before").when(in_block, F.when(opens, "after").otherwise("block")).when(closes, F.when(opens, "after").otherwise("block")).when(plain, "after").otherwise("done")
-        return F.struct(F.when(takes, F.concat(F.array(t), acc["out"])).otherwise(acc["out"]).alias("out"), following.alias("state"))
+        closes, block = t.endswith("*/"), state == "block"
+        done = (state == "done") | (t == "") | ~(closes | block | t.startswith("//") | t.startswith("#"))
+        following = F.when(done, "done").when(closes, "block").when(block & ~t.startswith("/*"), "block").otherwise("plain")
+        return F.struct(F.when(done, acc["out"]).otherwise(F.concat(F.array(t), acc["out"])).alias("out"), following.alias("state"))
 
     text = F.aggregate("up", start, step)["out"]
-    return grouped.select(key, "line_no", F.when(F.size(text) > 0, F.array_join(text, "\n")).alias("comment"))
+    found = grouped.select(key, "line_no", F.when(F.size(text) > 0, F.array_join(text, "\n")).alias("comment"))
+    return asked.drop("last").join(found, [key, "line_no"], "left")
 
 
 #: Word boundaries by ASCII letters, whatever the JVM takes for a letter.

@@ -13,7 +13,8 @@ from ..lineage import cut
 from ..model import BUILTINS, QUIET_NAMES
 from . import indexes
 
-MOST_HOPS = 12
+#: Outside names' containments are numbered in so many parts.
+PARTS = 64
 TYPES = ("class", "interface")
 
 
@@ -33,6 +34,11 @@ def first_of(steps: list[tuple[str, DataFrame]], key: str, target: str) -> DataF
     return best.select(key, F.col(f"m.{target}").alias(target), F.col("m.method").alias("method"))
 
 
+def first_by(offers: DataFrame, target: str, *keys: str) -> DataFrame:
+    """(keys..., target): of the symbols that share the keys, the first; so that a reference meets one of them only, however common the name."""
+    return offers.groupBy(*keys).agg(F.min_by(target, "sym_seq").alias(target))
+
+
 def normal_path(path: Column) -> Column:
     """A path without empty, `.` and (as far as there is something above) `..` parts."""
     start = F.array().cast("array<string>")
@@ -80,17 +86,16 @@ def resolve_imports(imports: DataFrame, symbols: DataFrame, files: DataFrame) ->
     lang = language_group(F.col("path"))
     wants = imports.select("ref_seq", "path", "import_path", "raw_name", "ast_node_type", name.alias("name"), lang.alias("lang")).join(target_files(imports, files), "ref_seq", "left")
     offers = symbols.where((F.col("kind") != "file") & F.col("exported"))
-    in_file = offers.select(F.col("path").alias("file"), "sym_seq", F.col("id").alias("to_id"), F.explode(F.array_distinct(F.array("name", "qname"))).alias("name"))
-    everywhere = offers.select("name", language_group(F.col("path")).alias("lang"), "sym_seq", F.col("id").alias("to_id"))
+    in_file = first_by(offers.select(F.col("path").alias("file"), "sym_seq", F.col("id").alias("to_id"), F.explode(F.array_distinct(F.array("name", "qname"))).alias("name")), "to_id", "file", "name")
+    everywhere = first_by(offers.select("name", language_group(F.col("path")).alias("lang"), "sym_seq", F.col("id").alias("to_id")), "to_id", "name", "lang")
     whole = (F.col("lang") == "html") | (F.col("lang") == "py") & (F.col("ast_node_type") == "import_statement")
     file_id = F.concat(F.col("file"), F.lit("::"), F.col("file"))
     is_module = (F.col("lang") == "py") & ((F.col("file") == F.col("name")) | F.col("file").endswith(F.concat(F.col("name"), F.lit(".py"))))
-    first = lambda df: df.groupBy("ref_seq").agg(F.min_by("to_id", "sym_seq").alias("to_id"))
     steps = [
         ("import", wants.where(whole & F.col("file").isNotNull()).select("ref_seq", file_id.alias("to_id"))),
-        ("import", first(wants.where(~whole & F.col("file").isNotNull()).join(in_file, ["file", "name"]))),
+        ("import", wants.where(~whole & F.col("file").isNotNull()).join(in_file, ["file", "name"])),
         ("import", wants.where(~whole & F.col("file").isNotNull() & is_module).select("ref_seq", file_id.alias("to_id"))),
-        ("import", first(wants.where(F.col("lang") != "html").join(everywhere, ["name", "lang"]))),
+        ("import", wants.where(F.col("lang") != "html").join(everywhere, ["name", "lang"])),
     ]
     found = first_of(steps, "ref_seq", "to_id").drop("method")
     top = lambda c: F.split_part(c, F.lit("/"), F.lit(1))
@@ -113,9 +118,8 @@ def types_of(symbols: DataFrame, wants: DataFrame) -> DataFrame:
     """(key, type_id) for wants(key, type_chain, path): the first class or interface of the language with the qualified, else the last name."""
     t = symbols.where(F.col("kind").isin(*TYPES)).select("sym_seq", F.col("id").alias("type_id"), "name", "qname", language_group(F.col("path")).alias("lang"))
     w = wants.where(F.size("type_chain") > 0).select("key", "type_chain", language_group(F.col("path")).alias("lang"))
-    first = lambda df: df.groupBy("key").agg(F.min_by("type_id", "sym_seq").alias("type_id"))
-    dotted = first(w.where(F.size("type_chain") > 1).withColumn("qname", F.array_join("type_chain", ".")).join(t.drop("name"), ["qname", "lang"]))
-    plain = first(w.withColumn("name", F.element_at("type_chain", -1)).join(t.drop("qname"), ["name", "lang"]))
+    dotted = w.where(F.size("type_chain") > 1).withColumn("qname", F.array_join("type_chain", ".")).join(first_by(t, "type_id", "qname", "lang"), ["qname", "lang"])
+    plain = w.withColumn("name", F.element_at("type_chain", -1)).join(first_by(t, "type_id", "name", "lang"), ["name", "lang"])
     return first_of([("", dotted), ("", plain)], "key", "type_id").drop("method")
 
 
@@ -132,7 +136,7 @@ def member_table(symbols: DataFrame, containments: DataFrame) -> DataFrame:
 def follow(rows: DataFrame, members: DataFrame) -> DataFrame:
     """rows(ref_seq, priority, at, chain, pos): each chain followed from its place through members; (…, to_id) where it ends. Outside symbols have every member."""
     done = []
-    for _ in range(MOST_HOPS):
+    while True:  # a round for each name of the longest chain
         done.append(rows.where(F.col("pos") >= F.size("chain")).select("ref_seq", "priority", F.col("at").alias("to_id")))
         rows = rows.where(F.col("pos") < F.size("chain")).withColumn("name", F.element_at("chain", F.col("pos") + 1))
         outside = F.col("at").startswith("external::")
@@ -162,15 +166,13 @@ def resolve_all(refs: DataFrame, symbols: DataFrame, scopes: DataFrame, containm
 
     # this and self: members of the enclosing class
     parent = containments.where(F.col("kind").isin("owns", "has_member")).groupBy("child_id").agg(F.min_by("parent_id", "cont_seq").alias("parent_id"))
-    level = cut(own.select("ref_seq", "chain", F.col("from_id").alias("child_id")))
+    level = cut(own.select("ref_seq", "chain", F.col("from_id").alias("child_id"), F.array().cast("array<string>").alias("passed")))
     classes = symbols.where(F.col("kind").isin("class", "interface", "struct")).select(F.col("id").alias("parent_id"), F.lit(True).alias("is_class"))
     enclosing = []
-    for _ in range(MOST_HOPS):
-        if level.isEmpty():
-            break
-        up = cut(level.join(parent, "child_id").join(classes, "parent_id", "left"))
+    while not level.isEmpty():
+        up = cut(level.where(~F.array_contains("passed", F.col("child_id"))).join(parent, "child_id").join(classes, "parent_id", "left"))
         enclosing.append(start(up.where("is_class"), 0, "parent_id", one))
-        level = up.where("is_class is null").select("ref_seq", "chain", F.col("parent_id").alias("child_id"))
+        level = up.where("is_class is null").select("ref_seq", "chain", F.col("parent_id").alias("child_id"), F.concat("passed", F.array("child_id")).alias("passed"))
 
     # scopes from the innermost out: a symbol of the name, else the declared type of a local one
     inner = indexes.innermost(plain.withColumn("id", F.col("ref_seq")), scopes, exclude_own=False).select(F.col("id").alias("ref_seq"), "scope_id")
@@ -194,10 +196,10 @@ def resolve_all(refs: DataFrame, symbols: DataFrame, scopes: DataFrame, containm
 
     # the qualified name, then the name anywhere in the language, then the built-in names
     where_ = symbols.select("sym_seq", F.col("id").alias("at"), "name", "qname", "kind", language_group(F.col("path")).alias("lang"))
-    exact = plain.where(F.size("chain") > 1).withColumn("qname", F.array_join("chain", ".")).join(where_.drop("name", "kind"), ["qname", "lang"]).groupBy("ref_seq").agg(F.min_by("at", "sym_seq").alias("to_id")).select("ref_seq", order(3), "to_id")
+    exact = plain.where(F.size("chain") > 1).withColumn("qname", F.array_join("chain", ".")).join(first_by(where_, "at", "qname", "lang"), ["qname", "lang"]).select("ref_seq", order(3), F.col("at").alias("to_id"))
     files_last = F.col("kind").isin("file", "project").cast("int")
-    somewhere = plain.join(where_.drop("qname").withColumnRenamed("name", "base").withColumnRenamed("kind", "k"), ["base", "lang"]).withColumn("kind", F.col("k"))
-    somewhere = somewhere.groupBy("ref_seq").agg(F.min_by("at", F.struct(files_last, F.col("sym_seq"))).alias("at"), F.first("chain").alias("chain"))
+    anywhere = where_.groupBy(F.col("name").alias("base"), "lang").agg(F.min_by("at", F.struct(files_last, F.col("sym_seq"))).alias("at"))
+    somewhere = plain.join(anywhere, ["base", "lang"]).select("ref_seq", "chain", "at")
     builtin = plain.where(F.col("base").isin(*BUILTINS)).select("ref_seq", "chain", F.concat(F.lit("external::builtin::"), F.col("base")).alias("at"))
     far = follow(start(somewhere, 4, "at", one).unionAll(start(builtin, 5, "at", one)), members)
     bases = somewhere.select("ref_seq", order(4, one), F.col("at").alias("to_id"))  # stands even where its member is missing
@@ -225,6 +227,7 @@ def resolve_all(refs: DataFrame, symbols: DataFrame, scopes: DataFrame, containm
     new = links.select("id", "name", "qname", F.when(F.col("id").startswith("external::builtin::"), "builtin").otherwise("external").alias("path"), F.when(F.col("parent_id").isNull(), "function").otherwise("method").alias("plain"))
     externals = outside.unionByName(external(new).join(known, "id", "left_anti")).dropDuplicates(["id"])
     last = containments.agg(F.coalesce(F.max("cont_seq"), F.lit(0))).first()[0]
-    held = links.where(F.col("parent_id").isNotNull()).select("parent_id", F.col("id").alias("child_id"), F.lit("has_member").alias("kind"))
-    held = held.withColumn("cont_seq", F.lit(last + 1) + F.row_number().over(Window.orderBy("child_id"))) if not held.isEmpty() else held.withColumn("cont_seq", F.lit(last))
+    part = F.pmod(F.xxhash64("child_id"), F.lit(PARTS))
+    held = links.where(F.col("parent_id").isNotNull()).select("parent_id", F.col("id").alias("child_id"), F.lit("has_member").alias("kind"), part.alias("part"))
+    held = held.withColumn("cont_seq", F.lit(last + 1 - PARTS) + F.row_number().over(Window.partitionBy("part").orderBy("child_id")) * PARTS + F.col("part"))
     return Resolution(resolved, unresolved, told, externals, held.select("cont_seq", "parent_id", "child_id", "kind"))

@@ -2,8 +2,8 @@
 
 Levels are driver loops of at most the policy's depth; each level is a join of the frontier with the edges.
 Within a level new nodes rank by (rank of the node they were reached from, outgoing before incoming,
-edge_seq), so caps admit the same nodes in every run. Admitted nodes never exceed the node limit, which is what
-makes them small enough to broadcast (the limit is checked).
+edge_seq, id), so caps admit the same nodes in every run. Levels are counted before they are used: up to BROADCAST_ROWS they
+are broadcast, and the edges are then scanned without a shuffle; larger ones are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ BROADCAST_ROWS = 100_000
 
 
 def small(df: DataFrame, most: int | None) -> DataFrame:
-    """df, broadcast where it can't have more than BROADCAST_ROWS rows."""
+    """df, broadcast where it can't have more than BROADCAST_ROWS rows; most: how many it has at most."""
     return F.broadcast(df) if most is not None and most <= BROADCAST_ROWS else df
 
 
@@ -41,28 +41,28 @@ def steps(edges: DataFrame, direction: str) -> DataFrame:
 def walk(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, direction: str, kinds, depth: int, node_limit: int | None = None, per_file: int | None = None) -> DataFrame:
     """(id, distance, rank, via): admitted nodes in the order of admission. anchors(id, rank); via: kind of the edge that found it."""
     step = steps(edges.where(kind_is(F.col("kind"), kinds)), direction)
-    order = Window.orderBy("at_rank", "dir", "edge_seq")
+    place = ["at_rank", "dir", "edge_seq", "id"]
     seen = anchors.join(nodes.select("id"), "id", "left_semi").groupBy("id").agg(F.min("rank").cast("long").alias("rank"))
     seen = cut(seen.select("id", F.lit(0).alias("distance"), "rank", F.lit(None).cast("string").alias("via")))
     for d in range(1, depth + 1):
-        state = seen.agg(F.count("*"), F.max("rank"), F.count(F.when(F.col("distance") == d - 1, 1))).first()
-        room = None if node_limit is None else node_limit - state[0]
-        if not state[2] or room is not None and room <= 0:
+        known, top, last = seen.agg(F.count("*"), F.max("rank"), F.count(F.when(F.col("distance") == d - 1, 1))).first()
+        room = None if node_limit is None else node_limit - known
+        if not last or room is not None and room <= 0:
             break
         front = seen.where(F.col("distance") == d - 1).select(F.col("id").alias("at"), F.col("rank").alias("at_rank"))
-        reached = step.join(small(front, node_limit), "at").groupBy("to").agg(F.min(F.struct("at_rank", "dir", "edge_seq", "kind")).alias("m"))
-        reached = reached.select(F.col("to").alias("id"), "m.*").join(small(seen.select("id"), node_limit), "id", "left_anti")
-        reached = reached.join(nodes.select("id", "path"), "id")
+        reached = step.join(small(front, last), "at").groupBy(F.col("to").alias("id")).agg(F.min(F.struct("at_rank", "dir", "edge_seq", "kind")).alias("m")).select("id", "m.*")
+        reached = cut(reached.join(small(seen.select("id"), known), "id", "left_anti"))
+        reached = nodes.select("id", "path").join(small(reached, reached.count()), "id")
         if per_file is not None and d >= 2:
-            used = seen.where("distance > 0").join(nodes.select("id", "path"), "id").groupBy("path").agg(F.count("*").alias("used"))
-            reached = reached.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("at_rank", "dir", "edge_seq"))).where(F.col("n") <= per_file)
-            reached = reached.join(small(used, node_limit), "path", "left").where(F.col("n") + F.coalesce("used", F.lit(0)) <= per_file)
+            used = nodes.select("id", "path").join(small(seen.where("distance > 0").select("id"), known), "id").groupBy("path").agg(F.count("*").alias("used"))
+            reached = reached.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(*place))).where(F.col("n") <= per_file)
+            reached = reached.join(small(used, known), "path", "left").where(F.col("n") + F.coalesce("used", F.lit(0)) <= per_file)
         if room is not None:
-            reached = reached.orderBy("at_rank", "dir", "edge_seq").limit(room)
-            ranked = reached.withColumn("rank", F.lit(state[1]) + F.row_number().over(order))
+            reached = reached.orderBy(*place).limit(room)
+            ranked = reached.withColumn("rank", F.lit(top) + F.row_number().over(Window.orderBy(*place)))
         else:
             # Ranking a whole level needs one task; without a limit the level is rank enough, and edge_seq breaks ties.
-            ranked = reached.withColumn("rank", F.lit(state[1] + 1))
+            ranked = reached.withColumn("rank", F.lit(top + 1))
         seen = cut(seen.unionAll(ranked.select("id", F.lit(d).alias("distance"), F.col("rank").cast("long").alias("rank"), F.col("kind").alias("via"))))
     return seen
 
@@ -70,50 +70,75 @@ def walk(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, direction: str,
 def region(nodes, edges, anchors, direction="both", kinds=(), depth=3, node_limit=None, edge_limit=None, per_file=None) -> tuple[DataFrame, DataFrame, int]:
     """Nodes with distance, edges in rank order with `edge_rank`, and the number of edges left out by edge_limit."""
     admitted = walk(nodes, edges, anchors, direction, kinds, depth, node_limit, per_file)
-    allowed = edges.where(kind_is(F.col("kind"), kinds))
-    ends = [small(admitted.select(F.col("id").alias(end), F.col("distance").alias(f"{end}_distance"), F.col("rank").alias(f"{end}_rank")), node_limit) for end in ("src", "dst")]
+    allowed, known = edges.where(kind_is(F.col("kind"), kinds)), admitted.count()
+    ends = [small(admitted.select(F.col("id").alias(end), F.col("distance").alias(f"{end}_distance"), F.col("rank").alias(f"{end}_rank")), known) for end in ("src", "dst")]
     inside = allowed.join(ends[0], "src").join(ends[1], "dst")
     found = lambda end, k: F.when((F.col(f"{end}_distance") < depth) & F.lit(direction != ("incoming", "outgoing")[k]), F.struct(F.col(f"{end}_rank").alias("a"), F.lit(k).alias("b"), F.col("edge_seq").alias("c")))
     inside = inside.withColumn("at", F.least(found("src", 0), found("dst", 1))).where(F.col("at").isNotNull())
-    inside = inside.groupBy("src", "dst", "kind").agg(F.min("at").alias("at"), F.min_by("edge_seq", "at").alias("edge_seq"), F.min_by("method", "at").alias("method"), F.first("src_distance").alias("src_distance"), F.first("dst_distance").alias("dst_distance"))
+    inside = inside.groupBy("src", "dst", "kind").agg(F.min("at").alias("at"), F.min_by("edge_seq", F.struct("at", "method")).alias("edge_seq"), F.min_by("method", F.struct("at", "method")).alias("method"), F.first("src_distance").alias("src_distance"), F.first("dst_distance").alias("dst_distance"))
     priority = F.when((F.col("src_distance") == 0) | (F.col("dst_distance") == 0), 0).otherwise(F.greatest("src_distance", "dst_distance"))
     inside = inside.withColumn("priority", priority)
     left_out = 0
     if edge_limit is not None:
         inside = cut(inside)
         left_out = max(0, inside.count() - edge_limit)
-        inside = inside.orderBy("priority", "at").limit(edge_limit).withColumn("edge_rank", F.row_number().over(Window.orderBy("priority", "at")))
-    return nodes.join(admitted, "id"), inside.drop("at"), left_out
+        inside = inside.orderBy("priority", "at", "kind", "src", "dst").limit(edge_limit).withColumn("edge_rank", F.row_number().over(Window.orderBy("priority", "at", "kind", "src", "dst")))
+    return nodes.join(small(admitted, known), "id"), inside.drop("at"), left_out
 
 
 def paths(edges: DataFrame, start: str, end: str, kinds=(), max_depth: int = DEFAULTS["depth"], max_paths: int = DEFAULTS["paths"]) -> DataFrame:
-    """(path_rank, path, kinds): the first shortest paths along edges, in breadth-first order; parallel edges make paths of their own."""
+    """(path_rank, path, kinds): the first shortest paths along edges, in breadth-first order; parallel edges make paths of their own.
+
+    Levels of nodes, a row each, grow from both ends, the smaller one next, until two meet. From the nodes in which they meet,
+    only the edges that lie on shortest paths are kept. Paths then grow from the start along those, and since each
+    beginning leads to the end, the first max_paths beginnings of a length hold all that is asked for.
+    """
     spark = edges.sparkSession
-    level = spark.createDataFrame([(start, [start], [], [])], "at string, path array<string>, kinds array<string>, seqs array<long>")
+    none = spark.createDataFrame([], "path_rank int, path array<string>, kinds array<string>")
     if start == end:
-        return level.select(F.lit(1).alias("path_rank"), "path", "kinds")
-    step = edges.where(kind_is(F.col("kind"), kinds)).select(F.col("src").alias("at"), "dst", "kind", "edge_seq")
-    seen = level.select(F.col("at").alias("dst"))
-    for _ in range(max_depth):
-        level = level.join(step, "at").join(seen, "dst", "left_anti").select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.concat("kinds", F.array("kind")).alias("kinds"), F.concat("seqs", F.array("edge_seq")).alias("seqs"))
+        return spark.createDataFrame([(1, [start], [])], none.schema)
+    step = edges.where(kind_is(F.col("kind"), kinds)).select("src", "dst", "kind", "edge_seq")
+    levels = {"src": [spark.createDataFrame([(start,)], "id string")], "dst": [spark.createDataFrame([(end,)], "id string")]}
+    sizes = {"src": [1], "dst": [1]}
+    meet = None
+    while meet is None:
+        if len(levels["src"]) + len(levels["dst"]) - 2 >= max_depth:
+            return none
+        here, there = ("src", "dst") if sizes["src"][-1] <= sizes["dst"][-1] else ("dst", "src")
+        level = step.join(small(levels[here][-1].withColumnRenamed("id", here), sizes[here][-1]), here, "left_semi").select(F.col(there).alias("id")).distinct()
+        for old, n in zip(levels[here], sizes[here], strict=True):
+            level = level.join(small(old, n), "id", "left_anti")
         level = cut(level)
-        done = level.where(F.col("at") == end)
-        if not done.isEmpty():
-            # Breadth-first order is that of the edges taken, from the first on.
-            first = done.orderBy("seqs").limit(max_paths)
-            return first.select(F.row_number().over(Window.orderBy("seqs")).alias("path_rank"), "path", "kinds")
-        if level.isEmpty():
-            break
-        seen = cut(seen.unionAll(level.select(F.col("at").alias("dst")).distinct()))
-    return level.limit(0).select(F.lit(1).alias("path_rank"), "path", "kinds")
+        if not (n := level.count()):
+            return none
+        levels[here].append(level)
+        sizes[here].append(n)
+        both = levels["src"][-1].join(small(levels["dst"][-1], sizes["dst"][-1]), "id", "left_semi")
+        if both.limit(1).count():
+            meet = cut(both)
+    kept = {"src": [], "dst": []}
+    for here, there in (("src", "dst"), ("dst", "src")):  # back to the start, on to the end
+        alive, n = meet, min(sizes["src"][-1], sizes["dst"][-1])
+        for old, m in zip(levels[here][-2::-1], sizes[here][-2::-1], strict=True):
+            some = step.join(small(alive.withColumnRenamed("id", there), n), there, "left_semi").join(small(old.withColumnRenamed("id", here), m), here, "left_semi")
+            some = cut(some)
+            alive = some.select(F.col(here).alias("id")).distinct()
+            n = m
+            kept[here].append(some)
+    found = spark.createDataFrame([(start, [start], [], [])], "src string, path array<string>, kinds array<string>, seqs array<long>")
+    for some in [*kept["src"][::-1], *kept["dst"]]:
+        grown = some.join(small(found, max_paths), "src").select(F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path"), F.concat("kinds", F.array("kind")).alias("kinds"), F.concat("seqs", F.array("edge_seq")).alias("seqs"))
+        found = grown.orderBy("seqs", "path", "kinds").limit(max_paths)
+    return found.select(F.row_number().over(Window.orderBy("seqs", "path", "kinds")).alias("path_rank"), "path", "kinds")
 
 
 def impact(nodes, edges, anchor: DataFrame, max_depth=DEFAULTS["depth"], max_nodes: int | None = DEFAULTS["nodes"], kinds=REFERENCE_KINDS) -> tuple[DataFrame, DataFrame]:
     """What depends on an anchor: nodes with distance and the kind of edge they were found by, and the edges among them, each once."""
     seen = walk(nodes, edges, anchor, "incoming", kinds, max_depth, max_nodes)
-    ends = [small(seen.select(F.col("id").alias(end), F.col("distance").alias(f"{end}_distance")), max_nodes) for end in ("src", "dst")]
+    known = seen.count()
+    ends = [small(seen.select(F.col("id").alias(end), F.col("distance").alias(f"{end}_distance")), known) for end in ("src", "dst")]
     inside = edges.where(kind_is(F.col("kind"), kinds)).join(ends[0], "src").join(ends[1], "dst").where(F.col("dst_distance") < max_depth)
-    return nodes.join(seen, "id"), subgraph_edges(inside).drop("src_distance", "dst_distance")
+    return nodes.join(small(seen, known), "id"), subgraph_edges(inside).drop("src_distance", "dst_distance")
 
 
 def expand(nodes, edges, start: DataFrame, max_depth: int, kinds=(), containment=False, max_nodes: int | None = None) -> DataFrame:

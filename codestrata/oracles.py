@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from .model import CONTAINMENT_KINDS, DISCOVERY_STOP_WORDS, FLOW_STOP_WORDS, FLOW_WORDS, IMPACT_WORDS, LOCATE_WORDS, REFERENCE_KINDS
+from .model import COMMENT_LINES, CONTAINMENT_KINDS, DISCOVERY_STOP_WORDS, FLOW_STOP_WORDS, FLOW_WORDS, IMPACT_WORDS, LOCATE_WORDS, REFERENCE_KINDS
 
 NODES = """
 nodes AS (
   SELECT r_regionkey::BIGINT AS node_seq, 'r:' || r_regionkey AS id, 'package' AS kind, r_name AS name, r_name || '.' || r_name AS qname, r_name AS path, TRUE AS exported FROM region
-  UNION ALL SELECT 10000000000000 + n_nationkey, 'n:' || n_nationkey, 'module', n_name, n_name || '.' || n_name, n_name, TRUE FROM nation
-  UNION ALL SELECT 20000000000000 + c_custkey, 'c:' || c_custkey, 'class', c_name, n_name || '.' || c_name, n_name, c_acctbal > 0 FROM customer JOIN nation ON c_nationkey = n_nationkey
-  UNION ALL SELECT 30000000000000 + s_suppkey, 's:' || s_suppkey, 'class', s_name, n_name || '.' || s_name, n_name, s_acctbal > 0 FROM supplier JOIN nation ON s_nationkey = n_nationkey
-  UNION ALL SELECT 40000000000000 + p_partkey, 'p:' || p_partkey, 'interface', p_name, p_brand || '.' || p_name, p_brand, TRUE FROM part
-  UNION ALL SELECT 50000000000000 + o_orderkey, 'o:' || o_orderkey, 'method', 'Order#' || o_orderkey, o_orderstatus || '.Order#' || o_orderkey, o_orderstatus, TRUE FROM orders
+  UNION ALL SELECT 100000000000000000 + n_nationkey, 'n:' || n_nationkey, 'module', n_name, n_name || '.' || n_name, n_name, TRUE FROM nation
+  UNION ALL SELECT 200000000000000000 + c_custkey, 'c:' || c_custkey, 'class', c_name, n_name || '.' || c_name, n_name, c_acctbal > 0 FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 300000000000000000 + s_suppkey, 's:' || s_suppkey, 'class', s_name, n_name || '.' || s_name, n_name, s_acctbal > 0 FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 400000000000000000 + p_partkey, 'p:' || p_partkey, 'interface', p_name, p_brand || '.' || p_name, p_brand, TRUE FROM part
+  UNION ALL SELECT 500000000000000000 + o_orderkey, 'o:' || o_orderkey, 'method', 'Order#' || o_orderkey, o_orderstatus || '.Order#' || o_orderkey, o_orderstatus, TRUE FROM orders
 )"""
 METHOD = "CASE l_returnflag WHEN 'A' THEN 'scope' WHEN 'N' THEN 'import' ELSE 'global_fallback' END"
 EDGES = f"""
 edges AS (
   SELECT n_nationkey::BIGINT AS edge_seq, 'r:' || n_regionkey AS src, 'n:' || n_nationkey AS dst, 'owns' AS kind, NULL::VARCHAR AS method FROM nation
-  UNION ALL SELECT 10000000000000 + c_custkey, 'n:' || c_nationkey, 'c:' || c_custkey, 'owns', NULL FROM customer
-  UNION ALL SELECT 20000000000000 + s_suppkey, 'n:' || s_nationkey, 's:' || s_suppkey, 'owns', NULL FROM supplier
-  UNION ALL SELECT 30000000000000 + o_orderkey, 'c:' || o_custkey, 'o:' || o_orderkey, 'has_member', NULL FROM orders
-  UNION ALL SELECT 40000000000000 + l_orderkey * 16 + l_linenumber, 'o:' || l_orderkey, 'p:' || l_partkey, 'call', {METHOD} FROM lineitem
-  UNION ALL SELECT 50000000000000 + l_orderkey * 16 + l_linenumber, 'o:' || l_orderkey, 's:' || l_suppkey, 'type_use', {METHOD} FROM lineitem
+  UNION ALL SELECT 100000000000000000 + c_custkey, 'n:' || c_nationkey, 'c:' || c_custkey, 'owns', NULL FROM customer
+  UNION ALL SELECT 200000000000000000 + s_suppkey, 'n:' || s_nationkey, 's:' || s_suppkey, 'owns', NULL FROM supplier
+  UNION ALL SELECT 300000000000000000 + o_orderkey, 'c:' || o_custkey, 'o:' || o_orderkey, 'has_member', NULL FROM orders
+  UNION ALL SELECT 400000000000000000 + ((l_orderkey::BIGINT * 16 + l_linenumber) * 262144 + l_partkey) * 16384 + l_suppkey, 'o:' || l_orderkey, 'p:' || l_partkey, 'call', {METHOD} FROM lineitem
+  UNION ALL SELECT 500000000000000000 + ((l_orderkey::BIGINT * 16 + l_linenumber) * 262144 + l_partkey) * 16384 + l_suppkey, 'o:' || l_orderkey, 's:' || l_suppkey, 'type_use', {METHOD} FROM lineitem
 )"""
 G = f"WITH RECURSIVE {NODES}, {EDGES}"
 
@@ -120,8 +120,8 @@ ORACLES = {
     "callers_of": hop("call", ("p:1", "p:7", "p:11"), True),
     "callees_of": hop("call", ("o:1", "o:2", "o:33"), False),
     "members_of": hop("has_member", ("c:1", "c:4", "c:10"), False),
-    "imports_of": hop("import", ("c:1",), False),
-    "find_by_name": f"{G} SELECT id, kind, qname FROM nodes WHERE name = 'FRANCE'",
+    "imports_of": hop("type_use", ("o:1", "o:2", "o:33"), False),
+    "find_by_name": f"{G} SELECT id, kind, qname FROM nodes WHERE name = 'NATION_3'",
     "region_both_d2": f"{G}, {levels(('c:1',), 2, 'both')} SELECT id, distance::INT AS distance FROM seen",
     "region_out_d3": f"{G}, {levels(('n:3', 'c:1'), 3, 'outgoing')} SELECT id, distance::INT AS distance FROM seen",
     "region_kind_filter": f"{G}, {levels(('c:1', 'c:4'), 3, 'both', "kind IN ('call', 'has_member')")} SELECT DISTINCT src, dst, kind FROM edges JOIN seen x ON src = x.id JOIN seen y ON dst = y.id WHERE kind IN ('call', 'has_member') AND least(x.distance, y.distance) < 3",
@@ -143,7 +143,7 @@ ORACLES = {
     "test_coverage": f"""{G}, hit AS (SELECT DISTINCT dst FROM edges JOIN nodes ON src = id WHERE method IS NOT NULL AND path = 'F')
       SELECT kind, CASE WHEN kind IN ('function', 'method', 'class', 'interface') THEN id IN (SELECT dst FROM hit) END AS state, count(*) AS n FROM nodes GROUP BY ALL""",
     "discover_parts": discover_sql(),
-    "anchor_exact": f"{G} SELECT id, 'resolved' AS status, 1 AS rank FROM nodes WHERE lower(qname) = 'france.france'",
+    "anchor_exact": f"{G} SELECT id, 'resolved' AS status, 1 AS rank FROM nodes WHERE lower(qname) = 'nation_3.nation_3'",
     "anchor_ambiguous": f"{G} SELECT id, 'ambiguous' AS status, row_number() OVER (ORDER BY NOT exported, length(qname), node_seq)::INT AS rank FROM nodes WHERE id LIKE 'c:%' QUALIFY rank <= 10",
     "plan_strategy": f"""WITH q AS (SELECT conv_id, turn, lower({ASKED}) AS q FROM conversations), c AS (SELECT conv_id, turn, {contains_count('q', LOCATE_WORDS)} AS l, {contains_count('q', FLOW_WORDS)} AS f, {contains_count('q', IMPACT_WORDS)} AS i FROM q)
       SELECT conv_id, turn, CASE WHEN i > l AND i > f THEN 'impact' WHEN f > l THEN 'flow' ELSE 'locate' END AS strategy FROM c""",
@@ -173,6 +173,12 @@ ORACLES = {
     "debounce_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
       SELECT user_id, min(ts) AS session_start, max(ts) AS last_change, count(*) AS n FROM s GROUP BY user_id, s""",
     "callsite_search": f"WITH {LINES}, w AS (SELECT doc_id, regexp_extract(coalesce(text, ''), '([A-Za-z]+)', 1) AS name FROM documents) SELECT doc_id, min(line_no)::INT AS line_no FROM doc_lines JOIN w USING (doc_id) WHERE line_no >= 1 AND length(name) > 0 AND regexp_matches(t, '\\b' || name || '\\b') AND NOT regexp_matches(t, '\\b(def|function)\\s+' || name || '\\b') AND NOT regexp_matches(t, '\\bclass\\s+' || name || '\\b') AND NOT regexp_matches(t, '(?i)\\b' || name || '\\s*:\\s*(Callable|str|int|float|bool|list|dict|tuple|set|Any|Optional|Union)\\b') GROUP BY doc_id",
+    "doc_comment": f"""WITH {LINES}, w AS (SELECT doc_id, max(line_no) AS last FROM doc_lines GROUP BY doc_id),
+      above AS (SELECT l.doc_id, l.line_no, regexp_replace(CASE WHEN l.line_no % 2 = 0 THEN '# ' || t ELSE t END, '^\\s+|\\s+$', '', 'g') AS t FROM doc_lines l JOIN w ON l.doc_id = w.doc_id AND l.line_no < w.last),
+      bottom AS (SELECT doc_id, max(line_no) AS b FROM above WHERE t <> '' GROUP BY doc_id),
+      stop AS (SELECT doc_id, max(line_no) AS s FROM above JOIN bottom USING (doc_id) WHERE line_no <= b AND NOT (starts_with(t, '#') OR starts_with(t, '//')) GROUP BY doc_id),
+      kept AS (SELECT doc_id, line_no, t FROM above JOIN bottom USING (doc_id) LEFT JOIN stop USING (doc_id) WHERE line_no <= b AND line_no > coalesce(s, -1) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) <= {COMMENT_LINES})
+      SELECT doc_id, sha256(coalesce((SELECT string_agg(t, chr(10) ORDER BY line_no) FROM kept WHERE kept.doc_id = w.doc_id), '')) AS comment_sha FROM w""",
     "html_refs": """SELECT page_id, tag, unnest(found) AS name FROM (SELECT page_id, 'id' AS tag, regexp_extract_all(html, '<[a-zA-Z][^<>]*?\\sid="([^"]+)"', 1) AS found FROM pages UNION ALL SELECT page_id, 'script', regexp_extract_all(html, '<script[^<>]*?\\ssrc="([^"]+)"', 1) FROM pages UNION ALL SELECT page_id, 'link', regexp_extract_all(html, '<link[^<>]*?\\shref="([^"]+)"', 1) FROM pages)""",
     "token_estimate": "SELECT doc_id, ceil(length(coalesce(text, '')) / 4.0)::BIGINT AS tokens FROM documents",
     "scan_filter": """WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) SELECT page_id, len(list_filter(str_split(path, '/'), lambda x: lower(x) IN ('node_modules', 'dist', 'build', '__pycache__', '.git', 'venv', '.venv', 'env', '.env') OR starts_with(x, '.'))) > 0 AS skipped,

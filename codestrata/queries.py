@@ -33,12 +33,15 @@ def members_of(spark, d):
 
 
 def imports_of(spark, d):
-    return graph.imports_of(*graph_from_tables(spark, d), _ids(spark, "c:1")).select("of_id", "edge_seq", "id")
+    """References from line items to suppliers count as imports here."""
+    nodes, edges = graph_from_tables(spark, d)
+    edges = edges.withColumn("kind", F.when(F.col("kind") == "type_use", "import").otherwise(F.col("kind")))
+    return graph.imports_of(nodes, edges, _ids(spark, "o:1", "o:2", "o:33")).select("of_id", "edge_seq", "id")
 
 
 def find_by_name(spark, d):
     nodes, _ = graph_from_tables(spark, d)
-    return graph.find_by(nodes, "name", "FRANCE").select("id", "kind", "qname")
+    return graph.find_by(nodes, "name", "NATION_3").select("id", "kind", "qname")
 
 
 def region_both_d2(spark, d):
@@ -133,7 +136,7 @@ def discover_parts(spark, d):
 
 def anchor_exact(spark, d):
     nodes, _ = graph_from_tables(spark, d)
-    status, found = search.resolve_anchor(nodes, "FRANCE.FRANCE")
+    status, found = search.resolve_anchor(nodes, "Nation_3.Nation_3")
     return found.select("id", F.lit(status).alias("status"), F.col("rank").cast("int").alias("rank"))
 
 

@@ -15,7 +15,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def graph_from_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges in the engine's schema, with fixed sequence numbers."""
     t = {n: read(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
-    block = 10**13
+    block = 10**17
     nation = t["nation"].select("n_nationkey", "n_name")
 
     def node(df, rank, prefix, key, kind, name, path, exported):
@@ -37,7 +37,8 @@ def graph_from_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
         return df.select((F.lit(rank * block) + seq).cast("long").alias("edge_seq"), *made, F.lit(kind).alias("kind"), (F.lit(None).cast("string") if method is None else method).alias("method"))
 
     method = F.when(F.col("l_returnflag") == "A", "scope").when(F.col("l_returnflag") == "N", "import").otherwise("global_fallback")
-    line = F.col("l_orderkey") * 16 + F.col("l_linenumber")
+    # order and line number come more than once: part and supplier make the number unique (parts below 2**18, suppliers below 2**14)
+    line = ((F.col("l_orderkey").cast("long") * 16 + F.col("l_linenumber")) * (1 << 18) + F.col("l_partkey")) * (1 << 14) + F.col("l_suppkey")
     edges = [
         edge(t["nation"], 0, F.col("n_nationkey"), ("r:", "n_regionkey"), ("n:", "n_nationkey"), "owns"),
         edge(t["customer"], 1, F.col("c_custkey"), ("n:", "c_nationkey"), ("c:", "c_custkey"), "owns"),

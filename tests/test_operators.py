@@ -1,5 +1,7 @@
 """Operators on rows built by hand."""
 
+import random
+
 from codestrata.operators import budget, evidence, graph, indexes, merge, search, traverse, views
 from codestrata.sources import scan, store
 from codestrata.streaming import watch
@@ -44,6 +46,38 @@ def test_traversals(spark):
     assert {r.id: (r.references, r.n_files, r.files, r.no_tests) for r in blast} == {ids[3]: (2, 1, "src/out.ts", True), ids[4]: (0, 0, "", True)}
 
 
+def plain_paths(links, a, b, most_depth):
+    """All shortest paths with the places of their edges, in breadth-first order."""
+    level, seen = [((a,), ())], {a}
+    for _ in range(most_depth):
+        level = [((*p, d), (*q, n)) for p, q in level for n, (s, d) in enumerate(links) if s == p[-1] and d not in seen]
+        if done := sorted((q, p) for p, q in level if p[-1] == b):
+            return done
+        seen |= {p[-1] for p, _ in level}
+    return []
+
+
+def test_paths_and_ties(spark):
+    """Shortest paths in random graphs with parallel edges, cycles and hubs; results don't depend on the order of rows where edges share a number."""
+    rng = random.Random(6)
+    for _ in range(6):
+        links = [(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(22)]
+        edges = spark.createDataFrame([(i, s, d, "call", None) for i, (s, d) in enumerate(links)], "edge_seq long, src string, dst string, kind string, method string")
+        a, b, depth = "n0", f"n{rng.randrange(1, 9)}", rng.randint(1, 5)
+        want = plain_paths(links, a, b, depth)[:3]
+        got = traverse.paths(edges, a, b, (), depth, 3).orderBy("path_rank").collect()
+        assert [r.path for r in got] == [list(p) for _, p in want]
+    rows = [(0, "a", x, "call", None) for x in "bcdef"]
+    nodes = spark.createDataFrame([(i, x, "class", x, x, "p") for i, x in enumerate("abcdef")], "node_seq long, id string, kind string, name string, qname string, path string")
+    kept = set()
+    for _ in range(3):
+        rng.shuffle(rows)
+        edges = spark.createDataFrame(rows, "edge_seq long, src string, dst string, kind string, method string").repartition(3)
+        found, links, left = traverse.region(nodes, edges, start(spark, "a"), "outgoing", (), 1, 4, 2)
+        kept.add((tuple(sorted(r.id for r in found.collect())), tuple(sorted(r.dst for r in links.collect())), left))
+    assert kept == {(("a", "b", "c", "d"), ("b", "c"), 1)}
+
+
 def test_inheritance(spark):
     nodes = spark.createDataFrame([(i, x, "class", x, x, "a") for i, x in enumerate("ABC")], "node_seq long, id string, kind string, name string, qname string, path string")
     edges = spark.createDataFrame([(0, "A", "B", "inherit", None), (1, "B", "C", "inherit", None), (2, "C", "A", "inherit", None)], "edge_seq long, src string, dst string, kind string, method string")
@@ -80,6 +114,10 @@ def test_evidence(spark):
     lines = evidence.lines_of(files)
     wants = spark.createDataFrame([("a.ts", 3), ("a.ts", 11), ("a.ts", 6)], "path string, line_no int")
     assert {r.line_no: r.comment for r in evidence.preceding_comments(wants, lines).collect()} == {3: "// first\n// second", 11: "/* a\nb */", 6: None}
+    more = "a()\n/* one */\nb()\n\n// x\n\n\n# y\n  # z\t\ndef f():\n"
+    wants = spark.createDataFrame([("b", 2), ("b", 9), ("b", 6), ("b", 0)], "path string, line_no int")
+    found = {r.line_no: r.comment for r in evidence.preceding_comments(wants, evidence.lines_of(spark.createDataFrame([("b", more)], "path string, source string"))).collect()}
+    assert found == {0: None, 2: "a()\n/* one */", 6: "// x", 9: "# y\n# z"}
     calls = spark.createDataFrame([("a.ts", "pay", 0, 9)], "path string, name string, from_line int, to_line int")
     assert evidence.callsites(calls, lines).first().line_no == 7
     spans = spark.createDataFrame([("a", 1, 4), ("a", 9, 12), ("a", 18, 20), ("b", 1, 2)], "path string, start_line int, end_line int")
