@@ -368,30 +368,50 @@ def test_toxicity_words():
 
 
 def test_search(spark):
+    """Clusters, a vector that many rows share, a row that is there twice, vectors that take no part."""
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(5, 16))
     x = (centres[rng.integers(0, 5, 900)] + rng.normal(size=(900, 16))).astype(np.float32)
     x[100:400] = x[100]
-    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(1000, None, 1), (1100, [0.0] * 16, 1), (1200, [float("nan")] * 16, 1), (1300, [None] * 16, 1), (1400, [1.0] * 3, 1), (100, rows_ := [float(v) for v in x[100]], 1)]
-    assert rows_
-    df = spark.createDataFrame(rows, "vec_id long, vector array<float>, rank int")
+    x, ids = np.vstack((x, x[100])).astype(float), [*range(900), 100]
+    rows = [(i, r.tolist(), 1) for i, r in zip(ids, x, strict=True)] + [(1000, None, 1), (1100, [0.0] * 16, 1), (1200, [float("nan")] * 16, 1), (1300, [None] * 16, 1), (1400, [1.0] * 3, 1), (None, x[3].tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<float>, rank int").repartition(3)
     found = collections.defaultdict(list)
     for r in crosspolytope.search(df, salt_rows=50).orderBy("query_id", "rank").collect():
-        found[r.query_id].append((r.score, r.vec_id))
-    assert set(found) <= set(range(0, 900, 100))
+        found[r.query_id].append((r.rank, r.score, r.vec_id))
+    assert set(found) == set(range(0, 900, 100))
     hit = total = 0
-    for q in range(0, 900, 100):
-        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
-        want = sorted((float(d[i]), i) for i in range(900) if i != q)[:10]
-        got = found[q]
-        assert got == sorted(got) and all(abs(s - d[v]) < 1e-9 and v != q for s, v in got)
-        hit, total = hit + len({v for _, v in got} & {v for _, v in want}), total + 10
+    for own, q in enumerate(ids):
+        if q % 100:
+            continue
+        d = np.sqrt(((x - x[own]) ** 2).sum(1))
+        want = sorted((float(d[i]), ids[i]) for i in range(901) if i != own)[:10]
+        got = [(s, v) for _, s, v in found[q]]
+        if q == 100:  # both rows ask
+            assert found[q][0::2] == found[q][1::2]
+            got = got[::2]
+        assert got == sorted(got) and all(abs(s - d[v]) < 1e-9 for s, v in got) and len(got) == 10
+        hit, total = hit + len({v for _, v in got} & {v for _, v in want}), total + len({v for _, v in want})
         if 100 <= q < 400:
             assert [v for _, v in got] == [v for _, v in want]
     assert hit / total >= 0.9
     assert crosspolytope.search(df.limit(0)).count() == 0
 
 
+def test_search_of_long_vectors(spark):
+    """1,536 components; many queries share a vector."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 1536))
+    x[10:120] = x[10]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, vector array<double>")
+    found = collections.defaultdict(list)
+    for r in crosspolytope.search(df, every=3).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    want = dict(brute_search(x, range(0, 300, 3)))
+    assert all(found[q] == want[q] for q in range(12, 120, 3))
+    assert all(len(v) == 10 for v in found.values()) and sum(len(set(found[q]) & set(w)) for q, w in want.items()) >= 0.9 * 10 * len(want)
+
+
 def brute_search(x, queries, k=10):
     for q in queries:
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
