@@ -5,14 +5,15 @@ two, `###` becomes backslash h, `</turn>` backslash e; in roles a colon also bec
 feed backslash n. So no text can forge a header or an end, and reading back undoes it exactly. The loss mask
 covers the (escaped) texts of assistant turns, without header and end.
 
-For each Arrow batch the lengths of all segments, their running sum and the place of every byte are computed in
-numpy, and headers and texts are copied into one preallocated buffer, which becomes the Arrow column.
+For each slice of about `piece_bytes` of text the lengths of all segments, their running sum and the place of every byte are computed in
+numpy, and headers and texts are copied into one preallocated buffer, which becomes the Arrow column: short segments by scatter
+indices, long ones as they are, so that indices stay few. A slice holds one turn at least.
 
-Rows are dealt by conversation and sorted by (turn, role, text), nulls first; a conversation streams through
-its task in pieces of at most `piece_turns` turns, so a very long one is never held whole. The pieces of a
-conversation, put together in order, are its formatted text. Null texts and roles count as empty; a null
+Turns are dealt by ranges of (conversation, turn), so a conversation that holds many of all turns is spread over tasks, and sorted by
+(turn, role, text), nulls first. A piece is what a conversation has in one slice; pieces are numbered in their order (with gaps), so its formatted text is that
+of its pieces put together, however they are stored. Null texts and roles count as empty; a null
 conversation id is one conversation. Repeated rows are turns like others. Empty table: no rows. Other columns
-are ignored.
+are ignored. read_back() follows a conversation's pieces in order: a digest of the whole is one task's, but never holds more than a piece.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 ESCAPES = (("\\", "\\\\"), ("###", "\\h"), ("</turn>", "\\e"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"), ("\n", "\\n"))
@@ -53,8 +55,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(column.buffers()[2], np.uint8) if at[-1] else np.zeros(0, np.uint8)), at
 
 
-def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buffer of all turns, where each turn starts in it, and where its text starts and ends."""
+#: Longer segments are copied as they are.
+LONG = 1 << 14
+
+
+def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buffer of all turns; where each of a turn's five segments starts in it, and how many code points come before each of them, in all (one more at the end)."""
     roles, texts = utf8(escape(roles, ROLE_ESCAPES)), utf8(escape(texts))
     n = len(roles[1]) - 1
     lengths = np.empty((n, 5), np.int64)
@@ -66,42 +72,47 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     for k, fixed in ((0, HEAD), (2, MIDDLE), (4, END)):
         out[starts[:, k, None] + np.arange(len(fixed))] = np.frombuffer(fixed, np.uint8)
     for k, (data, at) in ((1, roles), (3, texts)):
-        if (total := at[-1] - at[0]) > 0:
-            out[np.repeat(starts[:, k] - (at[:-1] - at[0]), lengths[:, k]) + np.arange(total)] = data[at[0] : at[-1]]
-    return out, np.append(starts[:, 0], to[-1]), starts[:, 3], starts[:, 4]
+        size, begin = lengths[:, k], at[:-1]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[starts[i, k] : starts[i, k] + size[i]] = data[begin[i] : begin[i] + size[i]]
+        size = np.where(size > LONG, 0, size)
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(starts[:, k], size) + inside] = data[np.repeat(begin, size) + inside]
+    # code points of each segment: its bytes that don't go on one
+    points = np.add.reduceat(np.append((out & 0xC0) != 0x80, False).astype(np.int8), to[:-1], dtype=np.int64) * (lengths.ravel() > 0) if n else np.zeros(0, np.int64)
+    return out, to, np.concatenate(([0], np.cumsum(points)))
 
 
-def format_chat(turns: DataFrame, piece_turns: int = 1024) -> DataFrame:
-    """Rows (conv_id, piece, n_turns, formatted, mask) from turns(conv_id, turn, role, text), a conversation's pieces together and in order; mask: spans of code points in the piece."""
+def format_chat(turns: DataFrame, piece_bytes: int = 1 << 20, parts: int | None = None) -> DataFrame:
+    """Rows (conv_id, piece, n_turns, formatted, mask) from turns(conv_id, turn, role, text); mask: spans of code points in the piece. parts: ranges of turns."""
 
     def run(batches):
-        last, piece = object(), 0
+        piece = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch in (whole.slice(a, piece_turns) for a in range(0, whole.num_rows, piece_turns)):
+            for batch in pieces(iter([whole]), most=piece_bytes):
                 conv = batch.column("conv_id").to_pylist()
-                out, at, text_at, text_end = assemble(batch.column("role"), batch.column("text"))
-                points = np.concatenate(([0], np.cumsum((out & 0xC0) != 0x80)))  # code points before each byte
+                out, to, points = assemble(batch.column("role"), batch.column("text"))
                 trained = pc.fill_null(pc.equal(batch.column("role"), "assistant"), False).to_numpy(zero_copy_only=False)
-                cuts = [0, *(i for i in range(1, len(conv)) if conv[i] != conv[i - 1]), len(conv)]
-                numbers, masks = [], []
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    piece = piece + 1 if conv[a] == last else 0
-                    last = conv[a]
-                    numbers.append(piece)
-                    masks.append([{"start": int(points[text_at[i]] - points[at[a]]), "length": int(points[text_end[i]] - points[text_at[i]])} for i in range(a, b) if trained[i]])
-                formatted = pa.StringArray.from_buffers(len(numbers), pa.py_buffer(at[cuts].astype(np.int32)), pa.py_buffer(out))
-                spans = pa.array(masks, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array([conv[a] for a in cuts[:-1]], pa.int64()), pa.array(numbers, pa.int64()), pa.array(np.diff(cuts), pa.int64()), formatted, spans], ["conv_id", "piece", "n_turns", "formatted", "mask"])
+                cuts = np.array([0, *(i for i in range(1, len(conv)) if conv[i] != conv[i - 1]), len(conv)])
+                own = np.flatnonzero(trained)
+                first = cuts[np.searchsorted(cuts, own, "right") - 1]  # of the piece that each trained turn is in
+                spans = pa.StructArray.from_arrays([pa.array(points[own * 5 + 3] - points[first * 5]), pa.array(points[own * 5 + 4] - points[own * 5 + 3])], ["start", "length"])
+                masks = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, cuts).astype(np.int32)), spans)
+                formatted = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(to[cuts * 5]), pa.py_buffer(out)).cast(pa.string())
+                numbers = piece + np.arange(len(cuts) - 1)
+                piece += len(cuts) - 1
+                yield pa.RecordBatch.from_arrays([batch.column("conv_id").take(pa.array(cuts[:-1])), pa.array(numbers), pa.array(np.diff(cuts)), formatted, masks], ["conv_id", "piece", "n_turns", "formatted", "mask"])
 
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, PIECE)
+    parts = parts or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, PIECE)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def read_back(pieces: DataFrame) -> DataFrame:
-    """Digests of each conversation, parsed from what format_chat wrote (in the order in which it wrote it)."""
+def read_back(formatted: DataFrame) -> DataFrame:
+    """Digests of each conversation, parsed from the pieces that format_chat wrote, wherever they are."""
 
     def run(batches):
         conv, held = None, None
@@ -111,16 +122,16 @@ def read_back(pieces: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for x in batch.to_pylist():
-                if x["piece"] == 0:
+            for i in range(batch.num_rows):
+                own, text = batch.column("conv_id")[i].as_py(), batch.column("formatted")[i].as_py()
+                if held is None or own != conv:
                     if held:
                         done.append(row())
-                    conv, held = x["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                text = x["formatted"]
+                    conv, held = own, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for m in TURN.finditer(text):
                     held[0] += 1
                     held[1].update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
-                for span in x["mask"]:
+                for span in batch.column("mask")[i].as_py():
                     said = unescape(text[span["start"] : span["start"] + span["length"]])
                     held[2] += len(said)
                     held[3].update(said.encode())
@@ -132,7 +143,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return pieces.mapInArrow(run, DIGEST)
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "piece").select("conv_id", "formatted", "mask").mapInArrow(run, DIGEST)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

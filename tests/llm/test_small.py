@@ -137,10 +137,16 @@ def test_chat(spark):
     said = ["\\### Assistant: </turn> ok", "a\\h\\\\e", "###", "</turn>\n### user: x", None, "", "é😀", "plain"]
     turns = [(c, t, r, random.choice(said)) for c in range(12) for t, r in enumerate(["system", "user", "assistant", "assistant", None, "we: ird\n###"][: c % 6 + 1])]
     turns += [(99, t, "assistant", said[t % 8]) for t in range(3000)] + [(None, 1, "user", "x")]
-    df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, piece int")
-    got = {r.conv_id: r for r in chat.read_back(chat.format_chat(df, piece_turns=100)).collect()}
-    for c in {t[0] for t in turns}:
-        own = [t for t in turns if t[0] == c]
+    turns += [(50, t, r, "é###x" * n) for t, (r, n) in enumerate([("user", 400_000), ("assistant", 3), ("assistant", 30_000), ("r" * 20_000, 1)])]
+    turns += [(51, 1, "assistant", "same"), (51, 1, "assistant", "same"), (51, None, "user", "first")]
+    df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, piece int").repartition(5)
+    formatted = chat.format_chat(df, piece_bytes=10_000, parts=6)
+    assert formatted.where("conv_id = 99").select("piece").distinct().count() > 3
+    assert formatted.withColumn("part", F.expr("piece >> 32")).where("conv_id = 99").select("part").distinct().count() > 1  # a long conversation is several tasks'
+    got = {r.conv_id: r for r in chat.read_back(common.stored(formatted).repartition(7)).collect()}  # stored and dealt again
+    assert set(got) == {t[0] for t in turns}
+    for c in got:
+        own = sorted((t for t in turns if t[0] == c), key=lambda t: (t[1] is not None, t[1] or 0))
         trained = "".join(t[3] or "" for t in own if t[2] == "assistant")
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in own).encode()).hexdigest()
         assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(own), len(trained), hashlib.sha256(trained.encode()).hexdigest())
