@@ -1,9 +1,10 @@
 """Op 3, sharding: contiguous shards of near-equal bytes, cut from global prefix sums.
 
-Rows are put in the order (doc_id, size, crc32), nulls first. Range partitioning gives each part one run of
-that order; each part's total is one row, and the running sum of those totals (one row for each part) tells
-every part where it begins. A row goes to the shard in which the middle of its bytes lies, so each shard's
-bytes differ from the target by at most the largest row. Only numbers are shuffled, never the texts.
+Rows are put in the order (hash of the text, doc_id), nulls first, so that equal texts stand together. Range partitioning gives each part
+one run of that order; each part's total is one row, and the running sum of those totals (one row for each part) tells
+every part where it begins. A group of equal texts goes whole to the shard in which the middle of its bytes lies. A group that is larger than
+a TOGETHER-th of a shard is parted by rows, each by its own middle, and may reach over several parts; so each shard's
+bytes differ from the target by at most that or the largest row. Only numbers and hashes are shuffled, never the texts.
 
 Null text: 8 bytes, crc32 of the empty text. Empty table: no rows. Repeated rows are kept; equal rows are
 dealt in an arbitrary but fixed order. Other columns are ignored.
@@ -14,7 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, table
+
+#: Groups of at most this part of a shard's bytes stay in one shard.
+TOGETHER = 16
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 24, parts: int | None = None) -> DataFrame:
@@ -22,19 +26,25 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, parts: int | None = None)
     spark = docs.sparkSession
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = ["doc_id", "size", "text_crc32", "tie"]
-    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("tie"))
+    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("hash"), F.monotonically_increasing_id().alias("tie"))
+    rows = stored(rows)
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # at most TOGETHER * shards groups
+    crowded = rows.groupBy("hash").agg(F.sum("size").alias("own")).where(F.col("own") * (TOGETHER * shards) > total).select("hash", F.lit(True).alias("crowded"))
+    rows = rows.join(F.broadcast(crowded), "hash", "left").withColumn("spread", F.when(F.col("crowded"), F.col("doc_id")))
     # Stored, since range bounds are sampled: totals and rows must see the same parts.
-    rows = stored(rows.repartitionByRange(parts, *key).withColumn("part", F.spark_partition_id()))
+    rows = stored(rows.repartitionByRange(parts, "hash", "spread").withColumn("part", F.spark_partition_id()))
     totals = rows.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    bases = totals.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("bytes").over(everything).alias("total"))
-    run = Window.partitionBy("part").orderBy(*key)
+    bases = totals.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    run = Window.partitionBy("part").orderBy("hash", "doc_id", "tie")
+    size = F.sum("size")
+    sums = rows.withColumns({"upto": size.over(run.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(run), "group_upto": size.over(Window.partitionBy("part").orderBy("hash")), "own": size.over(Window.partitionBy("part", "hash"))})
+    twice = F.when(F.col("crowded"), 2 * F.col("upto") - F.col("size")).otherwise(2 * F.col("group_upto") - F.col("own"))
     placed = (
-        rows.withColumns({"upto": F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(run)})
+        sums.withColumn("twice", twice)
         .join(F.broadcast(bases), "part")  # one row for each part
-        .withColumn("shard", F.least(F.expr(f"int((2 * (base + upto) - size) * {shards} div (2 * total))"), F.lit(shards - 1)))
+        .withColumn("shard", F.least(F.expr(f"int((2 * base + twice) * {shards} div {max(1, 2 * total)})"), F.lit(shards - 1)))
         .withColumn("rank", F.col("first") + F.col("nth") - 1)
     )
     starts = placed.groupBy("shard").agg(F.min("rank").alias("start"))  # one row for each shard
@@ -42,7 +52,5 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, parts: int | None = None)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     out = shard_by_bytes(table(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

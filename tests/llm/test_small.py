@@ -37,16 +37,26 @@ def documents(spark, texts=TEXTS, ids=None):
 
 
 def test_sharding(spark):
-    ids = [*range(len(TEXTS) - 2), 3, None]
-    got = sharding.shard_by_bytes(documents(spark, ids=ids), 4).collect()
-    rows = sorted(((i is not None, i or 0, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), i) for i, t in zip(ids, TEXTS, strict=True)))
-    total, upto, want = sum(r[2] for r in rows), 0, collections.Counter()
-    for r in rows:
-        upto += r[2]
-        want[(r[4], r[2], r[3], min(3, (2 * upto - r[2]) * 4 // (2 * total)))] += 1
-    assert collections.Counter((r.doc_id, r.size, r.text_crc32, r.shard) for r in got) == want
-    for s in {r.shard for r in got}:
-        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    """Groups of equal texts in one shard unless they are large, in runs of near-equal bytes."""
+    texts = [*TEXTS, *["copy of a text"] * 300, *(words(20 + i % 7) for i in range(400))]
+    texts += texts[-100:] * 2
+    ids = [*range(len(texts) - 2), 3, None]
+    docs = documents(spark, texts, ids).withColumnRenamed("lang", "shard").withColumnRenamed("n_chars", "size").withColumnRenamed("source", "hash")
+    for parts in (1, 7):
+        got = sharding.shard_by_bytes(docs, 4, parts).collect()
+        rows = sorted((hashlib.md5((t or "").encode()).hexdigest(), i is not None, i or 0, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), i) for i, t in zip(ids, texts, strict=True))
+        own = collections.Counter()
+        for r in rows:
+            own[r[0]] += r[3]
+        total, upto, want, group = sum(own.values()), 0, collections.Counter(), {}
+        for r in rows:
+            group.setdefault(r[0], 2 * upto + own[r[0]])
+            upto += r[3]
+            twice = 2 * upto - r[3] if own[r[0]] * 4 * sharding.TOGETHER > total else group[r[0]]
+            want[(r[5], r[3], r[4], min(3, twice * 4 // (2 * total)))] += 1
+        assert collections.Counter((r.doc_id, r.size, r.text_crc32, r.shard) for r in got) == want
+        for s in {r.shard for r in got}:
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert sharding.shard_by_bytes(documents(spark, []), 4).count() == 0
 
 
