@@ -3,7 +3,7 @@
 One pass gives each document's statistics. A bounded sample of labelled documents (at most `most_labelled`,
 by the hash of their id; every document's statistics are made from its whole text) trains a list of rules by
 sequential covering: a rule grows on two thirds of the sample by adding the threshold condition with the
-largest FOIL gain, is pruned on the last third (conditions go from the end as long as (p - n) / (p + n) does
+largest FOIL gain (conditions look at shares, not at counts, which grow with the document), is pruned on the last third (conditions go from the end as long as (p - n) / (p + n) does
 not fall), and stays if its precision on that third reaches `precision`. What it covers is taken out, and the
 next rule follows. The list becomes one Spark conditional expression, in order: the first rule that holds
 rejects, what none rejects is kept. Two fixed rules stand before it (base_failed).
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, precisi
     rows = docs.join(F.broadcast(sample), "doc_id")  # at most most_labelled ids
     if "n_words" not in docs.columns:
         rows = measure(rows.select("doc_id", "q", "text"))
-    names = [*COUNTS, *SHARES]
+    names = [*SHARES]  # no counts: a long document isn't worse than a short one
     rows = rows.where(~base_failed()).withColumns(shares()).groupBy("doc_id").agg(F.min(F.struct(*names)).alias("x"), F.min("q").alias("q"))
     found = rows.select("doc_id", "q", "x.*").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).toPandas()
     return learn(found[names].to_numpy(float), found["q"].to_numpy() == 0, names, precision)
