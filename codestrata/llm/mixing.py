@@ -26,7 +26,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import local, stored, table
 
 
 def whole_parts(weights: dict, period: int) -> dict:
@@ -106,8 +106,8 @@ def slots(rows: DataFrame, weights=None, period: int = 4096, block_rows: int = 1
     end = 1 + max((blocks[s] - 1) // a * period + own[s][(blocks[s] - 1) % a] for s, a in parts.items())
     dealt = {s: end // period * a + bisect.bisect_left(own[s], end % period) for s, a in parts.items()}
     kind = rows.schema["source"].dataType.simpleString()
-    place = spark.createDataFrame([(s, j, slot) for slot, (s, j) in enumerate(plan)], f"s {kind}, j long, at long")
-    each = spark.createDataFrame([(s, a, blocks[s], -(-dealt[s] // blocks[s]) if repeat else 1) for s, a in parts.items()], f"s {kind}, a long, blocks long, epochs int")
+    place = local(spark, [(s, j, slot) for slot, (s, j) in enumerate(plan)], f"s {kind}, j long, at long")
+    each = local(spark, [(s, a, blocks[s], -(-dealt[s] // blocks[s]) if repeat else 1) for s, a in parts.items()], f"s {kind}, a long, blocks long, epochs int")
     same = F.col("source").eqNullSafe(F.col("s"))
     out = places(rows, block_rows, buckets, len(counts)).withColumn("block", F.expr(f"nth div {block_rows}"))
     out = out.join(small(each, period), same).drop("s").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
