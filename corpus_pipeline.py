@@ -7,25 +7,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import mixing, ngramjoin, piece, quality, toxicity
-from codestrata.llm.common import stored, table
+from codestrata.llm.common import small_batches, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model (trained on the labels of other documents than fold 0) doesn't reject."""
+    small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where(F.col("score") < 0.5).select(COLUMNS)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the fixed nor the learned rules reject."""
+    small_batches(spark)
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.apply_rules(quality.measure(docs), rules).where("kept").select(COLUMNS)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row (that with the smallest id; of equal or no ids, the first) of each group of near duplicates. Rows are told apart by number, since ids may be null or repeat."""
+    small_batches(spark)
     docs = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
     grouped = stored(ngramjoin.groups(docs))
     first = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
@@ -36,10 +39,12 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, in the order of its slots: sources are interleaved by their weights, small ones again and again until the largest is through."""
+    small_batches(spark)
     return mixing.mix_sources(docs, ordered=int(spark.conf.get("spark.sql.shuffle.partitions"))).select(COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return piece.codec(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
