@@ -21,7 +21,7 @@ REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*"
 #: Words after which a slash begins a regular expression.
 BEFORE_REGEX = set("return typeof case in of do else void delete throw new await yield instanceof".split())
 OPEN, CLOSE = {"(": ")", "{": "}", "[": "]"}, {")", "}", "]"}
-NOT_CALLED = set("if for while switch catch function return typeof new super await yield in of do else throw delete void instanceof case constructor".split())
+NOT_CALLED = set("if for while switch catch function return typeof new super await yield in of do else throw delete void instanceof case constructor package".split())
 MODIFIERS = set("public private protected static readonly abstract final async override declare get set synchronized native default transient volatile export".split())
 
 

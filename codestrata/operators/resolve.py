@@ -103,7 +103,7 @@ def resolve_imports(imports: DataFrame, symbols: DataFrame, files: DataFrame) ->
     missing = wants.join(found, "ref_seq", "left_anti").withColumn("top", F.when(F.col("lang") == "java", F.split_part("import_path", F.lit("."), F.lit(1))).otherwise(top(F.col("import_path"))))
     outside = missing.join(tops.where(~F.col("top").isin("", ".", "..")), "top", "left_anti")
     outside = outside.withColumn("to_id", F.concat_ws("::", F.lit("external"), "import_path", "name"))
-    made = external(outside.select(F.col("to_id").alias("id"), "name", F.col("name").alias("qname"), F.lit("external").alias("path"), F.lit("variable").alias("plain")))
+    made = external(outside.select(F.col("to_id").alias("id"), "name", F.concat_ws(".", F.replace("import_path", F.lit("/"), F.lit(".")), "name").alias("qname"), F.lit("external").alias("path"), F.lit("variable").alias("plain")))
     return found.unionAll(outside.select("ref_seq", "to_id")), made
 
 
@@ -223,7 +223,7 @@ def resolve_all(refs: DataFrame, symbols: DataFrame, scopes: DataFrame, containm
     known = outside.select("id")
     parts = F.split("id", "::")
     deep = reached.join(known, "id", "left_anti")
-    links = deep.select("id", parts.alias("p")).select(F.explode(F.transform(F.sequence(F.lit(3), F.size("p")), lambda n: F.struct(F.array_join(F.slice("p", 1, n), "::").alias("id"), F.when(n > 3, F.array_join(F.slice("p", 1, n - 1), "::")).alias("parent_id"), F.element_at("p", n).alias("name"), F.array_join(F.slice("p", 3, n - 2), ".").alias("qname")))).alias("x")).select("x.*").distinct()
+    links = deep.select("id", parts.alias("p")).select(F.explode(F.transform(F.sequence(F.lit(3), F.size("p")), lambda n: F.struct(F.array_join(F.slice("p", 1, n), "::").alias("id"), F.when(n > 3, F.array_join(F.slice("p", 1, n - 1), "::")).alias("parent_id"), F.element_at("p", n).alias("name"), F.concat_ws(".", F.when(F.col("p")[1] != "builtin", F.replace(F.col("p")[1], F.lit("/"), F.lit("."))), F.array_join(F.slice("p", 3, n - 2), ".")).alias("qname")))).alias("x")).select("x.*").distinct()
     new = links.select("id", "name", "qname", F.when(F.col("id").startswith("external::builtin::"), "builtin").otherwise("external").alias("path"), F.when(F.col("parent_id").isNull(), "function").otherwise("method").alias("plain"))
     externals = outside.unionByName(external(new).join(known, "id", "left_anti")).dropDuplicates(["id"])
     last = containments.agg(F.coalesce(F.max("cont_seq"), F.lit(0))).first()[0]

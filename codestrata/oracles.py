@@ -115,7 +115,114 @@ SELECT source, id, level FROM f WHERE n > 0"""
 
 LINES = "doc_lines AS (SELECT doc_id, unnest(str_split_regex(coalesce(text, ''), '\\r?\\n')) AS t, generate_subscripts(str_split_regex(coalesce(text, ''), '\\r?\\n'), 1) - 1 AS line_no FROM documents)"
 
+PLACES = {
+    "reg": "SELECT r_regionkey AS k, 0 AS r, 'pkg/region_' || r_regionkey || '.py' AS p, '' AS v FROM region",
+    "nat": "SELECT n_nationkey AS k, n_regionkey AS r, 'pkg/nation_' || n_nationkey || '.py' AS p, CASE WHEN n_nationkey % 2 = 0 THEN 'POST' ELSE 'PUT' END AS v FROM nation",
+    "sup": "SELECT s_suppkey AS k, s_nationkey AS r, 'suppliers/s_' || s_suppkey || '.ts' AS p, '' AS v FROM supplier",
+    "cus": "SELECT c_custkey AS k, 0 AS r, 'customers/Customer' || c_custkey || '.java' AS p, '' AS v FROM customer WHERE c_custkey % 10 = 0",
+    "prt": "SELECT p_partkey AS k, 0 AS r, 'page_' || p_partkey || '.html' AS p, '' AS v FROM part WHERE p_partkey % 50 = 0",
+    "ven": "SELECT 0 AS k, 0 AS r, 'vendor.ts' AS p, '' AS v", "too": "SELECT 0 AS k, 0 AS r, 'suppliers/tools.ts' AS p, '' AS v",
+    "acc": "SELECT 0 AS k, 0 AS r, 'customers/Account.java' AS p, '' AS v", "bro": "SELECT 0 AS k, 0 AS r, 'pkg/broken.py' AS p, '' AS v",
+    "one": "SELECT 0 AS k, min(r_regionkey) AS r, '' AS p, '' AS v FROM region",
+}
+
+
+def filled(value) -> str:
+    """A value, or a text with a file's number {k}, its other number {r}, path {p} and word {v}, as SQL."""
+    if not isinstance(value, str):
+        return str(value)
+    out = "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for x in "krpv":
+        out = out.replace("{" + x + "}", f"' || {x} || '")
+    return out
+
+
+def listed(columns: str, rows: dict[str, list[tuple]]) -> str:
+    """Rows for each file of a kind."""
+    names = columns.split()
+    return " UNION ALL ".join(f"SELECT {', '.join(f'{filled(v)} AS {n}' for n, v in zip(names, row, strict=True))} FROM ({PLACES[kind]})" for kind, own in rows.items() for row in own)
+
+
+def member(owner: str, name: str) -> str:
+    return "{p}::" + owner + "::" + name
+
+
+FILE, R, N, S, C = "{p}::{p}", "Region{k}", "Nation{k}", "Supplier{k}Service", "Customer{k}"
+DEFINED = {  # id, kind, qname, first and last line, exported, visibility
+    "reg": [(FILE, "file", "{p}", 0, 17, True, "public"), ("{p}::routes", "variable", "routes", 2, 2, True, "public"), ("{p}::" + R, "class", R, 5, 12, True, "public"), (member(R, "__tablename__"), "variable", R + ".__tablename__", 6, 6, True, "public"), (member(R, "name"), "function", R + ".name", 8, 9, True, "public"), (member(R, "_hidden"), "function", R + "._hidden", 11, 12, False, "private"), ("{p}::shared", "function", "shared", 15, 16, True, "public")],
+    "nat": [(FILE, "file", "{p}", 0, 21, True, "public"), ("{p}::" + N, "class", N, 5, 13, True, "public"), (member(N, "open"), "function", N + ".open", 6, 8, True, "public"), (member(N, "close"), "function", N + ".close", 12, 13, True, "public"), ("{p}::run_{k}", "function", "run_{k}", 17, 20, True, "public")],
+    "sup": [(FILE, "file", "{p}", 0, 17, True, "public"), ("{p}::" + S, "class", S, 3, 14, True, "public"), (member(S, "rank"), "variable", S + ".rank", 4, 4, True, "private"), (member(S, "pay"), "method", S + ".pay", 6, 9, True, "public"), (member(S, "check"), "method", S + ".check", 11, 13, True, "public"), ("{p}::one", "variable", "one", 16, 16, False, "public")],
+    "cus": [(FILE, "file", "{p}", 0, 7, True, "public"), ("{p}::" + C, "class", C, 2, 6, True, "public"), (member(C, "first"), "variable", C + ".first", 3, 3, True, "private"), (member(C, "move"), "method", C + ".move", 4, 4, True, "public"), (member(C, "hold"), "method", C + ".hold", 5, 5, True, "protected")],
+    "prt": [(FILE, "file", "{p}", 0, 4, True, "public"), ("{p}::part-{k}", "variable", "part-{k}", 2, 2, True, "public")],
+    "ven": [(FILE, "file", "{p}", 0, 3, True, "public"), ("{p}::Vendor", "interface", "Vendor", 0, 2, True, "public"), (member("Vendor", "rank"), "variable", "Vendor.rank", 1, 1, True, "public")],
+    "too": [(FILE, "file", "{p}", 0, 3, True, "public"), ("{p}::helper", "function", "helper", 0, 2, True, "public")],
+    "acc": [(FILE, "file", "{p}", 0, 4, True, "public"), ("{p}::Account", "class", "Account", 1, 3, True, "public"), (member("Account", "close"), "method", "Account.close", 2, 2, True, "public")],
+    "bro": [(FILE, "file", "{p}", 0, 8, True, "public"), ("{p}::before", "function", "before", 0, 1, True, "public"), ("{p}::after", "function", "after", 6, 7, True, "public")],
+}
+REFERRED = {  # from, kind, name, line, path of an import
+    "reg": [(FILE, "import", "Blueprint", 0, "flask"), (FILE, "call", "Blueprint", 2, ""), ("{p}::" + R, "inherit", "Base", 5, ""), (member(R, "_hidden"), "call", "shared", 12, "")],
+    "nat": [(FILE, "import", "json", 0, "json"), *((FILE, "import", n, line, "pkg/region_{r}") for n, line in (("Region{r}", 1), ("routes", 1), ("common", 2))), (FILE, "call", "routes.route", 16, ""), ("{p}::" + N, "inherit", "Region{r}", 5, ""), (member(N, "open"), "call", "self.close", 7, ""), (member(N, "open"), "call", "common", 8, ""), (member(N, "close"), "call", "print", 13, ""), (member(N, "close"), "call", "json.dumps", 13, ""), *(("{p}::run_{k}", "call", n, line, "") for n, line in ((N, 18), ("it.open", 19), ("missing_{k}", 20)))],
+    "sup": [(FILE, "import", "Vendor", 0, "../vendor"), (FILE, "import", "assist", 1, "./tools.js"), (FILE, "instantiate", S, 16, ""), ("{p}::" + S, "implement", "Vendor", 3, ""), (member(S, "pay"), "type_use", "Vendor", 6, ""), (member(S, "pay"), "call", "this.check", 7, ""), (member(S, "pay"), "call", "assist", 8, ""), (member(S, "check"), "call", "lost{k}", 12, "")],
+    "cus": [(FILE, "import", "customers.Account", 1, "customers.Account"), ("{p}::" + C, "inherit", "Account", 2, ""), (member(C, "move"), "call", "hold", 4, "")],
+    "prt": [(FILE, "import", "suppliers/tools.js", 1, "suppliers/tools.js"), (FILE, "import", "style.css", 1, "style.css")],
+    "bro": [("{p}::after", "call", "before", 7, "")],
+}
+SCOPED = {  # owner, kind, kind of the parent (of a local name: its type)
+    "reg": [(FILE, "global", ""), ("{p}::" + R, "class", "global"), (member(R, "name"), "function", "class"), (member(R, "_hidden"), "function", "class"), ("{p}::shared", "function", "global")],
+    "nat": [(FILE, "global", ""), ("{p}::" + N, "class", "global"), (member(N, "open"), "function", "class"), (member(N, "close"), "function", "class"), ("{p}::run_{k}", "function", "global"), ("{p}::run_{k}", "local", N)],
+    "sup": [(FILE, "global", ""), ("{p}::" + S, "class", "global"), (member(S, "pay"), "function", "class"), (member(S, "check"), "function", "class")],
+    "cus": [(FILE, "global", ""), ("{p}::" + C, "class", "global"), (member(C, "move"), "function", "class"), (member(C, "hold"), "function", "class")],
+    "prt": [(FILE, "global", "")], "ven": [(FILE, "global", ""), ("{p}::Vendor", "class", "global")], "too": [(FILE, "global", ""), ("{p}::helper", "function", "global")],
+    "acc": [(FILE, "global", ""), ("{p}::Account", "class", "global"), (member("Account", "close"), "function", "class")], "bro": [(FILE, "global", ""), ("{p}::before", "function", "global"), ("{p}::after", "function", "global")],
+}
+RESOLVED = {  # from, to, kind, how
+    "reg": [(FILE, "external::flask::Blueprint", "import", "import"), (FILE, "external::flask::Blueprint", "call", "import"), (member(R, "_hidden"), "{p}::shared", "call", "scope")],
+    "nat": [(FILE, "external::json::json", "import", "import"), *((FILE, "pkg/region_{r}.py::" + n, "import", "import") for n in ("Region{r}", "routes", "shared")), ("{p}::" + N, "pkg/region_{r}.py::Region{r}", "inherit", "import"), (member(N, "open"), member(N, "close"), "call", "scope"), (member(N, "open"), "pkg/region_{r}.py::shared", "call", "import"), (member(N, "close"), "external::builtin::print", "call", "global_fallback"), (member(N, "close"), "external::json::json::dumps", "call", "import"), ("{p}::run_{k}", "{p}::" + N, "call", "scope"), ("{p}::run_{k}", member(N, "open"), "call", "scope")],
+    "sup": [(FILE, "vendor.ts::Vendor", "import", "import"), (FILE, "suppliers/tools.ts::helper", "import", "import"), (FILE, "{p}::" + S, "instantiate", "scope"), ("{p}::" + S, "vendor.ts::Vendor", "implement", "import"), (member(S, "pay"), "vendor.ts::Vendor", "type_use", "import"), (member(S, "pay"), member(S, "check"), "call", "scope"), (member(S, "pay"), "suppliers/tools.ts::helper", "call", "import")],
+    "cus": [("{p}::" + C, "customers/Account.java::Account", "inherit", "global_fallback"), (member(C, "move"), member(C, "hold"), "call", "scope")],
+    "prt": [(FILE, "suppliers/tools.ts::suppliers/tools.ts", "import", "import"), (FILE, "external::style.css::style.css", "import", "import")],
+    "bro": [("{p}::after", "{p}::before", "call", "scope")],
+}
+#: The call of a decorator's `routes.route`, which no import leads to: the first `routes` anywhere.
+ROUTES = f"SELECT 'pkg/nation_' || n_nationkey || '.py::pkg/nation_' || n_nationkey || '.py' AS from_id, {filled('pkg/region_{r}.py::routes')} AS to_id, 'call' AS kind, 'global_fallback' AS method FROM nation, ({PLACES['one']})"
+RESOLVED_SQL = f"{listed('from_id to_id kind method', RESOLVED)} UNION ALL {ROUTES}"
+OUTSIDE = {"one": [("external::builtin::print", "function", "print", ""), ("external::flask::Blueprint", "class", "flask.Blueprint", ""), ("external::json::json", "variable", "json.json", ""), ("external::json::json::dumps", "method", "json.json.dumps", "external::json::json"), ("external::style.css::style.css", "variable", "style.css.style.css", "")]}
+MEMBERS = {  # id, source, comment
+    "reg": [(member(R, "name"), "    def name(self):\n        return 'region'", ""), (member(R, "_hidden"), "    def _hidden(self):\n        return shared({k})", "")],
+    "nat": [(member(N, "open"), "    def open(self):\n        self.close()\n        return common(1)", ""), (member(N, "close"), "    def close(self):\n        print(json.dumps(1))", "# closes\n# for good")],
+    "sup": [(member(S, "pay"), "  pay(to: Vendor): void {\n    this.check();\n    assist({r});\n  }", ""), (member(S, "check"), "  check(): boolean {\n    return /[{(]/.test(`${lost{k}()}`);\n  }", "")],
+    "cus": [(member(C, "move"), "  public void move(int n) { hold(n); }", ""), (member(C, "hold"), "  protected void hold(int n) { }", "")],
+    "acc": [(member("Account", "close"), "  public void close() { }", "")],
+}
+SPANS = {"reg": [("{p}", 2, 16, 6)], "nat": [("{p}", 5, 20, 4)], "sup": [("{p}", 3, 16, 5)], "cus": [("{p}", 2, 6, 4)], "prt": [("{p}", 2, 2, 1)], "ven": [("{p}", 0, 2, 2)], "too": [("{p}", 0, 2, 1)], "acc": [("{p}", 1, 3, 2)], "bro": [("{p}", 0, 7, 2)]}
+LOST = "Reference ''{}'' could not be resolved".replace("''", "'")
+TOLD = {  # kind, severity, message, path, line
+    "bro": [("parse_error", "error", "Syntax error at line 4", "{p}", 3)],
+    "reg": [("unresolved_reference", "info", LOST.format("Base"), "{p}", 5)],
+    "nat": [("unresolved_reference", "info", LOST.format("missing_{{k}}").replace("{{k}}", "{k}"), "{p}", 20)],
+    "sup": [("unresolved_reference", "info", LOST.format("lost{{k}}").replace("{{k}}", "{k}"), "{p}", 12)],
+    "cus": [("unresolved_import", "warning", "Unable to resolve import path or name for 'customers.Account' in customers.Account", "{p}", 1)],
+}
+TARGETS = {"nat": [("{p}", n, "pkg/region_{r}.py") for n in ("Region{r}", "routes", "common")], "sup": [("{p}", "Vendor", "vendor.ts")], "cus": [("{p}", "customers.Account", "customers/Account.java")], "prt": [("{p}", "suppliers/tools.js", "suppliers/tools.ts")]}
+
 ORACLES = {
+    "source_symbols": listed("id kind qname sl el exported visibility", DEFINED),
+    "source_references": listed("from_id kind raw_name sl import_path", REFERRED),
+    "source_scopes": listed("owner_symbol_id kind parent", SCOPED),
+    "framework_tags": listed("id api_method api_path table_name is_service", {"reg": [("{p}::" + R, "", "", "region_{k}", False)], "nat": [("{p}::run_{k}", "{v}", "/nation/{k}", "", False)], "sup": [("{p}::" + S, "", "", "", True)]}),
+    "import_targets": listed("path raw_name file", TARGETS),
+    "resolved_references": RESOLVED_SQL,
+    "project_diagnostics": listed("kind severity message path sl", TOLD),
+    "outside_names": listed("id kind qname parent_id", OUTSIDE),
+    "project_graph": f"""WITH s AS ({listed("id kind qname sl el exported visibility", DEFINED)}), o AS ({listed("id kind qname parent_id", OUTSIDE)}), e AS ({RESOLVED_SQL}),
+      nodes AS (SELECT kind FROM s UNION ALL SELECT 'project'),
+      -- a member stands behind its owner's id; files belong to the project
+      edges AS (SELECT CASE WHEN kind = 'method' THEN 'has_member' ELSE 'owns' END AS kind, '' AS method FROM s WHERE kind = 'file' OR id LIKE '%::%::%' UNION ALL SELECT 'has_member', '' FROM o WHERE parent_id <> '' UNION ALL SELECT kind, method FROM e)
+      SELECT 'node' AS what, kind, '' AS method, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge', kind, method, count(*) FROM edges GROUP BY kind, method""",
+    "project_slices": f"WITH m AS ({listed('id source comment', MEMBERS)}) SELECT id, sha256(source) AS source_sha, trim(str_split(source, chr(10))[1]) AS signature, comment FROM m",
+    "answer_relations": f"""WITH n AS (SELECT n_regionkey AS r FROM nation WHERE n_nationkey = 3), x AS (SELECT 'run_3 (pkg/nation_3.py:18)' AS run, 'Nation3 (pkg/nation_3.py:6)' AS own, 'Nation3.open (pkg/nation_3.py:7)' AS open, 'Nation3.close (pkg/nation_3.py:13)' AS close, {filled("Region{r} (pkg/region_{r}.py:6)")} AS base, {filled("shared (pkg/region_{r}.py:16)")} AS shared FROM n)
+      SELECT unnest([run || ' calls ' || own, run || ' calls ' || open, own || ' owns ' || open, own || ' owns ' || close, own || ' extends ' || base, open || ' calls ' || close, open || ' calls ' || shared, 'Resolution confidence: 5 high, 0 low']) AS line FROM x""",
+    "symbol_spans": f"SELECT path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, n::BIGINT AS n FROM ({listed('path start_line end_line n', SPANS)})",
     "graph_stats": f"{G} SELECT 'edge_kind' AS what, kind, count(*) AS n FROM edges GROUP BY kind UNION ALL SELECT 'edges', '', count(*) FROM edges UNION ALL SELECT 'nodes', '', count(*) FROM nodes",
     "callers_of": hop("call", ("p:1", "p:7", "p:11"), True),
     "callees_of": hop("call", ("o:1", "o:2", "o:33"), False),

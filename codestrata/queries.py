@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .extract import facts
 from .operators import budget, evidence, graph, indexes, resolve, search, traverse, views
+from .plans import engine
+from .plans import plan as plans
+from .projects import source_files
 from .sources import scan
 from .streaming import watch
 from .tables import graph_from_tables, read
@@ -16,6 +19,95 @@ def _ids(spark, *ids: str) -> DataFrame:
     return spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id string, rank long")
 
 
+_built: dict = {}
+
+
+def project(spark, d) -> engine.Graph:
+    """The project that the tables are written as, read and resolved; built once for all queries of a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _built:
+        _built[key] = engine.build(spark, "shop", source_files(spark, d))
+    return _built[key]
+
+
+def source_symbols(spark, d):
+    """What readers of four languages define, where, and how it is seen."""
+    symbols = facts.tables(facts.extract(source_files(spark, d)))["symbols"]
+    return symbols.select("id", "kind", "qname", "sl", "el", "exported", "visibility")
+
+
+def source_references(spark, d):
+    refs = facts.tables(facts.extract(source_files(spark, d)))["refs"]
+    return refs.select("from_id", "kind", "raw_name", "sl", F.coalesce("import_path", F.lit("")).alias("import_path"))
+
+
+def source_scopes(spark, d):
+    """Scopes with the kind of their parents, and local types."""
+    t = facts.tables(facts.extract(source_files(spark, d)))
+    scopes = t["scopes"].select("owner_symbol_id", "kind", F.coalesce(F.split_part("parent_scope_id", F.lit(":"), F.lit(3)), F.lit("")).alias("parent"))
+    return scopes.unionAll(t["local_bindings"].select("owner_symbol_id", F.lit("local").alias("kind"), F.array_join("type_chain", ".").alias("parent")))
+
+
+def framework_tags(spark, d):
+    """Endpoints, data models and services."""
+    tagged = facts.tables(facts.extract(source_files(spark, d)))["symbols"].where("api_method is not null or table_name is not null or is_service")
+    empty = F.lit("")
+    return tagged.select("id", F.coalesce("api_method", empty).alias("api_method"), F.coalesce("api_path", empty).alias("api_path"), F.coalesce("table_name", empty).alias("table_name"), "is_service")
+
+
+def import_targets(spark, d):
+    """The file that each import means."""
+    files = source_files(spark, d)
+    refs = facts.tables(facts.extract(files))["refs"].where("kind = 'import'")
+    found = resolve.target_files(refs, files.select("file_seq", "path"))
+    return refs.join(found, "ref_seq").select("path", "raw_name", "file")
+
+
+def resolved_references(spark, d):
+    """All references of the project that are resolved: imports, scopes, local types, members, names anywhere, built-in and outside names."""
+    return project(spark, d).tables["resolved_refs"].select("from_id", "to_id", "kind", "method")
+
+
+def project_diagnostics(spark, d):
+    return project(spark, d).tables["diagnostics"].select("kind", "severity", "message", "path", "sl")
+
+
+def outside_names(spark, d):
+    g = project(spark, d)
+    held = g.tables["containments"].where(F.col("child_id").startswith("external::")).select(F.col("child_id").alias("id"), "parent_id")
+    return g.tables["externals"].select("id", "kind", "qname").join(held, "id", "left").withColumn("parent_id", F.coalesce("parent_id", F.lit("")))
+
+
+def project_graph(spark, d):
+    """Nodes and edges of the graph that build_graph makes of the project, by kind."""
+    g = project(spark, d)
+    nodes = g.nodes.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "kind", F.lit("").alias("method"), "n")
+    return nodes.unionAll(g.edges.groupBy("kind", F.coalesce("method", F.lit("")).alias("method")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("what"), "kind", "method", "n"))
+
+
+def project_slices(spark, d):
+    """Source, signature and preceding comment of the classes' members."""
+    g = project(spark, d)
+    members = g.nodes.where("kind in ('function', 'method') and id like '%::%::%' and path <> 'external'").select("id", "path", "sl", "el")
+    shown = evidence.slices(members, g.files)
+    comments = evidence.preceding_comments(members.select("path", F.col("sl").alias("line_no")), evidence.lines_of(g.files)).withColumnRenamed("line_no", "sl")
+    return shown.join(comments, ["path", "sl"], "left").select("id", F.sha2("source", 256).alias("source_sha"), "signature", F.coalesce("comment", F.lit("")).alias("comment"))
+
+
+def symbol_spans(spark, d):
+    """Merged line spans of the project's symbols, file by file."""
+    g = project(spark, d)
+    spans = g.nodes.where("kind not in ('file', 'project')").where(~F.col("id").startswith("external::")).select("path", F.col("sl").alias("start_line"), F.col("el").alias("end_line"))
+    return budget.merge_spans(spans, ("path",)).select("path", *(F.col(c).cast("long").alias(c) for c in ("start_line", "end_line", "n")))
+
+
+def answer_relations(spark, d):
+    """The relationships in the text of an answer: what a region around a nation's function holds."""
+    text = engine.Engine(project(spark, d)).answer(plans.explore_region(["pkg/nation_3.py::run_3"], "outgoing", 2))["text"].split("\n")
+    lines = text[text.index("# Relationships") + 1 : text.index("# Code")]
+    return spark.createDataFrame([(x,) for x in [*lines, *(x for x in text if x.startswith("Resolution confidence"))]], "line string")
+
+
 def graph_stats(spark, d):
     return graph.stats(*graph_from_tables(spark, d))
 
@@ -306,5 +398,6 @@ QUERIES = {f.__name__: f for f in (
     graph_stats, callers_of, callees_of, members_of, imports_of, find_by_name, region_both_d2, region_out_d3, region_kind_filter, region_capped, region_edge_topk, shortest_paths, impact_cone,
     expand_locate, expand_flow, expand_impact, ancestor_chain, neighborhood, flow_between, blast_radius, test_coverage, discover_parts, anchor_exact, anchor_ambiguous, plan_strategy, flow_terms,
     span_merge, budget_alloc, confidence_summary, innermost_scope, name_resolution, module_deps, service_deps, data_access, api_routes, trace_flow, flat_view, kind_counts, one_hop_ids, visible_nodes,
+    source_symbols, source_references, source_scopes, framework_tags, import_targets, resolved_references, project_diagnostics, outside_names, project_graph, project_slices, symbol_spans, answer_relations,
     incremental_update, debounce_sessions, callsite_search, doc_comment, html_refs, token_estimate, scan_filter,
 )}
