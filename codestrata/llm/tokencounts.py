@@ -1,12 +1,12 @@
 """Op 4, token counts: documents are encoded whole, once; tokens are attributed to sections by their spans.
 
-Sections of a text are its lines (with the line feed that ends them). Token spans come from the byte lengths
-of the tokens' running sum, so no text is encoded twice. A token that crosses from one section to the next is
+Sections of a text are its lines (with the line feed that ends them), given by byte and by character. Token spans come from the
+running sum of the tokens' bytes, so no text is encoded twice; a token may begin or end inside a character, which lies in one section whole. A token that crosses from one section to the next is
 allocated by `rule`: 'first' (default) gives it to the section of its first byte, 'last' to that of its last
 byte, 'most' to the section with most of its bytes (ties to the earlier).
 
 Null or empty text: one empty section without tokens. Empty table: no rows. Repeated rows: each row gives its
-own sections. Columns other than the id and the text are ignored.
+own sections. A null id stays null. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .common import pieces, table
 
-SCHEMA = "doc_id long, section int, start_byte long, end_byte long, n_tokens long, n_crossing long, doc_tokens long"
+SCHEMA = "doc_id long, section int, start_byte long, end_byte long, start_char long, end_char long, n_tokens long, n_crossing long, doc_tokens long"
 
 
 class Encoder:
@@ -52,6 +52,12 @@ def section_ends(data: bytes) -> np.ndarray:
     return cuts if len(cuts) and cuts[-1] == len(data) else np.append(cuts, len(data))
 
 
+def characters(data: bytes, cuts: np.ndarray) -> np.ndarray:
+    """How many characters end by each cut."""
+    first = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+    return np.concatenate(([0], np.cumsum(first, dtype=np.int64)))[cuts]
+
+
 def attribute(token_ends: np.ndarray, cuts: np.ndarray, rule: str = "first") -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each section, and how many of them reach beyond one section."""
     starts = np.concatenate(([0], token_ends[:-1])) if len(token_ends) else token_ends
@@ -78,9 +84,10 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "first")
             ids, parts = batch.column("doc_id").to_pylist(), []
             for i, text in zip(ids, batch.column("text").to_pylist(), strict=True):
                 text = text or ""
-                cuts = section_ends(text.encode())
+                data = text.encode()
+                cuts = section_ends(data)
                 ends = encoder.ends(text)
-                parts.append((i, cuts, *attribute(ends, cuts, rule), len(ends)))
+                parts.append((i, cuts, *attribute(ends, cuts, rule), len(ends), characters(data, cuts)))
             each = [len(p[1]) for p in parts]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -88,11 +95,13 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "first")
                     pa.array(np.concatenate([np.arange(n) for n in each]), pa.int32()),
                     pa.array(np.concatenate([np.concatenate(([0], p[1][:-1])) for p in parts]), pa.int64()),
                     pa.array(np.concatenate([p[1] for p in parts]), pa.int64()),
+                    pa.array(np.concatenate([np.concatenate(([0], p[5][:-1])) for p in parts]), pa.int64()),
+                    pa.array(np.concatenate([p[5] for p in parts]), pa.int64()),
                     pa.array(np.concatenate([p[2] for p in parts]), pa.int64()),
                     pa.array(np.concatenate([p[3] for p in parts]), pa.int64()),
                     pa.array(np.repeat([p[4] for p in parts], each), pa.int64()),
                 ],
-                ["doc_id", "section", "start_byte", "end_byte", "n_tokens", "n_crossing", "doc_tokens"],
+                ["doc_id", "section", "start_byte", "end_byte", "start_char", "end_char", "n_tokens", "n_crossing", "doc_tokens"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -1,7 +1,7 @@
 """Op 10, toxicity: class-conditional Kneser-Ney models over the letters of words.
 
-Each class (toxic, ordinary) has counts of word beginnings: in how many of its training documents a word
-with this beginning occurs. The probability of the next letter after a beginning is the class's own count,
+Each class (toxic, ordinary) has counts of word beginnings: how many different words with this beginning its
+training documents have, document by document. The probability of the next letter after a beginning is the class's own count,
 discounted, and for the rest a Kneser-Ney distribution over the last letters whose continuation counts are
 shared by both classes; where neither class knows a beginning, both fall back to the same distribution and
 its letters weigh nothing. A word's weight is the difference of its log-likelihoods in the two models. A

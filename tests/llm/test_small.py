@@ -1,15 +1,18 @@
 """Operators on small tables, against plain versions; nulls, empty texts, ties, repeated rows, empty tables, clashing columns."""
 
+import base64
 import collections
 import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 pytest.importorskip("codestrata.llm")
@@ -117,30 +120,44 @@ def test_mixing_keeps_to_the_weights(spark, weights):
         assert own and max(own) - min(own) <= 1 and min(own) >= 1
 
 
+def library():
+    """The tokenizer as the library makes it, with the bytes of each token."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 @pytest.mark.parametrize("rule", ["first", "last", "most"])
 def test_token_counts(spark, rule):
-    texts = [*TEXTS[:9], "a\n\n b\n", "x \n\n\n  y"]
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    got = tokencounts.count_tokens(documents(spark, texts), path, public_tokenizers.PATTERN, rule).collect()
-    encoder = tokencounts.Encoder.of(path, public_tokenizers.PATTERN)
-    for i, t in enumerate(texts):
-        data, own = (t or "").encode(), [r for r in got if r.doc_id == i]
-        lines = (t or "").splitlines(keepends=True) if "\r" not in (t or "") else None
-        want, at = [], 0
-        for k in range(len(data) + 1):
-            if k == len(data) or data[k : k + 1] == b"\n":
-                end = min(k + 1, len(data))
-                if end > at or not want:
-                    want.append((at, end))
-                at = end
-        counts = [0] * len(want)
-        start = 0
-        for end in encoder.ends(t or "").tolist():
-            inside = [max(0, min(end, b) - max(start, a)) for a, b in want]
-            hit = [k for k, n in enumerate(inside) if n]
-            counts[hit[0] if rule == "first" else hit[-1] if rule == "last" else max(hit, key=lambda k: inside[k])] += 1
-            start = end
-        assert [(r.start_byte, r.end_byte, r.n_tokens) for r in sorted(own, key=lambda r: r.section)] == [(*w, c) for w, c in zip(want, counts, strict=True)], (i, lines)
+    """Against the library's token bytes: long texts, tokens that split a character or reach over lines, null ids, repeated rows, clashing columns."""
+    texts = [*TEXTS, "a\n\n b\n", "x \n\n\n  y", "\n" * 50, "𐍈𐍈\n𐍈 ⠿⠿\n", "a\r\nb\rc\n", "a\r\nb\rc\n", "<|endoftext|>\nx"]
+    ids = [*range(len(texts) - 2), 3, None]
+    docs = documents(spark, texts, ids).withColumnRenamed("n_chars", "section").withColumnRenamed("source", "n_tokens")
+    got = collections.defaultdict(list)
+    for r in tokencounts.count_tokens(docs.repartition(3), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, rule).collect():
+        got[r.doc_id].append((r.section, r.start_byte, r.end_byte, r.start_char, r.end_char, r.n_tokens, r.n_crossing, r.doc_tokens))
+    assert tokencounts.count_tokens(documents(spark, []), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    encoding, want, split = library(), collections.defaultdict(list), 0
+    for i, t in zip(ids, texts, strict=True):
+        t = t or ""
+        lines = re.findall("[^\n]*\n|[^\n]+", t) or [""]
+        of_byte = [k for k, line in enumerate(lines) for _ in line.encode()]
+        tokens = [encoding.decode_single_token_bytes(x) for x in encoding.encode_ordinary(t)]
+        assert b"".join(tokens).decode() == t
+        counts, crossing, at = [0] * len(lines), [0] * len(lines), 0
+        for token in tokens:
+            inside = collections.Counter(of_byte[at : at + len(token)])
+            to = min(inside) if rule == "first" else max(inside) if rule == "last" else max(inside, key=lambda k: (inside[k], -k))
+            counts[to] += 1
+            crossing[to] += len(inside) > 1
+            split += (token[0] & 0xC0) == 0x80
+            at += len(token)
+        byte = char = 0
+        for k, line in enumerate(lines):
+            want[i].append((k, byte, byte + len(line.encode()), char, char + len(line), counts[k], crossing[k], len(tokens)))
+            byte, char = byte + len(line.encode()), char + len(line)
+    assert split > 0 and any(x[6] for rows in want.values() for x in rows)
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
 
 
 def test_chat(spark):
