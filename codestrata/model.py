@@ -12,6 +12,7 @@ CONTAINMENTS = "cont_seq long, parent_id string, child_id string, kind string"
 REFS = "ref_seq long, id string, from_id string, kind string, raw_name string, chain array<string>, import_path string, imported_name string, ast_node_type string, path string, sl int, sc int, el int, ec int"
 BINDINGS = "bind_seq long, owner_symbol_id string, name string, path string, sl int, sc int, el int, ec int, type_chain array<string>"
 RESOLVED = "ref_seq long, candidate_id string, from_id string, to_id string, kind string, method string"
+EXTERNALS = "id string, kind string, name string, qname string, path string"
 DIAGNOSTICS = "kind string, severity string, message string, path string, sl int, sc int"
 TABLES = {"symbols": SYMBOLS, "scopes": SCOPES, "containments": CONTAINMENTS, "refs": REFS, "local_bindings": BINDINGS, "diagnostics": DIAGNOSTICS}
 

@@ -122,11 +122,11 @@ def visible(nodes: DataFrame, edges: DataFrame, text: str = "", kinds: tuple[str
     hit = nodes.where((F.lower("name").contains(low) | F.lower("qname").contains(low)) & (F.col("kind").isin(*kinds) if kinds else F.lit(True))).select("id")
     up = edges.where(contained()).select(F.col("dst").alias("id"), F.col("src").alias("parent")).distinct()
     found = level = cut(hit.distinct())
-    for _ in range(16):
+    while True:
         level = cut(level.join(up, "id").select(F.col("parent").alias("id")).distinct().join(found, "id", "left_anti"))
         if level.isEmpty():
             break
-        found = found.unionAll(level)
+        found = cut(found.unionAll(level))
     return nodes.join(found, "id", "left_semi")
 
 

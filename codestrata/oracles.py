@@ -250,6 +250,9 @@ ORACLES = {
     "test_coverage": f"""{G}, hit AS (SELECT DISTINCT dst FROM edges JOIN nodes ON src = id WHERE method IS NOT NULL AND path = 'F')
       SELECT kind, CASE WHEN kind IN ('function', 'method', 'class', 'interface') THEN id IN (SELECT dst FROM hit) END AS state, count(*) AS n FROM nodes GROUP BY ALL""",
     "discover_parts": discover_sql(),
+    # 15 points for the route, 1.4 times for a definition, 2 more for a short name
+    "endpoint_search": "SELECT 'o:' || o_orderkey AS id, (15 * 1.4 + 2)::DOUBLE AS score, row_number() OVER (ORDER BY o_orderkey)::INT AS rank FROM orders WHERE o_orderkey = 17",
+    "anchors_of_specs": f"{G} SELECT 'resolved' AS status, 'id' AS what, id AS value FROM nodes WHERE name IN ('NATION_3', 'Order#1') UNION ALL SELECT 'resolved', 'missing', unnest(['zzzz', 'qqqq'])",
     "anchor_exact": f"{G} SELECT id, 'resolved' AS status, 1 AS rank FROM nodes WHERE lower(qname) = 'nation_3.nation_3'",
     "anchor_ambiguous": f"{G} SELECT id, 'ambiguous' AS status, row_number() OVER (ORDER BY NOT exported, length(qname), node_seq)::INT AS rank FROM nodes WHERE id LIKE 'c:%' QUALIFY rank <= 10",
     "plan_strategy": f"""WITH q AS (SELECT conv_id, turn, lower({ASKED}) AS q FROM conversations), c AS (SELECT conv_id, turn, {contains_count('q', LOCATE_WORDS)} AS l, {contains_count('q', FLOW_WORDS)} AS f, {contains_count('q', IMPACT_WORDS)} AS i FROM q)

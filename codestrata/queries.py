@@ -226,6 +226,22 @@ def discover_parts(spark, d):
     return found.select("id", "score", F.col("rank").cast("int").alias("rank"))
 
 
+def endpoint_search(spark, d):
+    """Orders as endpoints: a method and a path in the query find theirs."""
+    nodes, _ = graph_from_tables(spark, d)
+    routes = nodes.where(F.col("id").startswith("o:")).withColumns({"api_method": F.lit("GET"), "api_path": F.concat(F.lit("/"), F.substring("name", 7, 99))})
+    found = search.discover(routes, "what serves GET /17", 25)
+    return found.select("id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+def anchors_of_specs(spark, d):
+    """Several anchors at once: what was found, in order, and what is missing."""
+    nodes, _ = graph_from_tables(spark, d)
+    picked = search.resolve_all(nodes, [{"query": "NATION_3"}, {"query": "zzzz"}, {"query": "Order#1"}, {"query": "qqqq"}], True, True)
+    rows = [(picked["status"], "id", i) for i in picked["ids"]] + [(picked["status"], "missing", q) for q in picked["missing"]]
+    return spark.createDataFrame(rows, "status string, what string, value string")
+
+
 def anchor_exact(spark, d):
     nodes, _ = graph_from_tables(spark, d)
     status, found = search.resolve_anchor(nodes, "Nation_3.Nation_3")
@@ -396,7 +412,7 @@ def scan_filter(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     graph_stats, callers_of, callees_of, members_of, imports_of, find_by_name, region_both_d2, region_out_d3, region_kind_filter, region_capped, region_edge_topk, shortest_paths, impact_cone,
-    expand_locate, expand_flow, expand_impact, ancestor_chain, neighborhood, flow_between, blast_radius, test_coverage, discover_parts, anchor_exact, anchor_ambiguous, plan_strategy, flow_terms,
+    expand_locate, expand_flow, expand_impact, ancestor_chain, neighborhood, flow_between, blast_radius, test_coverage, discover_parts, endpoint_search, anchors_of_specs, anchor_exact, anchor_ambiguous, plan_strategy, flow_terms,
     span_merge, budget_alloc, confidence_summary, innermost_scope, name_resolution, module_deps, service_deps, data_access, api_routes, trace_flow, flat_view, kind_counts, one_hop_ids, visible_nodes,
     source_symbols, source_references, source_scopes, framework_tags, import_targets, resolved_references, project_diagnostics, outside_names, project_graph, project_slices, symbol_spans, answer_relations,
     incremental_update, debounce_sessions, callsite_search, doc_comment, html_refs, token_estimate, scan_filter,

@@ -8,6 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import EXTERNALS, RESOLVED, TABLES
+
 FOLDER, DOCUMENT = ".codestrata", "semantic-model.json"
 
 
@@ -46,6 +48,17 @@ def find_document(at: str) -> str:
     raise FileNotFoundError(f"no model at {at}")
 
 
+def fields(schema: str) -> str:
+    return f"array<struct<{', '.join(f.strip().replace(' ', ': ', 1) for f in schema.split(','))}>>"
+
+
+def load_json(spark: SparkSession, at: str) -> dict[str, DataFrame]:
+    """The tables of a model's document; those that it lacks are empty."""
+    known = TABLES | {"resolved_refs": RESOLVED, "unresolved_refs": TABLES["refs"], "externals": EXTERNALS}
+    document = spark.read.schema(", ".join(f"{t} {fields(x)}" for t, x in known.items())).option("multiLine", True).json(find_document(at))
+    return {t: document.select(F.explode(t).alias("x")).select("x.*") for t in known}
+
+
 def report(tables: dict[str, DataFrame]) -> DataFrame:
     """(what, n): how much there is of everything, and references by kind."""
     spark = next(iter(tables.values())).sparkSession

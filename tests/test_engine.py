@@ -61,7 +61,7 @@ def test_python_model(python_graph):
     assert found["main.py::start", "external::builtin::print", "call"] == "global_fallback"
     assert ("main.py::main.py", "admin/account.py::AccountService", "import") in found
     left = sorted(r["raw_name"] for r in g.tables["unresolved_refs"].collect())
-    assert left == ["admin.drop", "self.rows", "service.store"] or left == ["admin.drop", "service.store"]
+    assert left == ["admin.drop", "service.store"]
 
 
 def test_script_model(script_graph):
