@@ -59,10 +59,25 @@ def stored(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: later reads neither compute it again nor need the executors that made it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    _stored.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_stored: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the tables that were stored so far, when results that are read from them have been written; how many there were."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text, so that numpy's arrays stay small; a longer text comes alone."""
     for batch in batches:

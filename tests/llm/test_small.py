@@ -474,3 +474,12 @@ def test_search_in_small_tables(spark):
         found[r.query_id].append(r.vec_id)
     assert {q: found[q] for q in range(14)} == dict(brute_search(x, range(14)))
     assert all(sorted(found[50 + i]) == [50 + j for j in range(4) if j != i] for i in range(4)) and 99 not in found
+
+
+def test_stored_tables_can_be_removed(spark):
+    common.clear(spark)
+    kept = common.stored(spark.range(5).toDF("x"))
+    assert kept.count() == 5 and common.clear(spark) == 1 and common.clear(spark) == 0
+    with pytest.raises(Exception, match="x|exist"):
+        common.stored(kept)
+    common.clear(spark)
