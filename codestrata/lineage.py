@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,5 +23,19 @@ def cut(df: DataFrame) -> DataFrame:
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    _cuts.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_cuts: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the tables that were cut off so far, when nothing is to be read from them any more; how many there were."""
+    context = spark.sparkContext
+    n = 0
+    while _cuts:
+        path = context._jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        n += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return n

@@ -246,3 +246,10 @@ def test_unresolved_names_in_text():
 
     assert serialize.unresolved([{"raw_name": "a.b"}, {"raw_name": "a.b"}, {"raw_name": "x\n y"}]) == "a.b, x y"
     assert serialize.unresolved([{"raw_name": f"n{i}" * 30} for i in range(7)]).endswith(" +2 more")
+
+
+def test_cut_tables_can_be_removed(spark):
+    from codestrata import lineage
+
+    kept = lineage.cut(spark.range(5).toDF("x"))
+    assert kept.count() == 5 and lineage.clear(spark) >= 1 and lineage.clear(spark) == 0
