@@ -289,7 +289,8 @@ ORACLES = {
       stop AS (SELECT doc_id, max(line_no) AS s FROM above JOIN bottom USING (doc_id) WHERE line_no <= b AND NOT (starts_with(t, '#') OR starts_with(t, '//')) GROUP BY doc_id),
       kept AS (SELECT doc_id, line_no, t FROM above JOIN bottom USING (doc_id) LEFT JOIN stop USING (doc_id) WHERE line_no <= b AND line_no > coalesce(s, -1) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) <= {COMMENT_LINES})
       SELECT doc_id, sha256(coalesce((SELECT string_agg(t, chr(10) ORDER BY line_no) FROM kept WHERE kept.doc_id = w.doc_id), '')) AS comment_sha FROM w""",
-    "html_refs": """SELECT page_id, tag, unnest(found) AS name FROM (SELECT page_id, 'id' AS tag, regexp_extract_all(html, '<[a-zA-Z][^<>]*?\\sid="([^"]+)"', 1) AS found FROM pages UNION ALL SELECT page_id, 'script', regexp_extract_all(html, '<script[^<>]*?\\ssrc="([^"]+)"', 1) FROM pages UNION ALL SELECT page_id, 'link', regexp_extract_all(html, '<link[^<>]*?\\shref="([^"]+)"', 1) FROM pages)""",
+    "html_refs": """WITH h AS (SELECT page_id, '<div id="top-' || page_id || '"></div><script src="/js/' || page_id % 7 || '.js"></script><link rel="x" href="/c/' || page_id % 3 || '.css">' || coalesce(html, '') AS html FROM pages)
+      SELECT page_id::BIGINT AS page_id, tag, unnest(found) AS name FROM (SELECT page_id, 'id' AS tag, regexp_extract_all(html, '<[a-zA-Z][^<>]*?\\sid="([^"]+)"', 1) AS found FROM h UNION ALL SELECT page_id, 'import', regexp_extract_all(html, '<script[^<>]*?\\ssrc="([^"]+)"', 1) FROM h UNION ALL SELECT page_id, 'import', regexp_extract_all(html, '<link[^<>]*?\\shref="([^"]+)"', 1) FROM h)""",
     "token_estimate": "SELECT doc_id, ceil(length(coalesce(text, '')) / 4.0)::BIGINT AS tokens FROM documents",
     "scan_filter": """WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) SELECT page_id, len(list_filter(str_split(path, '/'), lambda x: lower(x) IN ('node_modules', 'dist', 'build', '__pycache__', '.git', 'venv', '.venv', 'env', '.env') OR starts_with(x, '.'))) > 0 AS skipped,
       CASE regexp_extract(lower(path), '\\.[^./]*$') WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'tsx' WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'jsx' WHEN '.py' THEN 'python' WHEN '.java' THEN 'java' WHEN '.html' THEN 'html' ELSE '' END AS lang FROM p""",

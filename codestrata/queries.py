@@ -393,9 +393,15 @@ def doc_comment(spark, d):
 
 
 def html_refs(spark, d):
-    """Ids, scripts and links of pages."""
-    pages = read(spark, d, "pages").select(F.col("page_id"), F.col("html").alias("source"))
-    return scan.html_facts(pages, "page_id")
+    """Ids, scripts and links of pages, which get one of each before their own, as the reader of HTML finds them."""
+    key = F.col("page_id").cast("string")
+    put = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    tags = put('<div id="top-', key, '"></div><script src="/js/', F.pmod("page_id", F.lit(7)).cast("string"), '.js"></script><link rel="x" href="/c/', F.pmod("page_id", F.lit(3)).cast("string"), '.css">\n', F.coalesce("html", F.lit("")))
+    files = read(spark, d, "pages").select(F.col("page_id").cast("long").alias("file_seq"), put(key, ".html").alias("path"), F.lit("html").alias("lang"), tags.alias("source"))
+    found = facts.tables(facts.extract(files))
+    page = F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("page_id")
+    ids = found["symbols"].where("kind = 'variable'").select(page, F.lit("id").alias("tag"), "name")
+    return ids.unionAll(found["refs"].where("kind = 'import'").select(page, F.lit("import").alias("tag"), F.col("raw_name").alias("name")))
 
 
 def token_estimate(spark, d):

@@ -120,9 +120,3 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     spark.dataSource.register(SourceTree)
     return spark.read.format("source_tree").option("path", root).load()
 
-
-def html_facts(pages: DataFrame, key: str) -> DataFrame:
-    """(key, tag, name): ids, script sources and link targets of HTML, by patterns over tags."""
-    tag = lambda pattern, name: pages.select(key, F.lit(name).alias("tag"), F.explode(F.regexp_extract_all("source", F.lit(pattern), 1)).alias("name"))
-    found = tag(r'<[a-zA-Z][^<>]*?\sid="([^"]+)"', "id").unionAll(tag(r'<script[^<>]*?\ssrc="([^"]+)"', "script")).unionAll(tag(r'<link[^<>]*?\shref="([^"]+)"', "link"))
-    return found
