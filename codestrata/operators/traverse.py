@@ -33,9 +33,11 @@ def kind_is(kind: Column, kinds) -> Column:
 
 def steps(edges: DataFrame, direction: str) -> DataFrame:
     """(at, to, dir, edge_seq, kind): each edge as a step from either end that the direction allows."""
-    out = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(0).alias("dir"), "edge_seq", "kind")
-    back = edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(1).alias("dir"), "edge_seq", "kind")
-    return {"outgoing": out, "incoming": back}.get(direction) or out.unionAll(back)
+    out = F.struct(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(0).alias("dir"))
+    back = F.struct(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(1).alias("dir"))
+    # one scan of the edges, whatever the direction
+    way = {"outgoing": out, "incoming": back}.get(direction, F.explode(F.array(out, back)))
+    return edges.select(way.alias("way"), "edge_seq", "kind").select("way.*", "edge_seq", "kind")
 
 
 def walk(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, direction: str, kinds, depth: int, node_limit: int | None = None, per_file: int | None = None) -> DataFrame:
