@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -217,3 +218,27 @@ def test_bytes_of_a_context_sum_to_one():
         short = [asked.two[mine] & ((1 << bits) - 1) for bits in (24, 16, 8)]
         p = 10 ** ppm.log10_of([level, *low.levels], [asked.context[mine], *(k >> 8 for k in short)], [asked.key[mine], *short])
         assert len(p) == 256 and abs(p.sum() - 1) < 1e-9
+
+
+@pytest.mark.parametrize("options", [{}, {"head": 10, "most": 20, "part": 150}])
+def test_every_place_has_its_context(spark, monkeypatch, options):
+    """By default each word that has three before it is predicted after these, and the end too, wherever they stand."""
+    monkeypatch.setattr(sys.modules[__name__], "STRIDE", 1)
+    assert [len(p) for p in parts_of(tokens("a b c d a b c e"))] == [3, 1, 1, 1, 1, 1, 0]
+    texts = some_texts()
+    training = [zlib.crc32(str(i).encode()) % 5 != 1 for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = ppm.score(docs, **options).collect()
+    assert sorted((r.doc_id, round(r.score, 6)) for r in got) == sorted((i, round(x, 6)) for i, x in enumerate(plain(texts, training)))
+
+
+def test_order_of_words_anywhere(spark):
+    """Four words that follow each other somewhere in a training text cost less than these with another fourth, at whichever place of it they are."""
+    rng = random.Random(8)
+    words = rng.sample([a + b + c for a in "bcdfg" for b in "aeiou" for c in "klmnp"], 40)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1][:74]
+    train = next(i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1)
+    places = range(37)
+    texts = {train: " ".join(words)} | {ids[2 * i]: " ".join(words[i : i + 4]) for i in places} | {ids[2 * i + 1]: " ".join([*words[i : i + 3], words[(i + 20) % 40]]) for i in places}
+    got = {r.doc_id: r.score for r in ppm.score(spark.createDataFrame([(i, t, 0) for i, t in texts.items()], DOCS)).collect()}
+    assert [i for i in places if got[ids[2 * i]] < got[ids[2 * i + 1]] + 1] == []
