@@ -2,13 +2,16 @@
 
 Merging the best pair again and again gives the only sequence of pieces in which every two neighbours are
 compatible: merging the characters of both together gives back just these two. So a text is read from left
-to right: the longest piece at each place (found for all places at once by Aho-Corasick) is tried, then shorter ones, as long as it fits its left neighbour; if none fits, the neighbour is
-taken back and its place noted in a bitfield as failed. Compatibility is found by merging the two pieces'
-characters once, and remembered.
+to right: the longest piece at each place (found by Aho-Corasick, which goes on from place to place while the longest
+ones fit) is tried, then shorter ones, as long as it fits its left neighbour; if none fits, the neighbour is taken back
+and its place noted in a bitfield as failed. Compatibility is found by merging the two pieces' characters once, and
+remembered.
 
 A blank becomes U+2581 and one is put in front. No piece of the model has U+2581 after another character, so
-merges never cross from a word to the next blank; each stretch that begins with blanks is encoded once and
-remembered (bounded store). Characters outside the vocabulary become their UTF-8 bytes.
+merges never cross from a word to the next blank; nor do they cross between two characters that stand side by side
+in no piece. Characters are sorted into kinds (letters of a script, marks, ...) such that no piece has two kinds; each
+stretch of blanks and characters of one kind is encoded once and remembered (bounded store). Characters outside the
+vocabulary become their UTF-8 bytes.
 
 Null and empty texts give no ids and decode to the empty text. Texts are encoded whole, whatever their length.
 Empty table: no rows; repeated rows: one result each. Other columns are ignored.
@@ -20,6 +23,8 @@ import hashlib
 import heapq
 import re
 from array import array
+from collections.abc import Iterable
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -30,6 +35,8 @@ from .common import pieces, table
 
 BLANK = "▁"
 KEEP = 100_000
+KINDS = 8
+WINDOW = 1 << 18
 
 
 class PieceModel:
@@ -59,7 +66,8 @@ class PieceModel:
             raise ValueError("a piece has a blank after another character: words can't be encoded on their own")
         if model.normalizer_spec.name not in ("", "identity") or model.normalizer_spec.remove_extra_whitespaces or not model.normalizer_spec.add_dummy_prefix:
             raise ValueError("only models without text normalisation and with a blank in front are supported")
-        self.fits: dict[int, bool] = {}
+        self.stretches = re.compile(stretches(self.id_of))
+        self.fits: dict[int, int] = {}
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.pieces: set[str] = set()
@@ -69,8 +77,10 @@ class PieceModel:
         self.chars = {p for p in self.pieces if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for p in self.pieces:
-            self.automaton.add_word(p[::-1], (len(p), self.id_of[p]))  # over the reversed text: a match ends where the piece begins
+            self.automaton.add_word(p, self.id_of[p])
         self.automaton.make_automaton()
+        self.most = max(map(len, self.pieces))
+        self.span = 4 * self.most
         self.text_of = {self.id_of[p]: p for p in self.pieces}
         self.length = [len(self.text_of.get(i, "")) for i in range(len(model.pieces))]
         self.shorter = [-1] * len(model.pieces)  # the longest piece that a piece begins with, itself apart
@@ -126,11 +136,15 @@ class PieceModel:
                 offer(a, right[a])
         return [p for p in part if p]
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether the two can stand side by side: merging their characters together gives them back."""
-        if len(self.fits) > 4 * KEEP:
-            self.fits.clear()
-        found = self.fits[a << 20 | b] = self.remerge(self.text_of[a], self.text_of[b])
+    def fitting(self, a: int, b: int) -> int:
+        """The longest of b and the pieces it begins with that can stand right of a (-1: the text's beginning): merging the characters of both together gives them back. -1 if none can."""
+        if a < 0 or b < 0:
+            return b
+        if (found := self.fits.get(a << 20 | b)) is None:
+            found = b if self.remerge(self.text_of[a], self.text_of[b]) else self.fitting(a, self.shorter[b])
+            if len(self.fits) > 4 * KEEP:
+                self.fits.clear()
+            self.fits[a << 20 | b] = found
         return found
 
     def remerge(self, a: str, b: str) -> bool:
@@ -158,38 +172,37 @@ class PieceModel:
     def split(self, text: str) -> list[int]:
         """The pieces of a text whose characters are all in the vocabulary."""
         n = len(text)
-        longest = [(0, -1)] * n
-        for end, match in self.automaton.iter(text[::-1]):
-            if match > longest[n - 1 - end]:
-                longest[n - 1 - end] = match
         failed = bytearray(n // 8 + 1)
-        length, shorter, fits = self.length, self.shorter, self.fits
+        length, shorter, known, matches, span, most = self.length, self.shorter, self.fits, self.automaton.iter_long, self.span, self.most
         done: list[int] = []
-        at, trial = 0, longest[0][1] if n else -1
+        at, last, sure, ahead = 0, -1, -1, -1  # up to `sure` matches are whole; the next one is that at `ahead`
+        new = True
         while at < n:
-            while trial >= 0:
-                end = at + length[trial]
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    if not done:
-                        break
-                    if (good := fits.get(done[-1] << 20 | trial)) is None:
-                        good = self.compatible(done[-1], trial)
-                    if good:
-                        break
-                trial = shorter[trial]
-            if trial >= 0:
-                done.append(trial)
-                at = end
-                trial = longest[at][1] if at < n else -1
-            else:  # nothing fits here: the piece before goes, and must be a shorter one
+            if new:
+                if at != ahead or at > sure:
+                    longest, base, ahead = matches(text[at : at + span]), at, at
+                    sure = at + span - most if at + span < n else n
+                end, trial = next(longest)
+                ahead = base + end + 1
+            if (fit := known.get(last << 20 | trial)) is None:
+                fit = self.fitting(last, trial)
+            if fit < 0:  # nothing fits here: the piece before goes, and must be a shorter one
                 failed[at >> 3] |= 1 << (at & 7)
-                before = done.pop()
-                at -= length[before]
-                trial = shorter[before]
-        return done
+                at -= length[last]
+                trial = shorter[last]
+                last = done.pop()
+                new = False
+                continue
+            end = at + length[fit]
+            if new := not failed[end >> 3] >> (end & 7) & 1:
+                done.append(last)
+                at, last = end, fit
+            else:
+                trial = shorter[fit]
+        return [*done[1:], last] if n else done
 
     def stretch(self, text: str) -> bytes:
-        """Ids (as int32 bytes) of blanks and the word that follows them."""
+        """Ids (as int32 bytes) of blanks and the characters of one kind that follow them."""
         if (found := self.known.get(text)) is not None:
             return found
         if (found := self.before.get(text)) is None:
@@ -218,14 +231,51 @@ class PieceModel:
         if not text:
             return np.zeros(0, np.int32)
         text = BLANK + text.replace(" ", BLANK)
-        return np.frombuffer(b"".join(map(self.stretch, STRETCH.findall(text))), np.int32)
+        at, window, out = 0, WINDOW, []
+        while at < len(text):
+            parts = self.stretches.findall(text, at, at + window)
+            if at + window >= len(text):
+                at = len(text)
+            elif len(parts) > 1:  # the last one may go on beyond the window
+                at += window - len(parts.pop())
+            else:
+                window *= 2
+                continue
+            ids = list(map(self.known.get, parts))
+            i = -1
+            for _ in range(ids.count(None)):
+                i = ids.index(None, i + 1)
+                ids[i] = self.stretch(parts[i])
+            out.append(b"".join(ids))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
         out = b"".join(map(self.bytes_of.__getitem__, ids))
         return (out[1:] if out[:1] == b" " and len(ids) and self.bytes_of[ids[0]][:1] == b" " else out).decode("utf-8", "replace")
 
 
-STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+def stretches(of: Iterable[str]) -> str:
+    """
+    A pattern for blanks with the characters of one kind behind them. Two characters that stand side by side in a piece
+    are of one kind, blanks apart; a character that never does is a kind of its own. Beyond the largest kinds the others count as one.
+    """
+    kind: dict[str, str] = {}
+
+    def first(c: str) -> str:
+        while kind.setdefault(c, c) != c:
+            kind[c] = c = kind[kind[c]]
+        return c
+
+    for p in of:
+        p = p.lstrip(BLANK)
+        for a, b in pairwise(p):
+            kind[first(a)] = first(b)
+    kinds: dict[str, list[str]] = {}
+    for c in sorted(kind):
+        kinds.setdefault(first(c), []).append(c)
+    sets = sorted(kinds.values(), key=lambda x: (-len(x), x))
+    sets = [*sets[:KINDS], *([sum(sets[KINDS:], [])] if sets[KINDS:] else [])]
+    return f"{BLANK}*(?:{''.join(f'[{re.escape("".join(x))}]+|' for x in sets)}[^{BLANK}])|{BLANK}+"
 
 
 ENCODED, DECODED = "doc_id long, ids array<int>", "doc_id long, ids array<int>, text string"

@@ -193,6 +193,35 @@ def test_piece_model():
     assert model.encode("abc" * 20_000).tolist() == lib.encode("abc" * 20_000)
 
 
+def test_stretches_of_one_kind():
+    """A word is split once, whatever marks, digits or lines stand about it; no piece is cut."""
+    model = piece.PieceModel(MODEL)
+    asked, split, rng = [], model.split, random.Random(1)
+    model.split = lambda text: asked.append(text) or split(text)
+    marks = [".", ",", "\n", ";", ")", "7", "。", ".\n", "...", "?"]
+    for w in ("".join(rng.choices("abcdeé", k=9)) for _ in range(40)):
+        for m in marks:
+            model.encode(f"{w}{m}{w}")
+    asked = [t for t in asked if t]
+    assert len(asked) == len(set(asked)) < 100
+    assert all(model.stretches.findall(p) == [p] for p in model.id_of)
+
+
+def test_long_stretches(monkeypatch):
+    """Texts of many windows, and stretches longer than a window, as the library encodes them."""
+    lib = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=MODEL)
+    model = piece.PieceModel.of(MODEL)
+    rng = random.Random(2)
+    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(5000))
+    texts = [letters, letters * 20, "." * 700, "中文字" * 900, " " * 300 + "q" * 300, "приветмир" * 300, "word. " * 400, "\n" * 500, "a\u0301" * 400, "x  y   z." * 200, "▁ ▁a" * 200]
+    texts += ["".join(rng.choice([letters[:80], "  ", ".", "мир", "中", "\n", "7", "ﬀ"]) for _ in range(200)) for _ in range(20)]
+    for window in (piece.WINDOW, 50, 1):
+        monkeypatch.setattr(piece, "WINDOW", window)
+        for t in texts:
+            model.known, model.before = {}, {}
+            assert model.encode(t).tolist() == lib.encode(t), (window, t[:80])
+
+
 def test_codec(spark):
     got = {r.doc_id: r for r in piece.codec(documents(spark), MODEL).collect()}
     assert len(got) == len(TEXTS) and all(r.round_trip for r in got.values())
