@@ -306,7 +306,9 @@ def name_resolution(spark, d):
     o, c, s = (read(spark, d, n) for n in ("orders", "customer", "supplier"))
     wants = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("ref_seq"), F.col("c_nationkey").alias("nation"), F.pmod("o_orderkey", F.lit(130)).alias("name"))
     offers = s.select(F.col("s_suppkey").alias("sym_seq"), F.pmod("s_suppkey", F.lit(128)).alias("name"), F.col("s_nationkey").alias("nation"))
-    steps = [("scope", wants.join(offers, ["name", "nation"]).select("ref_seq", "sym_seq")), ("global_fallback", wants.join(offers.drop("nation"), "name").select("ref_seq", "sym_seq"))]
+    # of equal offers the first, so that a reference meets one supplier at each step, however many share the name
+    nearest, anywhere = resolve.first_by(offers, "sym_seq", "name", "nation"), resolve.first_by(offers, "sym_seq", "name")
+    steps = [("scope", wants.join(nearest, ["name", "nation"])), ("global_fallback", wants.join(anywhere, "name"))]
     found = resolve.first_of(steps, "ref_seq", "sym_seq")
     return wants.join(found, "ref_seq", "left").select("ref_seq", F.col("sym_seq").alias("target"), F.coalesce("method", F.lit("unresolved")).alias("method"))
 
