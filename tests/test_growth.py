@@ -5,6 +5,12 @@ import os
 import pytest
 
 from codestrata import queries as own
+from codestrata.operators import budget, resolve, traverse
+from codestrata.plans import engine
+from codestrata.plans import plan as plans
+from codestrata.projects import source_files
+
+DATA = "/root/testdata/sf0.001"
 
 
 def steps(plan):
@@ -44,3 +50,19 @@ def test_resolution_meets_one_offer(spark, tables):
     want = {k: (near(k), "scope") if near(k) is not None else (k % 130, "global_fallback") if k % 130 < 128 else (None, "unresolved") for k in range(1300)}
     assert rows == want
     assert max(figures(found, "Join", "numOutputRows")) <= 1300
+
+
+def test_large_groups_are_not_folded(spark):
+    """In a group over the budget rows go by a running sum over all of its blocks; only what fits is folded."""
+    rows = spark.range(20_000).selectExpr("'big' as g", "id as seq", "concat('d:', id) as id", "'function' as kind", "if(id % 3 = 0, 'anchor', 'path') as role", "40 + id % 100 as base", "id as source_chars")
+    rows = rows.unionAll(spark.createDataFrame([("small", 1, "a", "function", "path", 10, 10**7), ("small", 2, "b", "function", "anchor", 10, 5), ("none", 1, "c", "class", "path", 10, 5)], rows.schema))
+    found = budget.allocate(rows, 200_000, ("g",))
+    levels = {(r.g, r.id): r.level for r in found.collect()}
+    big = [(k, "anchor" if k % 3 == 0 else "path", 40 + k % 100) for k in range(20_000)]
+    used = sum(b + 19 + len(f"d:{k}") + len(role) for k, role, b in big) + 2 + len(big) - 1
+    want = {("small", "a"): "SNIPPET", ("small", "b"): "FULL", ("none", "c"): "SIGNATURE"}
+    for k, _, b in sorted(big, key=lambda x: (x[1] == "anchor", x[0])):
+        want["big", f"d:{k}"] = "OMIT" if used > 800_000 else "SIGNATURE"
+        used -= b if used > 800_000 else 0
+    assert levels == want and 1000 < sum(v == "SIGNATURE" for v in want.values()) < 10_000
+    assert max(figures(found, "Generate", "numOutputRows")) == 3
