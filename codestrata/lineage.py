@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,26 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffled(spark: SparkSession) -> Iterator[None]:
+    """
+    What is computed within joins by shuffles, except what is marked as broadcast. Left to itself Spark takes a side for small by its compressed files,
+    or by a fixed length for texts that functions make, and sends tables to the driver that are many times larger. Lazy frames aren't bound by it: they need `hint("merge")`.
+    """
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 _cuts: list[str] = []
 
 

@@ -26,7 +26,7 @@ def roles(operation: str, nodes: DataFrame, ends: tuple[str, ...] = ()) -> DataF
 
 def slices(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """nodes with source (their lines) and signature (the first, trimmed); null where the file can't be read."""
-    text = files.select("path", F.split("source", "\r?\n").alias("_lines"))
+    text = files.select("path", F.split("source", "\r?\n").alias("_lines")).hint("merge")  # Spark's guess at the texts' size is no ground for a broadcast
     joined = nodes.join(text, "path", "left")
     inside = F.slice("_lines", F.col("sl") + 1, F.greatest(F.col("el") - F.col("sl") + 1, F.lit(1)))
     return joined.withColumns({"source": F.array_join(inside, "\n"), "signature": F.trim(F.try_element_at("_lines", F.col("sl") + 1))}).drop("_lines")
@@ -46,7 +46,7 @@ def preceding_comments(wants: DataFrame, lines: DataFrame, key: str = "path", mo
     full = full.unionByName(asked.select(key, F.col("line_no").alias("at"), F.lit(None).cast("int").alias("full"), F.lit(True).alias("asks"))).withColumn("last", F.max("full").over(before))
     asked = full.where("asks").select(key, F.col("at").alias("line_no"), "last")
     near = asked.where("last is not null").withColumn("at", F.explode(F.sequence(F.greatest(F.col("last") - (most - 1), F.lit(0)), F.col("last")))).drop("last")
-    grouped = near.join(above, [key, "at"]).groupBy(key, "line_no").agg(F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("at", "t")))), lambda x: x["t"]).alias("up"))  # at most `most` lines
+    grouped = near.join(above.hint("merge"), [key, "at"]).groupBy(key, "line_no").agg(F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("at", "t")))), lambda x: x["t"]).alias("up"))  # at most `most` lines
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("plain").alias("state"))
 
     def step(acc, t):
@@ -58,7 +58,7 @@ def preceding_comments(wants: DataFrame, lines: DataFrame, key: str = "path", mo
 
     text = F.aggregate("up", start, step)["out"]
     found = grouped.select(key, "line_no", F.when(F.size(text) > 0, F.array_join(text, "\n")).alias("comment"))
-    return asked.drop("last").join(found, [key, "line_no"], "left")
+    return asked.drop("last").join(found.hint("merge"), [key, "line_no"], "left")
 
 
 #: Word boundaries by ASCII letters, whatever the JVM takes for a letter.

@@ -69,13 +69,13 @@ def target_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     names = names.when(lang == "html", F.array(beside, no_ext(beside))).otherwise(F.array().cast("array<string>"))
     tail = F.when(lang == "py", python).when(lang == "java", F.when(~F.col("import_path").endswith("*"), java)).when(lang == "html", no_ext(bare)).when(lang == "typescript", bare)
     wanted = imports.select("ref_seq", F.posexplode(names).alias("place", "module"))
-    by_module = wanted.join(indexes.modules(files), "module").groupBy("ref_seq").agg(F.min_by("path", "place").alias("file"))
+    by_module = wanted.join(indexes.modules(files).hint("merge"), "module").groupBy("ref_seq").agg(F.min_by("path", "place").alias("file"))
     # Every ending of every file's path is a key, so that "ends with" is an equi-join.
     endings = files.withColumn("bare", F.regexp_replace("path", r"\.(py|[jt]sx?|java|html)$", "")).where(F.length("bare") > 0)
     endings = endings.select("file_seq", "path", F.explode(F.transform(F.sequence(F.lit(1), F.length("bare")), lambda i: F.substr("bare", i))).alias("tail"))
     endings = endings.groupBy("tail").agg(F.min_by("path", "file_seq").alias("tail_file"))
-    by_tail = imports.withColumn("tail", tail).where(F.length("tail") > 0).join(endings, "tail").select("ref_seq", "tail_file")
-    both = imports.select("ref_seq").join(by_module, "ref_seq", "left").join(by_tail, "ref_seq", "left")
+    by_tail = imports.withColumn("tail", tail).where(F.length("tail") > 0).join(endings.hint("merge"), "tail").select("ref_seq", "tail_file")
+    both = imports.select("ref_seq").join(by_module.hint("merge"), "ref_seq", "left").join(by_tail.hint("merge"), "ref_seq", "left")
     return both.select("ref_seq", F.coalesce("file", "tail_file").alias("file")).where(F.col("file").isNotNull())
 
 

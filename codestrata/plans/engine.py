@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..extract import facts
-from ..lineage import cut
+from ..lineage import cut, shuffled
 from ..model import LIMITS, SNIPPET, TOKEN_BUDGET
 from ..operators import budget, evidence, graph, indexes, merge, resolve, search, traverse
 from ..sources import scan
@@ -34,7 +34,12 @@ class Graph:
 
 
 def build(spark: SparkSession, root: str, files: DataFrame | None = None) -> Graph:
-    """The whole way from a source tree (or a table of files) to a graph."""
+    """The whole way from a source tree (or a table of files) to a graph. All its tables are stored when it returns, by joins that send nothing to the driver."""
+    with shuffled(spark):
+        return _build(spark, root, files)
+
+
+def _build(spark: SparkSession, root: str, files: DataFrame | None) -> Graph:
     files = scan.read_tree(spark, root) if files is None else files
     # Stored once: every table of facts comes from the same pass over the sources.
     extracted = cut(facts.extract(files))
@@ -43,8 +48,8 @@ def build(spark: SparkSession, root: str, files: DataFrame | None = None) -> Gra
     model = merge.merge_partials(listed, facts.tables(extracted), f"project::{name}", name)
     model = {t: cut(df) for t, df in model.items()}
     found = resolve.resolve_all(model["refs"], model["symbols"], model["scopes"], model["containments"], model["local_bindings"], listed)
-    model["containments"] = model["containments"].unionByName(found.containments)
-    model |= {"resolved_refs": found.resolved, "unresolved_refs": found.unresolved, "diagnostics": model["diagnostics"].unionByName(found.diagnostics), "externals": found.externals}
+    model["containments"] = model["containments"].unionByName(cut(found.containments))
+    model |= {"resolved_refs": found.resolved, "unresolved_refs": cut(found.unresolved), "diagnostics": model["diagnostics"].unionByName(cut(found.diagnostics)), "externals": cut(found.externals)}
     nodes, edges = graph.build_graph(model["symbols"], model["containments"], found.resolved)
     return Graph(model, cut(nodes), cut(edges), files, datetime.now(UTC).isoformat())
 

@@ -60,7 +60,7 @@ def import_targets(spark, d):
     files = source_files(spark, d)
     refs = facts.tables(facts.extract(files))["refs"].where("kind = 'import'")
     found = resolve.target_files(refs, files.select("file_seq", "path"))
-    return refs.join(found, "ref_seq").select("path", "raw_name", "file")
+    return refs.join(found.hint("merge"), "ref_seq").select("path", "raw_name", "file")
 
 
 def resolved_references(spark, d):
@@ -75,7 +75,7 @@ def project_diagnostics(spark, d):
 def outside_names(spark, d):
     g = project(spark, d)
     held = g.tables["containments"].where(F.col("child_id").startswith("external::")).select(F.col("child_id").alias("id"), "parent_id")
-    return g.tables["externals"].select("id", "kind", "qname").join(held, "id", "left").withColumn("parent_id", F.coalesce("parent_id", F.lit("")))
+    return g.tables["externals"].select("id", "kind", "qname").join(held.hint("merge"), "id", "left").withColumn("parent_id", F.coalesce("parent_id", F.lit("")))
 
 
 def project_graph(spark, d):
@@ -91,7 +91,7 @@ def project_slices(spark, d):
     members = g.nodes.where("kind in ('function', 'method') and id like '%::%::%' and path <> 'external'").select("id", "path", "sl", "el")
     shown = evidence.slices(members, g.files)
     comments = evidence.preceding_comments(members.select("path", F.col("sl").alias("line_no")), evidence.lines_of(g.files)).withColumnRenamed("line_no", "sl")
-    return shown.join(comments, ["path", "sl"], "left").select("id", F.sha2("source", 256).alias("source_sha"), "signature", F.coalesce("comment", F.lit("")).alias("comment"))
+    return shown.join(comments.hint("merge"), ["path", "sl"], "left").select("id", F.sha2("source", 256).alias("source_sha"), "signature", F.coalesce("comment", F.lit("")).alias("comment"))
 
 
 def symbol_spans(spark, d):

@@ -66,3 +66,20 @@ def test_large_groups_are_not_folded(spark):
         used -= b if used > 800_000 else 0
     assert levels == want and 1000 < sum(v == "SIGNATURE" for v in want.values()) < 10_000
     assert max(figures(found, "Generate", "numOutputRows")) == 3
+
+
+def watch(monkeypatch, seen) -> None:
+    """From now on seen() gets every frame that is cut off."""
+    for m in (engine, resolve, traverse):
+        monkeypatch.setattr(m, "cut", lambda df, real=m.cut: (seen(df), real(df))[1])
+
+
+def test_build_and_slices_send_no_tables(spark, monkeypatch):
+    """Neither building a project nor reading its members' sources broadcasts a table of it."""
+    before, joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    watch(monkeypatch, lambda df: joins.append(df._jdf.queryExecution().executedPlan().toString()))
+    monkeypatch.setattr(own, "_built", {})
+    slices = own.project_slices(spark, DATA)
+    assert sum("Join" in x for x in joins) > 10 and not [x for x in joins if "Broadcast" in x]
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert slices.collect() and not figures(slices, "BroadcastExchange", "dataSize")
