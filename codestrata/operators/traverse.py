@@ -44,7 +44,7 @@ def walk(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, direction: str,
     """(id, distance, rank, via): admitted nodes in the order of admission. anchors(id, rank); via: kind of the edge that found it."""
     step = steps(edges.where(kind_is(F.col("kind"), kinds)), direction)
     place = ["at_rank", "dir", "edge_seq", "id"]
-    seen = anchors.join(nodes.select("id"), "id", "left_semi").groupBy("id").agg(F.min("rank").cast("long").alias("rank"))
+    seen = nodes.select("id").join(small(anchors.select("id", "rank"), anchors.count()), "id").groupBy("id").agg(F.min("rank").cast("long").alias("rank"))
     seen = cut(seen.select("id", F.lit(0).alias("distance"), "rank", F.lit(None).cast("string").alias("via")))
     for d in range(1, depth + 1):
         known, top, last = seen.agg(F.count("*"), F.max("rank"), F.count(F.when(F.col("distance") == d - 1, 1))).first()

@@ -102,7 +102,8 @@ class Engine:
     def materialize(self, nodes: DataFrame, edges: DataFrame, plan: plans.Plan, ids: tuple[str, ...]) -> list[dict]:
         """An answer's nodes with sources, comments, call sites and levels: as many as the node limit admits."""
         g = self.graph
-        files = g.files.join(nodes.select("path").distinct(), "path", "left_semi")
+        # nodes are few; what is joined to them is not
+        files = g.files.join(F.broadcast(nodes.select("path").distinct()), "path", "left_semi")
         shown = evidence.slices(evidence.roles(plan.operation, nodes, (ids[0], ids[-1])), files)
         lines = evidence.lines_of(files)
         if plan.docs:
@@ -111,7 +112,8 @@ class Engine:
         else:
             shown = shown.withColumn("comment", F.lit(None).cast("string"))
         if "unresolved_refs" in g.tables:
-            shown = shown.join(graph.unresolved_index(g.tables["unresolved_refs"]).withColumnRenamed("from_id", "id"), "id", "left")
+            own = g.tables["unresolved_refs"].join(F.broadcast(nodes.select(F.col("id").alias("from_id"))), "from_id", "left_semi")
+            shown = shown.join(graph.unresolved_index(own).withColumnRenamed("from_id", "id"), "id", "left")
         chars = F.length(F.coalesce("source", F.lit(""))) if plan.source else F.lit(0)
         base = sum((F.length(F.coalesce(F.col(c), F.lit(""))) for c in ("id", "name", "kind", "path", "signature", "comment")), F.lit(0))
         shown = cut(shown.withColumn("coverage", graph.coverage_state(F.col("kind"), F.col("test_covered"))))

@@ -83,3 +83,18 @@ def test_build_and_slices_send_no_tables(spark, monkeypatch):
     assert sum("Join" in x for x in joins) > 10 and not [x for x in joins if "Broadcast" in x]
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
     assert slices.collect() and not figures(slices, "BroadcastExchange", "dataSize")
+
+
+def test_answer_sends_its_own_rows(spark, monkeypatch):
+    """What an answer broadcasts is bounded by its node limit, not by the project."""
+    g = engine.build(spark, "shop", source_files(spark, DATA))
+    assert g.nodes.count() > 200
+    sent = []
+
+    def run(df):
+        df.collect()
+        sent.extend(figures(df, "BroadcastExchange", "numOutputRows"))
+
+    watch(monkeypatch, run)
+    assert engine.Engine(g).answer(plans.explore_region(["pkg/nation_3.py::run_3"], "outgoing", 2))["status"] == "ok"
+    assert sent and max(sent) <= 30
